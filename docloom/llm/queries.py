@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, neardup, repeats, token_files
+from docloom.llm import decontam, flac, neardup, repeats, token_files
 from docloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.decode(flac.encode(table(spark, sf_dir, "documents")))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op7_near_duplicates, op8_token_files, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op7_near_duplicates, op8_token_files, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
