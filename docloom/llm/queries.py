@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, flac, neardup, repeats, token_files
+from docloom.llm import decontam, flac, licenses, neardup, repeats, token_files
 from docloom.llm.common import table
 
 
@@ -24,9 +24,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op7_near_duplicates, op8_token_files, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
