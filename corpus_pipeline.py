@@ -4,28 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import neardup, token_files
+from docloom.llm import decontam, mixing, neardup, token_files
+from docloom.llm import toxicity as toxic
 from docloom.llm.common import stored, table
 
+#: Mixing only repeats here: every document stays at least once, and 1.3 times the words are to be met.
+WEIGHTS, BUDGET, LEAST_RATE = {"high": 0.88, "low": 0.11, "toxic": 0.01}, 1.3, 1.0
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores at 0.3 or more go."""
+    return toxic.keep_clean(docs, table(spark, sf_dir, "labels"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return neardup.keep_one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated by their rate, so that the domains' words come near the target weights."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), WEIGHTS, BUDGET, LEAST_RATE)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, and their digest."""
+    """Token files of what is left, and each document's place and digest in them."""
     return token_files.read_token_files(token_files.write_token_files(docs))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("token_ids", token_ids)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
 
-#: Similarity classes, trained models and the tokenizer are beyond SQL: tests hold the stages against plain versions.
+#: Trained models, similarity classes and the tokenizer are beyond SQL: tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, flac, html_text, licenses, neardup, repeats, token_files, toxicity
+from docloom.llm import decontam, flac, html_text, licenses, mixing, neardup, repeats, token_files, toxicity
 from docloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
