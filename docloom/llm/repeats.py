@@ -187,7 +187,7 @@ def _segment_blocks(n_buckets: int):
             text, start, n, gram, seg = segments(data, offs)
             held.append((ids[text], start, n, gram, seg))
             size += len(text)
-            if size >= 3_000_000:
+            if size >= 1_000_000:
                 if (out := flush()) is not None:
                     yield out
                 size = 0
