@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, flac, html_text, licenses, mixing, neardup, repeats, token_files, toxicity
+from docloom.llm import decontam, flac, html_text, licenses, mixing, neardup, pii, repeats, token_files, toxicity
 from docloom.llm.common import table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
