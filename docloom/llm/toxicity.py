@@ -5,7 +5,7 @@ Inputs of a step are a word's own hashed vector and the mean of the hashed vecto
 words; windows begin every 12 words and one ends with the text, so all words are covered and neighbours overlap. Each
 window gives a logit; a document's score is the calibrated logistic of its largest, and 0 without words.
 
-Training uses at most ``most_positive`` + ``most_negative`` labelled documents (3,000 and 6,000, in hash order of
+Training uses at most ``most_positive`` + ``most_negative`` labelled documents (1,500 and 3,000, in hash order of
 doc_id, held-out rows excluded), since labels mark whole documents: n-gram log-odds first pick the windows that
 stand for a document, then the network is trained on them, then clean documents' highest windows are added and
 training goes on, and last the document scores are calibrated on the same documents. The seed is fixed.
@@ -50,6 +50,34 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return number.ravel(), np.searchsorted(np.flatnonzero(edge == 1), begins), np.stack(slots, axis=1).astype(np.int64)
 
 
+def tokens_of_many(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of a list, some texts at a time; a word may get several numbers."""
+    parts, some, size = [], [], 0
+    for k, t in enumerate(texts):
+        some.append(t)
+        size += len(t)
+        if size >= most or k == len(texts) - 1:
+            n, f, s = tokens(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+            parts.append((n.astype(np.int32), f, s.astype(np.int32)))
+            some, size = [], 0
+    base = np.cumsum([0, *(len(s) for _, _, s in parts)])
+    shift = np.cumsum([0, *(len(n) for n, _, _ in parts)])
+    first = np.concatenate([[0], *(f[1:] + a for (_, f, _), a in zip(parts, shift, strict=False))])
+    return np.concatenate([n + np.int32(b) for (n, _, _), b in zip(parts, base, strict=False)]), first, np.concatenate([s for _, _, s in parts])
+
+
+def document_counts(doc: np.ndarray, number: np.ndarray, slots: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many flagged and other documents each n-gram slot occurs."""
+    pair = np.unique(doc * np.int64(len(slots)) + number)
+    of, word = pair // len(slots), pair % len(slots)
+    out = [np.zeros(GRAM_SLOTS, np.int64), np.zeros(GRAM_SLOTS, np.int64)]
+    for k in range(1, slots.shape[1]):
+        once = np.unique(of * GRAM_SLOTS + slots[word, k])
+        for side, mine in zip(out, (flag[once // GRAM_SLOTS], ~flag[once // GRAM_SLOTS]), strict=True):
+            side += np.bincount(once[mine] % GRAM_SLOTS, minlength=GRAM_SLOTS)
+    return out[0], out[1]
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, first word) of all windows: one every STRIDE words and one that ends with the text."""
     n = np.diff(first)
@@ -172,21 +200,20 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7, rounds: int = 2,
     y = toxic.astype(bool)
     if not y.any() or y.all():
         return net
-    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    number, first, slots = tokens(data, offs)
+    number, first, slots = tokens_of_many(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     # log-odds of the n-grams over documents, and of each word as its strongest n-gram's
-    pair = np.unique((doc[:, None] * GRAM_SLOTS + slots[number, 1:]).ravel())
-    of, slot = pair // GRAM_SLOTS, pair % GRAM_SLOTS
-    up, down = np.bincount(slot[y[of]], minlength=GRAM_SLOTS), np.bincount(slot[~y[of]], minlength=GRAM_SLOTS)
+    up, down = document_counts(doc, number, slots, y)
     odds = np.log((up + 0.2) / (y.sum() + 1)) - np.log((down + 0.2) / ((~y).sum() + 1))
     odds = np.where(up + down >= 3, odds, np.minimum(odds, 0.5)) * np.sqrt((up + down) / (up + down + 2.0))
     net.gram[:, 0] = odds / 2
     strong = odds[slots[:, 1:]].max(axis=1)[number]
     text, start = windows(first)
-    ids, mask = _ids(number, first, text, start, len(slots))
-    hint = np.where(mask > 0, np.append(strong, 0)[np.minimum(start[:, None] + np.arange(WINDOW), len(strong))], -9).max(axis=1)
-    steps, adam, rate = None, {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0.01
+    hint = np.full(len(text), -9.0)
+    for k in range(WINDOW):
+        at = start + k
+        hint = np.where(at < first[text + 1], np.maximum(hint, strong[np.minimum(at, len(strong) - 1)]), hint)
+    adam, rate = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0.01
     square, n_steps = [np.full(len(net.word), 1e-6), np.full(len(net.gram), 1e-6)], 0
     value = hint
     chosen = np.zeros(0, np.int64)
@@ -203,12 +230,13 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7, rounds: int = 2,
             for i in range(0, len(mixed), batch):
                 some = mixed[i : i + batch]
                 w = chosen[some]
-                used, local = np.unique(ids[w], return_inverse=True)
+                ids, mask = _ids(number, first, text[w], start[w], len(slots))
+                used, local = np.unique(ids, return_inverse=True)
                 local = local.reshape(len(w), WINDOW)
                 real = used[used < len(slots)]
                 x = net.vectors(slots[real])
                 steps = net.projected(x)
-                _, g, dx = net.gradient(steps, local, mask[w], label[some], weight[some])
+                _, g, dx = net.gradient(steps, local, mask, label[some], weight[some])
                 dv = np.zeros_like(x)
                 for d, name in enumerate("fb"):
                     total = np.zeros((len(real) + 1, 3 * HIDDEN), np.float32)
@@ -250,7 +278,7 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 3_000, most_negative: int = 6_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 1_500, most_negative: int = 3_000) -> Network:
     """The network, trained on a bounded sample of the labelled documents that are not held out."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out())
     some = lambda kind, n: marks.where(f"toxic {kind} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
