@@ -3,16 +3,18 @@
 A document's set holds the distinct 5-word shingles of its lower-cased words (with fewer words, the whole
 sequence once). Two documents are linked when 100 * |A & B| >= 85 * |A | B|; a class is a connected component.
 
-1. One pass over the texts gives each document its set's size, a 128-bit digest of the set, 252 MinHash values
-   cut into 36 bands of 7, and one byte of each value. Documents with equal digests collapse into one
-   representative, so copies never meet as pairs.
+1. One pass over the texts gives each document its set's size, a 128-bit digest of the set, 504 MinHash values,
+   one byte of each (its marks), and 36 bands of 7 of the first 252. Documents with equal digests collapse into
+   one representative, so copies never meet as pairs.
 2. In each bucket of a band, every member is paired with the bucket's first member and with its neighbour in
    an order that differs by band: linear in the bucket, whatever its size.
 3. Signature batches of a pair are compared in sequence. After each batch the pair is dropped when the posterior
    probability (uniform prior) of a similarity of 0.85 or more is under ``miss`` = 1e-6.
 4. Survivors are checked on the full sets. Linked pairs give components by large-star / small-star rounds.
-5. Buckets that still hold several components get every pair between different components, checked likewise,
-   so a link that step 2 did not try is not lost. Then the components are made again.
+5. In buckets that still hold several components, every pair between different components is compared by the
+   same sequential test, so a link that step 2 did not try is not lost. That happens inside the tasks, in blocks
+   of two slots of some 512 members (larger buckets are dealt out over their pairs of slots); only pairs that
+   pass become rows, and are verified as in 4. Then the components are made again.
 
 A pair of similarity 0.85 shares no bucket with a chance of 1e-6. Sets are compared by 64-bit shingle hashes.
 
@@ -32,14 +34,15 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ASCII_SPACE, binary_rows, id_text, mix, rolled, stored, text_chunks, view, words
 
-WORDS, BANDS, ROWS, BATCH = 5, 36, 7, 42
+WORDS, BANDS, ROWS, BATCH, HASHES = 5, 36, 7, 42, 504
 PERCENT, MISS = 85, 1e-6
+SLOT, BROADCAST_IDS = 512, 1_000_000
 _SIG = "doc_id long, n_shingles long, digest string, marks binary, bands array<long>"
 
 
 @lru_cache
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+    x = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
     return (x[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (x[1::2] >> np.uint64(32)).astype(np.uint32)
 
 
@@ -71,14 +74,14 @@ def minhash(items: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, offs in text_chunks(batches, 4 << 20):
+    for ids, data, offs in text_chunks(batches, 1 << 20):
         sizes, digests, marks, bands = [], [], [], []
         for s in shingle_sets(data, offs):
             sizes.append(len(s))
             digests.append(_digest(s))
             sig = minhash(s)
             marks.append((sig & np.uint32(255)).astype(np.uint8))
-            bands.append(sig)
+            bands.append(sig[: BANDS * ROWS])
         keys = np.zeros((len(ids), BANDS), np.uint64)
         rows = np.array(bands).reshape(len(ids), BANDS, ROWS)
         for j in range(ROWS):
@@ -88,13 +91,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, offs in text_chunks(batches, 4 << 20):
+    for ids, data, offs in text_chunks(batches, 1 << 20):
         sets = list(shingle_sets(data, offs))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_digest, sets))), binary_rows(sets)], ["doc_id", "n", "digest", "items"])
 
 
 @lru_cache
-def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH, total: int = BANDS * ROWS) -> tuple[tuple[int, int], ...]:
+def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH, total: int = HASHES) -> tuple[tuple[int, int], ...]:
     """(n, m): after n compared values a pair with fewer than m matches has a posterior under ``miss``."""
     s = (np.arange(20_000) + 0.5) / 20_000
     p = s + (1 - s) / 256  # equal low bytes by chance
@@ -161,37 +164,92 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plausible pairs of different components within blocks, from rows (block, rep, c, slot, marks, band, bands) in order of block.
+
+    Marks are compared here, so no pair that fails becomes a row; and a pair is only looked at in the first band that it shares.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, rep, c, slot = (t.column(k).to_numpy() for k in range(4))
+        marks = np.stack(list(view(t.column(4).combine_chunks(), "u1")))
+        band = t.column(5).to_numpy()
+        keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        found = []
+        for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
+            x, y = np.triu_indices(b - a, 1) if b - a <= 64 else (None, None)
+            for i in [None] if x is not None else range(a, b - 1):
+                p, q = (x + a, y + a) if i is None else (np.full(b - i - 1, i), np.arange(i + 1, b))
+                apart = c[p] != c[q]
+                if slot[a:b].min() != slot[a:b].max():  # pairs within one slot are met in that slot's own block
+                    apart &= slot[p] != slot[q]
+                p, q = p[apart], q[apart]
+                earlier = (keys[p, : band[a]] == keys[q, : band[a]]).any(axis=1)
+                p, q = p[~earlier], q[~earlier]
+                met, before = np.zeros(len(p), np.int64), 0
+                for n, m in least_matches():
+                    met += (marks[p, before:n] == marks[q, before:n]).sum(axis=1)
+                    p, q, met, before = p[met >= m], q[met >= m], met[met >= m], n
+                if len(p):
+                    found.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])]))
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        block = t.column(0).to_numpy()
+        cut = int(np.searchsorted(block, block[-1])) if len(block) else 0
+        if cut:
+            yield from some(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield from some(t)
+
+
+def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with one of ``ids``: by broadcast while the ids are few, by shuffle beyond."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document; see the module's docstring."""
     texts = id_text(docs)
     sig = stored(texts.mapInArrow(_signatures, _SIG), "signatures")
-    one = sig.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "marks", "bands")).alias("x")).select("doc_id", "x.*")
+    one = sig
+    if not sig.groupBy("doc_id").count().where("count > 1").isEmpty():
+        one = sig.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "marks", "bands")).alias("x")).select("doc_id", "x.*")
     reps = one.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("marks", "doc_id").alias("marks"), F.min_by("bands", "doc_id").alias("bands"))
     reps = stored(reps, "representatives")
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
 
     w = "partition by band, key order by xxhash64(rep, band), rep"
-    first = buckets.selectExpr("rep", f"first_value(rep) over ({w}) as hub", f"lag(rep) over ({w}) as beside")
-    tried = first.select("rep", F.explode(F.array("hub", "beside")).alias("other")).where("other is not null and other <> rep")
+    buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = buckets.selectExpr("rep", "band", "key", f"first_value(rep) over ({w}) as hub", f"lag(rep) over ({w}) as beside", f"lead(rep) over ({w}) as next")
+    buckets = stored(buckets.where("beside is not null or next is not null").drop("next"), "shared-buckets")
+    tried = buckets.select("rep", F.explode(F.array("hub", "beside")).alias("other")).where("other is not null and other <> rep")
     tried = stored(tried.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "candidates")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        m = reps.select("rep", "marks")
-        left, right = m.select(F.col("rep").alias("a"), F.col("marks").alias("ma")), m.select(F.col("rep").alias("b"), F.col("marks").alias("mb"))
-        likely = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_plausible, "a long, b long"), f"{name}-likely")
-        named = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = texts.join(named, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, digest string, items binary").groupBy("doc_id").agg(F.max_by("items", F.struct("n", "digest")).alias("items"))
+    m = reps.select("rep", "marks")
+    left, right = m.select(F.col("rep").alias("a"), F.col("marks").alias("ma")), m.select(F.col("rep").alias("b"), F.col("marks").alias("mb"))
+    likely = tried.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_plausible, "a long, b long")
+
+    def verified(likely: DataFrame, name: str) -> DataFrame:
+        likely = stored(likely, f"{name}-likely")
+        named = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
+        sets = _chosen(texts, named).mapInArrow(_sets, "doc_id long, n long, digest string, items binary").groupBy("doc_id").agg(F.max_by("items", F.struct("n", "digest")).alias("items"))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
         return stored(likely.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_linked, "a long, b long"), f"{name}-links")
 
-    links = verified(tried, "first")
+    links = verified(likely, "first")
     found = components(links)
-    placed = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
-    open_ = stored(placed.join(split, ["band", "key"], "left_semi"), "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    more = x.join(y, F.expr("x.band = y.band and x.key = y.key and x.rep < y.rep and x.c <> y.c")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = more.join(tried, ["a", "b"], "left_anti")
+    placed = buckets.select("rep", "band", "key").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / SLOT).alias("slots")).where("low <> high").select("band", "key", "slots")
+    open_ = placed.join(split, ["band", "key"]).join(reps.select("rep", "marks", "bands"), "rep").selectExpr("band", "key", "rep", "c", "marks", "bands", "slots", "pmod(xxhash64(rep), slots) as slot")
+    open_ = open_.withColumn("other", F.explode(F.expr("sequence(0L, slots - 1)"))).selectExpr("xxhash64(band, key, least(slot, other), greatest(slot, other)) as block", "rep", "c", "slot", "marks", "band", "bands")
+    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs, "a long, b long").join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, "second"))
     found = components(links).withColumnRenamed("id", "rep")
 

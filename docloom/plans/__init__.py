@@ -1,0 +1,6 @@
+"""All registered queries of the core library."""
+
+from docloom.plans import catalog, documents  # noqa: F401  they register their queries
+from docloom.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

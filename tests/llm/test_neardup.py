@@ -1,6 +1,7 @@
 import re
 
 
+from docloom.llm import neardup
 from docloom.llm.neardup import least_matches, near_duplicates
 
 SCHEMA = "doc_id long, text string, source string, a string, rep string"
@@ -59,3 +60,10 @@ def test_bounds_keep_pairs_at_the_limit():
     p = 0.85 + 0.15 / 256
     for n, m in least_matches():
         assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m)) < 1e-4
+
+
+def test_buckets_larger_than_a_slot(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLOT", 5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k % 3] + [f"x{k}-{j}" for j in range(k % 11)])) for k in range(80)]
+    assert found(spark, rows) == brute(rows)

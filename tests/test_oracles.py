@@ -1,6 +1,6 @@
 import pytest
 
-from docloom.plans.queries import ORACLE_SQL, QUERIES
+from docloom.plans import ORACLE_SQL, QUERIES
 
 from .oracle import compare
 
