@@ -85,3 +85,11 @@ def variants(questions: DataFrame, most: int = 3, longest: int = 2000) -> DataFr
     every = every.withColumn("n", F.row_number().over(first)).where("n = 1")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return every.select("query_id", rank.alias("position"), F.col("q").alias("query")).where(F.col("position") <= most)
+
+
+def offline_variants(questions: DataFrame) -> DataFrame:
+    """(query_id, position, query) without a model: the question, then its abbreviations written out where that changes it. Blank questions have none."""
+    q = F.col("question")
+    both = F.array_distinct(F.filter(F.array(q, expand_abbreviations(q)), lambda x: F.trim(x) != ""))
+    out = questions.select("query_id", F.posexplode(both).alias("position", "query"))
+    return out.select("query_id", (F.col("position") + 1).alias("position"), "query")

@@ -122,7 +122,7 @@ def checksum(c: Column | str) -> Column:
     return F.sha2(col(c), 256)
 
 
-def document_key(stem: Column | str, group: Column | str, prefix: str = "ctu") -> Column:
+def document_key(stem: Column | str, group: Column | str, prefix: str = "doc") -> Column:
     g = col(group)
     return F.concat_ws("-", F.lit(prefix), F.when((g.isNotNull()) & (g != ""), slugify(g)), slugify(stem))
 
@@ -197,10 +197,34 @@ def embedding_text(title: Column, units: Column, kind: Column, headings: Column,
     return F.concat_ws("\n", F.concat(F.lit("Tài liệu: "), title), F.concat(F.lit("Đơn vị: "), F.array_join(units, ", ")), F.concat(F.lit("Loại: "), kind), F.concat(F.lit("Mục: "), F.array_join(headings, " > ")), pages, F.lit(""), F.trim(content))
 
 
-def point_id(version: Column | str, chunk: Column | str, namespace: str = "6ba7b8119dad11d180b400c04fd430c8", prefix: str = "ctu-student-service/chunk/") -> Column:
+def point_id(version: Column | str, chunk: Column | str, namespace: str = "6ba7b8119dad11d180b400c04fd430c8", prefix: str = "chunk/") -> Column:
     """UUID version 5 of the chunk's name under the URL namespace."""
     name = F.concat(F.lit(prefix), col(version), F.lit("/"), col(chunk))
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def report_fields(c: Column | str) -> Column:
+    """map<string, string> of a report's ``key: value`` lines, keys in lower case; the first of a key counts, other lines are noise."""
+    pattern = r"(?m)^[ \t]*(?:[-*][ \t]+)?([A-Za-z][A-Za-z0-9 _-]*?)[ \t]*:[ \t]*(\S[^\n]*?)[ \t]*$"
+    keys, found = (F.regexp_extract_all(col(c), F.lit(pattern), F.lit(k)) for k in (1, 2))
+    pairs = F.arrays_zip(F.transform(keys, F.lower).alias("k"), found.alias("v"))
+    first = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, 1, i), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(first)
+
+
+def tidy_markdown(c: Column | str) -> Column:
+    """Outside code fences: escaped list marks plain, headings without bold, empty emphasis gone; then blank lines tidied."""
+    rows = F.split(col(c), "\n")
+    fence = lambda x: x.rlike(r"^\s*(?:```|~~~)")
+
+    def line(x: Column, i: Column) -> Column:
+        out = F.regexp_replace(x, r"^(\s*)\\([-+*])(?=\s)", "$1$2")
+        out = F.regexp_replace(out, r"^(\s*\d+)\\([.)])(?=\s)", "$1$2")
+        out = F.regexp_replace(F.regexp_replace(out, r"^(#{1,6}\s+)\*\*(.+?)\*\*\s*$", "$1$2"), r"^\s*(?:\*\*\s*\*\*|__\s*__)\s*$", "")
+        inside = F.size(F.filter(F.slice(rows, 1, i), fence)) % 2 == 1
+        return F.when(inside | fence(x), x).otherwise(out)
+
+    return tidy_blank_lines(F.array_join(F.transform(rows, line), "\n"))

@@ -327,3 +327,29 @@ def contexts(hits: DataFrame, budget: int = 12_000) -> DataFrame:
             yield pd.DataFrame({"query_id": f["query_id"], "context": [pack_context([dict(h) if isinstance(h, dict) else h.asDict() for h in hs], budget) for hs in f["hits"]]})
 
     return whole.mapInPandas(run, f"query_id {hits.schema['query_id'].dataType.simpleString()}, context string")
+
+
+# ---- child units
+
+_ITEMS = ("numbered_item", "lettered_item", "bullet_item")
+
+
+def child_units(block_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, section, unit, block_type, page_start, page_end, item_key, parent_item_key, content, warning) from ``blocks``.
+
+    A section runs from one heading to the next. An item takes in the paragraphs that follow it; tables, code and other
+    paragraphs stand alone. A section of a heading alone is a unit if it is an article, else a warning without content.
+    """
+    order = Window.partitionBy(key).orderBy("source_order").rowsBetween(Window.unboundedPreceding, 0)
+    b = block_rows.withColumn("section", F.sum(F.when(F.col("block_type") == "heading", 1).otherwise(0)).over(order))
+    inside = Window.partitionBy(key, "section").orderBy("source_order")
+    owner = F.last(F.when(F.col("block_type") != "paragraph", F.col("block_type")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    joins = (F.col("block_type") == "paragraph") & F.coalesce(owner.isin(*_ITEMS), F.lit(False))
+    b = b.withColumn("alone", F.count("*").over(Window.partitionBy(key, "section")) == 1)
+    b = b.where((F.col("block_type") != "heading") | F.col("alone"))
+    b = b.withColumn("unit", F.sum(F.when(joins, 0).otherwise(1)).over(order))
+    first = lambda c: F.min_by(c, "source_order").alias(c)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_order", F.trim("content").alias("t")))), lambda x: x["t"]), "\n\n")
+    out = b.groupBy(key, "section", "unit").agg(first("block_type"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), first("item_key"), first("parent_item_key"), first("legal_unit"), text.alias("content"))
+    bare = (F.col("block_type") == "heading") & (F.col("legal_unit") != "article")
+    return out.withColumn("warning", F.when(bare, "context_only_parent")).withColumn("content", F.when(~bare, F.col("content"))).drop("legal_unit")

@@ -193,7 +193,7 @@ def checksum(spark, read):
     return read("documents").select("doc_id", T.checksum("text").alias("digest"))
 
 
-@query(f"select doc_id, 'ctu-' || {slug_sql('source')} || '-' || {slug_sql('substring(text, 1, 40)')} as document_key, 'ctu-' || {slug_sql('source')} || '-' || {slug_sql('substring(text, 1, 40)')} || '-' || substring(sha256(text), 1, 12) as version_key from documents")
+@query(f"select doc_id, 'doc-' || {slug_sql('source')} || '-' || {slug_sql('substring(text, 1, 40)')} as document_key, 'doc-' || {slug_sql('source')} || '-' || {slug_sql('substring(text, 1, 40)')} || '-' || substring(sha256(text), 1, 12) as version_key from documents")
 def doc_keys(spark, read):
     key = T.document_key(F.substring("text", 1, 40), "source")
     return read("documents").select("doc_id", key.alias("document_key"), T.version_key(key, T.checksum("text")).alias("version_key"))
