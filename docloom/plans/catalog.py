@@ -31,7 +31,7 @@ def catalog_summary(spark, read):
     return o.select("o_orderkey", F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("none")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"), (F.col("o_orderstatus") == "F").alias("done"), "n_name")
 
 
-@query("select o_orderkey, coalesce(n, 0) as n_lines, parts from orders left join (select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ',' order by l_linenumber) as parts from lineitem group by l_orderkey) on o_orderkey = l_orderkey")
+@query("select o_orderkey, coalesce(n, 0) as n_lines, parts from orders left join (select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) as parts from lineitem group by l_orderkey) on o_orderkey = l_orderkey")
 def catalog_detail(spark, read):
     one = read("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
     o = read("orders").join(one, F.col("o_orderkey") == F.col("l_orderkey"), "left")
