@@ -202,11 +202,11 @@ def payload_patch(spark, read):
     return read("documents").select("doc_id", F.when(F.col("source") == "src1", "indexed").otherwise("published").alias("rag_status"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_linenumber > 1 then l_orderkey * 10 + 1 end as parent_id from lineitem where l_orderkey % 2 = 1 union all select o_orderkey, 1, null from orders where o_orderkey % 2 = 0")
+@query("select l_orderkey, l_linenumber, case when l_linenumber > 1 then parent end as parent_id from lineitem left join (select distinct l_orderkey, l_orderkey * 10 + 1 as parent from lineitem where l_linenumber = 1) using (l_orderkey) where l_orderkey % 2 = 1 union all select o_orderkey, 1, null from orders where o_orderkey % 2 = 0")
 def chunks_replace(spark, read):
     old = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    parent = old.where("l_linenumber = 1").select("l_orderkey", F.col("id").alias("parent"))
-    kept = old.join(parent, "l_orderkey", "left").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") * 10 + 1).alias("parent_id"))
+    parent = old.where("l_linenumber = 1").select("l_orderkey", F.col("id").alias("parent")).distinct()
+    kept = old.join(parent, "l_orderkey", "left").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("parent")).alias("parent_id"))
     new = read("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(None).cast("long").alias("parent_id"))
     versions = new.select("l_orderkey").distinct()
     return kept.join(versions, "l_orderkey", "left_anti").unionByName(new)
