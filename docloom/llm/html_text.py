@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, then a host's suffix array over whatever structure leaves open.
+"""Main text of web pages: a host's suffix array over the blocks that structure proposes.
 
 A page is cut into blocks (block-level tags end a block; white space inside is one space). Each block is
 
@@ -7,13 +7,18 @@ A page is cut into blocks (block-level tags end a block; white space inside is o
 * main: in an article, else in main or role=main, else in an element whose class or id says content (``CONTENT``);
 * open: neither.
 
-A page with main blocks gives those. A page without any gives its open blocks less the boilerplate of its host: the
-token streams of the host's pages are taken together, every string of 50 bytes or more that occurs in two distinct
-pages or more is found with the suffix arrays of ``repeats`` (pieces by host and anchor, stack scan of the
-common-prefix intervals), and open blocks that such strings cover by half or more are removed; the unique runs stay.
-If that leaves nothing, the open blocks stay: a page and its copy are no boilerplate of each other.
+A page proposes its main blocks or, without any, its open blocks. The token streams of all pages of a host are taken
+together, and every string of 50 bytes or more that occurs in two distinct pages or more is found with the suffix
+arrays of ``repeats`` (pieces by host and anchor, stack scan of the common-prefix intervals), with its number of
+pages. Grams on one page alone are sorted out first, by 40 bits of gram and 32 of page: those bits only ever let too
+much through. Blocks that boilerplate covers by half or more are removed; the unique runs stay. Boilerplate is a string
 
-Equal texts on distinct pages inside an article are kept: they are the article.
+* that stands on ``least_pages`` of the host's pages (a fifth, at least 3, at most 30 are asked) and on more pages than
+  the page's own text does. The latter is what a quarter of the page's bytes do not exceed: a whole copy of an
+  article, or one with few edits, stands on as many pages as there are copies, so it is no boilerplate;
+* or, on an open page, that occurs in another open page.
+
+If that leaves nothing, all blocks stay: a page and its copy are no boilerplate of each other.
 
 Nulls and empty pages give an empty text. Rows that repeat a page_id each give a row. A missing or odd url is a
 host of its own, the empty one. Character references are decoded by the standard's table.
@@ -34,6 +39,8 @@ from docloom.llm import repeats
 from docloom.llm.common import mix, stored
 
 COVERED = 0.5
+FEWEST, ENOUGH, SHARE = 3, 30, 5
+_GRAM_BITS = (1 << 40) - 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|noscript|template|iframe|svg|title|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -142,89 +149,192 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def settled(found: list[tuple[str, str]]) -> tuple[str | None, list[str]]:
-    """(the main text, or None if the host has to decide; the open blocks)."""
+def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[str]]:
+    """(whether structure leaves the page open; its main blocks, or else its open ones)."""
     for kind in ("article", "main", "content"):
         if mine := [t for k, t in found if k == kind]:
             if kind == "main":
                 mine = [t for k, t in found if k in ("main", "content")]
-            return "\n\n".join(mine), []
-    rest = [t for k, t in found if k == "open"]
-    return (None, rest) if rest else ("", [])
+            return False, mine
+    return True, [t for k, t in found if k == "open"]
+
+
+def settled(found: list[tuple[str, str]]) -> tuple[str | None, list[str]]:
+    """(the main text by structure alone, or None if only the host can decide; the open blocks)."""
+    is_open, mine = chosen(found)
+    if is_open:
+        return (None, mine) if mine else ("", [])
+    return "\n\n".join(mine), []
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, row, html) to (page_id, url, row, text, open): text is null where open blocks are left."""
+    """(page_id, url, row, host, html) to (page_id, url, row, host, blocks): the last bit of row is set on open pages."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts, rests = zip(*(settled(blocks(x)) for x in part.column(3).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array(rests, pa.list_(pa.string()))], ["page_id", "url", "row", "text", "open"])
+            is_open, rests = zip(*(chosen(blocks(x)) for x in part.column(4).to_pylist()), strict=True)
+            row = (part.column(2).to_numpy() & ~1) | np.array(is_open, np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(row), part.column(3), pa.array(rests, pa.list_(pa.string()))], ["page_id", "url", "row", "host", "blocks"])
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, host, open) to suffix rows (gram, doc_id, start, bytes) of the page's token stream; the host is part of the gram."""
+def _segments(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    """(page number in the batch, start, windows, gram, bytes of all streams, where each begins) of a batch's pages; the host is part of the gram."""
+    raw = ["\n".join(rest).encode() for rest in batch.column(at + 1).to_pylist()]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    page, start, n, gram, _ = repeats.segments(data, offs)
+    host = batch.column(at).to_numpy().view(np.uint64)
+    return page, start, n, mix(gram.view(np.uint64) ^ host[page]).view(np.int64), data, offs
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of (row, host, blocks, ...) batches with about ``most`` characters; a longer page is a part alone."""
     for batch in batches:
-        for row, host, rest in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            raw = "\n".join(rest).encode()
-            data = np.frombuffer(raw, np.uint8)
-            _, start, n, gram, _ = repeats.segments(data, np.array([0, len(data)]))
-            if len(start):
-                key = mix(gram.view(np.uint64) ^ np.uint64(host & (2**64 - 1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(start), row)), pa.array(start), pa.array([raw[a : a + k + repeats.LENGTH - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())], ["gram", "doc_id", "start", "bytes"])
+        ends = np.cumsum([sum(map(len, rest)) + len(rest) for rest in batch.column(2).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _gram_blocks(n_buckets: int):
+    """(row, host, blocks) to column blocks of (40 bits of each gram, 32 bits of its page)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            gram, page = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return repeats.to_blocks(repeats._bucket_of(gram, n_buckets), [gram, page])
+
+        for part in _parts(batches):
+            page, _, _, gram, _, _ = _segments(part, 1)
+            if len(page):
+                held.append(((gram >> 24) & _GRAM_BITS, (part.column(0).to_numpy() >> 32)[page]))
+                size += len(page)
+            if size >= 1_000_000:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, gram) in short bits, of grams on two distinct pages of a host or more."""
+    for _, (gram, page) in repeats.from_blocks(batches, 2):
+        order = np.lexsort((page, gram))
+        gram, page = gram[order], page[order]
+        several = repeats.undecided(gram, gram, page)
+        new = np.append(True, (gram[1:] != gram[:-1]) | (page[1:] != page[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(page[several & new]), pa.array(gram[several & new])], ["page", "gram"])
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, blocks, grams) to suffix rows (gram, doc_id, start, bytes) of the page's token stream, for the given grams."""
+    for part in _parts(batches):
+        page, start, n, gram, data, offs = _segments(part, 1)
+        row = part.column(0).to_numpy()
+        named = [np.asarray(x, np.int64) for x in part.column(3).to_pylist()]
+        edges = np.searchsorted(page, np.arange(len(row) + 1))
+        keep = np.concatenate([np.isin((gram[a:b] >> 24) & _GRAM_BITS, x) for a, b, x in zip(edges[:-1], edges[1:], named, strict=True)] or [np.zeros(0, bool)])
+        page, start, n, gram = page[keep], start[keep], n[keep], gram[keep]
+        if len(page):
+            low = offs[page] + start
+            bodies = [data[a:b].tobytes() for a, b in zip(low.tolist(), (low + n + repeats.LENGTH - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(row[page]), pa.array(start), pa.array(bodies, pa.binary())], ["gram", "doc_id", "start", "bytes"])
+
+
+def _spread(group: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(open pages, pages) of each row's group: groups are 0, 1, ..."""
+    order = np.lexsort((page, group))
+    g, p = group[order], page[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]))
+    return np.bincount(g[new & (p & 1 == 1)], minlength=int(g[-1]) + 1)[group], np.bincount(g[new])[group]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges (row, pairs) of strings that occur in two distinct pages or more."""
+    """Ranges (row, quadruples of start, end, open pages, pages) of strings that occur in two distinct pages or more.
+
+    Rows are in order of gram and bytes. Equal segments are one suffix-array entry, however many pages hold them.
+    """
     for gram, page, start, bodies in repeats._buckets(batches):
-        edges = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        for a, b in zip(edges, [*edges[1:], len(gram)], strict=True):
-            if page[a:b].min() == page[a:b].max():
+        new = np.array([True] + [gram[k] != gram[k - 1] or bodies[k] != bodies[k - 1] for k in range(1, len(bodies))])
+        seg = np.cumsum(new) - 1
+        one = np.flatnonzero(new)
+        count = np.diff(np.append(one, len(gram)))
+        width = np.array([len(bodies[k]) for k in one])
+        found = [(page, start, start + width[seg], *_spread(seg, page))]
+        edges = np.flatnonzero(np.append(True, gram[one][1:] != gram[one][:-1]))
+        for a, b in zip(edges, [*edges[1:], len(one)], strict=True):
+            if b - a < 2 or page[one[a] : one[b - 1] + count[b - 1]].min() == page[one[a] : one[b - 1] + count[b - 1]].max():
                 continue
-            group, size, owner, window = repeats.repeat_groups(bodies[a:b], page[a:b])
+            group, size, owner, window = repeats.repeat_groups([bodies[k] for k in one[a:b]], np.arange(b - a))
             if not len(group):
                 continue
-            p = page[a:b][owner]
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            several = np.repeat(np.minimum.reduceat(p, first) != np.maximum.reduceat(p, first), np.diff(np.append(first, len(group))))
-            at = (start[a:b][owner] + window)[several]
-            d, x, y = repeats.joined(p[several], at, at + size[several])
-            if len(d):
-                cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                pairs = np.stack([x, y], axis=1).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array([q.tobytes() for q in np.split(pairs, cut[1:])], pa.binary())], ["row", "ranges"])
-
-
-def unique_runs(rest: list[str], ranges: list[bytes]) -> str:
-    """The open blocks that repeated ranges of the stream cover by less than half."""
-    pairs = np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 2)
+            times = count[a + owner]
+            entry = np.repeat(np.arange(len(group)), times)
+            at = np.repeat(one[a + owner] - (np.cumsum(times) - times), times) + np.arange(len(entry))
+            x = start[at] + window[entry]
+            found.append((page[at], x, x + size[entry], *_spread(group[entry], page[at])))
+        page, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        several = rest[3] > 1
+        quads = np.unique(np.stack([page, *rest], axis=1)[several], axis=0)
+        if len(quads):
+            cut = np.flatnonzero(np.append(True, quads[1:, 0] != quads[:-1, 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(quads[cut, 0]), pa.array([np.ascontiguousarray(q[:, 1:], "<i8").tobytes() for q in np.split(quads, cut[1:])], pa.binary())], ["row", "ranges"])
+
+
+def least_pages(n_pages: int) -> int:
+    """On how many of a host's pages a string stands at least that is boilerplate even inside an article."""
+    return max(FEWEST, min(ENOUGH, -(-n_pages // SHARE)))
+
+
+def unique_runs(rest: list[str], ranges: list[bytes], is_open: bool, n_pages: int) -> list[str]:
+    """The blocks that boilerplate of the host covers by less than half; all of them if none is left."""
+    quads = np.frombuffer(b"".join(ranges), "<i8").reshape(-1, 4)
+    if not len(quads):
+        return rest
     total = sum(len(t.encode()) + 1 for t in rest)
-    gone = np.zeros(total + 1, bool)
-    for a, b in pairs.tolist():
-        gone[a:b] = True
+    of_open, of_all = np.zeros(total, np.int64), np.ones(total, np.int64)
+    for out, k in ((of_open, 2), (of_all, 3)):
+        for a, b, n in quads[np.argsort(quads[:, k], kind="stable")][:, [0, 1, k]].tolist():  # the most pages last
+            out[a:b] = n
+    copies = np.partition(of_all, total // 4)[total // 4]
+    gone = (of_all > copies) & (of_all >= least_pages(n_pages))
+    if is_open:
+        gone |= of_open > 1
     kept, at = [], 0
     for t in rest:
         size = len(t.encode())
         if gone[at : at + size].sum() < COVERED * size:
             kept.append(t)
         at += size + 1
-    return "\n\n".join(kept or rest)
+    return kept or rest
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, row, blocks, ranges, n_pages) to the result's rows."""
     for batch in batches:
-        text = [t if t is not None else unique_runs(rest, ranges or []) for t, rest, ranges in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+        text = ["\n\n".join(unique_runs(rest, ranges or [], row & 1 == 1, n or 0)) for row, rest, ranges, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html)."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("page_id", "url", "html").alias("row"), F.coalesce("html", F.lit("")).alias("html"))
-    parsed = source.mapInArrow(_parse, "page_id long, url string, row long, text string, open array<string>")
-    open_ = stored(parsed.where("text is null").select("page_id", "url", "row", "open"), "open-pages")
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
-    suffixes = open_.dropDuplicates(["row"]).select("row", host.alias("host"), "open").mapInArrow(_streams, "gram long, doc_id long, start long, bytes binary")
-    ranges = suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "row long, ranges binary").groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
-    rest = open_.join(ranges, "row", "left").select("page_id", "url", F.lit(None).cast("string").alias("text"), "open", "ranges")
-    done = parsed.where("text is not null").select("page_id", "url", "text", "open", F.lit(None).cast("array<binary>").alias("ranges"))
-    return done.unionByName(rest).mapInArrow(_decide, "page_id long, url string, text string, n_chars long")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("page_id", "url", "html").alias("row"), F.coalesce("html", F.lit("")).alias("html"))
+    source = source.select("page_id", "url", "row", host.alias("host"), "html")
+    parsed = source.mapInArrow(_parse, "page_id long, url string, row long, host long, blocks array<string>")
+    short = F.shiftright("row", 32)
+    grams = parsed.select("row", "host", "blocks").mapInArrow(_gram_blocks(n), repeats._BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "page long, gram long")
+    shared = stored(grams.groupBy("page").agg(F.collect_list("gram").alias("grams")), "shared-grams")
+    suffixes = parsed.select("row", "host", "blocks", short.alias("page")).join(shared, "page").select("row", "host", "blocks", "grams").mapInArrow(_streams, "gram long, doc_id long, start long, bytes binary")
+    ranges = suffixes.repartition("gram").sortWithinPartitions("gram", "bytes").mapInArrow(_repeated, "row long, ranges binary").groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = stored(ranges, "host-repeats")
+    sizes = source.select("host", "row").groupBy("host").agg(F.count_distinct("row").alias("n_pages"))
+    return parsed.join(ranges, "row", "left").join(sizes, "host", "left").select("page_id", "url", "row", "blocks", "ranges", "n_pages").mapInArrow(_decide, "page_id long, url string, text string, n_chars long")

@@ -73,3 +73,25 @@ def test_host_boilerplate_and_odd_rows(spark):
     assert got[10].count(strip) == 2 and got[20] == got[21] == got[24] == ""
     assert got[22] == "just text & more" and got[23] == "unclosed" and got[30] == got[31] != "" and len(got[40]) == 499_999
     assert h.main_text(df.limit(0)).count() == 0
+
+
+def test_boilerplate_inside_articles(spark):
+    line = "Subscribe to our letter and never miss one of our daily reports again"
+    box = "About the author: this person has written for our pages for more than twenty years now"
+    body = lambda k: f"Unique report number {k} says {'abcdefghij'[k] * 60}."
+    copy = "The same story was printed by several of our pages, word for word, on one day. " * 4
+    page = lambda *texts, tag="article": f"<nav>Menu</nav><{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>"
+    rows = [(k, f"http://a.example/{k}", page(line, body(k), box)) for k in range(6)]
+    rows += [(10 + k, f"http://a.example/copy/{k}", page(line, copy, box)) for k in range(4)]
+    rows += [(20, "http://b.example/", page(line, body(0), box)), (21, "http://a.example/open", f"<div>{line}</div><div>{body(7)}</div>")]
+    rows += [(30 + k, f"http://c.example/{k}", page(copy, tag="main")) for k in range(5)]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(6)] == [body(k) for k in range(6)] and got[21] == body(7)
+    assert {got[k] for k in range(10, 14)} == {got[k] for k in range(30, 35)} == {copy.strip()}
+    assert got[20] == "\n\n".join([line, body(0), box])
+
+
+def test_parts_are_bounded():
+    rests = [["x" * 600_000], ["y" * 600_000], ["z" * 3_000_000], [], ["a", "b"]]
+    batch = h.pa.RecordBatch.from_arrays([h.pa.array(range(5)), h.pa.array(range(5)), h.pa.array(rests)], ["row", "host", "blocks"])
+    assert [p.column(0).to_pylist() for p in h._parts(iter([batch]))] == [[0], [1], [2], [3, 4]]
