@@ -1,22 +1,23 @@
 """MinHash near-duplicate classes with sequential Bayesian verification.
 
 A document's set holds the distinct 5-word shingles of its lower-cased words (with fewer words, the whole
-sequence once). Two documents are linked when 100 * |A & B| >= 85 * |A | B|; a class is a connected component.
+sequence once). Two documents are linked when 100 * |A & B| >= percent * |A | B|; a class is a connected component.
+``Limits`` holds percent and the bands that go with it: 85 for op7's contract (``CONTRACT``), 80 in the pipeline (``STAGE``).
 
 1. One pass over the texts gives each document its set's size, a 128-bit digest of the set, 504 MinHash values,
-   one byte of each (its marks), and 36 bands of 7 of the first 252. Documents with equal digests collapse into
+   one byte of each (its marks), and bands of the first ones (36 of 7 at 85, 46 of 6 at 80). Documents with equal digests collapse into
    one representative, so copies never meet as pairs.
 2. In each bucket of a band, every member is paired with the bucket's first member and with its neighbour in
    an order that differs by band: linear in the bucket, whatever its size.
 3. Signature batches of a pair are compared in sequence. After each batch the pair is dropped when the posterior
-   probability (uniform prior) of a similarity of 0.85 or more is under ``miss`` = 1e-6.
+   probability (uniform prior) of a similarity of percent or more is under ``miss`` = 1e-6.
 4. Survivors are checked on the full sets. Linked pairs give components by large-star / small-star rounds.
 5. In buckets that still hold several components, every pair between different components is compared by the
    same sequential test, so a link that step 2 did not try is not lost. That happens inside the tasks, in blocks
    of two slots of some 512 members (larger buckets are dealt out over their pairs of slots); only pairs that
    pass become rows, and are verified as in 4. Then the components are made again.
 
-A pair of similarity 0.85 shares no bucket with a chance of 1e-6. Sets are compared by 64-bit shingle hashes.
+A pair at the limit shares no bucket with a chance of 1e-6 (see ``Limits.miss_chance``). Sets are compared by 64-bit shingle hashes.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing. Rows that repeat a doc_id count
 as one document: the one with the most shingles (then the largest digest). Ties in an order go by doc_id.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,27 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ASCII_SPACE, binary_rows, id_text, mix, rolled, stored, text_chunks, view, words
 
-WORDS, BANDS, ROWS, BATCH, HASHES = 5, 36, 7, 42, 504
-PERCENT, MISS = 85, 1e-6
+WORDS, BATCH, HASHES = 5, 42, 504
+MISS = 1e-6
 SLOT, BROADCAST_IDS = 512, 1_000_000
 _SIG = "doc_id long, n_shingles long, digest string, marks binary, bands array<long>"
 
 
+class Limits(NamedTuple):
+    """The least similarity in percent, and the bands of MinHash rows that find pairs of it."""
+
+    percent: int
+    bands: int
+    rows: int
+
+    def miss_chance(self) -> float:
+        """The chance that a pair at the limit shares no band."""
+        return (1 - (self.percent / 100) ** self.rows) ** self.bands
+
+
+CONTRACT, STAGE = Limits(85, 36, 7), Limits(80, 46, 6)
+
+
 @lru_cache
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     x = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -73,21 +90,26 @@ def minhash(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, offs in text_chunks(batches, 1 << 20):
-        sizes, digests, marks, bands = [], [], [], []
-        for s in shingle_sets(data, offs):
-            sizes.append(len(s))
-            digests.append(_digest(s))
-            sig = minhash(s)
-            marks.append((sig & np.uint32(255)).astype(np.uint8))
-            bands.append(sig[: BANDS * ROWS])
-        keys = np.zeros((len(ids), BANDS), np.uint64)
-        rows = np.array(bands).reshape(len(ids), BANDS, ROWS)
-        for j in range(ROWS):
-            keys = mix(keys * np.uint64(31) + rows[:, :, j])
-        at = pa.array(np.arange(0, BANDS * len(ids) + 1, BANDS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(digests), binary_rows(marks), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], ["doc_id", "n_shingles", "digest", "marks", "bands"])
+def _signatures(limits: Limits):
+    _, n_bands, n_rows = limits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, offs in text_chunks(batches, 1 << 20):
+            sizes, digests, marks, bands = [], [], [], []
+            for s in shingle_sets(data, offs):
+                sizes.append(len(s))
+                digests.append(_digest(s))
+                sig = minhash(s)
+                marks.append((sig & np.uint32(255)).astype(np.uint8))
+                bands.append(sig[: n_bands * n_rows])
+            keys = np.zeros((len(ids), n_bands), np.uint64)
+            rows = np.array(bands).reshape(len(ids), n_bands, n_rows)
+            for j in range(n_rows):
+                keys = mix(keys * np.uint64(31) + rows[:, :, j])
+            at = pa.array(np.arange(0, n_bands * len(ids) + 1, n_bands, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(digests), binary_rows(marks), pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))], ["doc_id", "n_shingles", "digest", "marks", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +119,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @lru_cache
-def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH, total: int = HASHES) -> tuple[tuple[int, int], ...]:
+def least_matches(percent: int = CONTRACT.percent, miss: float = MISS, batch: int = BATCH, total: int = HASHES) -> tuple[tuple[int, int], ...]:
     """(n, m): after n compared values a pair with fewer than m matches has a posterior under ``miss``."""
     s = (np.arange(20_000) + 0.5) / 20_000
     p = s + (1 - s) / 256  # equal low bytes by chance
@@ -112,33 +134,40 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH
     return tuple(out)
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plausible(limits: Limits):
     """Rows (a, b, marks_a, marks_b) that pass every batch of the sequential test."""
-    for batch in batches:
-        keep = np.arange(batch.num_rows)
-        if not len(keep):
-            continue
-        a, b = (np.stack(list(view(batch.column(k), "u1"))) for k in (2, 3))
-        before, met = 0, np.zeros(len(keep), np.int64)
-        for n, m in least_matches():
-            met = met + (a[keep, before:n] == b[keep, before:n]).sum(axis=1)
-            keep, met, before = keep[met >= m], met[met >= m], n
-        yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(view(batch.column(2), "u8"), view(batch.column(3), "u8"), strict=True):
-            both = len(x) + len(y)
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            met = 0
-            if len(small) * 100 >= PERCENT * len(large) and len(small):
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                met = int((large[at] == small).sum())
-            ok.append(100 * met >= PERCENT * (both - met) and met > 0)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.arange(batch.num_rows)
+            if not len(keep):
+                continue
+            a, b = (np.stack(list(view(batch.column(k), "u1"))) for k in (2, 3))
+            before, met = 0, np.zeros(len(keep), np.int64)
+            for n, m in least_matches(limits.percent):
+                met = met + (a[keep, before:n] == b[keep, before:n]).sum(axis=1)
+                keep, met, before = keep[met >= m], met[met >= m], n
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _linked(limits: Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(view(batch.column(2), "u8"), view(batch.column(3), "u8"), strict=True):
+                both = len(x) + len(y)
+                small, large = (x, y) if len(x) < len(y) else (y, x)
+                met = 0
+                if len(small) * 100 >= limits.percent * len(large) and len(small):
+                    at = np.searchsorted(large, small)
+                    at[at == len(large)] = 0
+                    met = int((large[at] == small).sum())
+                ok.append(100 * met >= limits.percent * (both - met) and met > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -164,50 +193,54 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross_pairs(limits: Limits):
     """Plausible pairs of different components within blocks, from rows (block, rep, c, slot, marks, band, bands) in order of block.
 
     Marks are compared here, so no pair that fails becomes a row; and a pair is only looked at in the first band that it shares.
     """
-    held: list[pa.RecordBatch] = []
-
-    def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, rep, c, slot = (t.column(k).to_numpy() for k in range(4))
-        marks = np.stack(list(view(t.column(4).combine_chunks(), "u1")))
-        band = t.column(5).to_numpy()
-        keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        found = []
-        for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
-            x, y = np.triu_indices(b - a, 1) if b - a <= 64 else (None, None)
-            for i in [None] if x is not None else range(a, b - 1):
-                p, q = (x + a, y + a) if i is None else (np.full(b - i - 1, i), np.arange(i + 1, b))
-                apart = c[p] != c[q]
-                if slot[a:b].min() != slot[a:b].max():  # pairs within one slot are met in that slot's own block
-                    apart &= slot[p] != slot[q]
-                p, q = p[apart], q[apart]
-                earlier = (keys[p, : band[a]] == keys[q, : band[a]]).any(axis=1)
-                p, q = p[~earlier], q[~earlier]
-                met, before = np.zeros(len(p), np.int64), 0
-                for n, m in least_matches():
-                    met += (marks[p, before:n] == marks[q, before:n]).sum(axis=1)
-                    p, q, met, before = p[met >= m], q[met >= m], met[met >= m], n
-                if len(p):
-                    found.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])]))
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    for batch in batches:
-        held.append(batch)
-        t = pa.Table.from_batches(held)
-        block = t.column(0).to_numpy()
-        cut = int(np.searchsorted(block, block[-1])) if len(block) else 0
-        if cut:
-            yield from some(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-    if held and (t := pa.Table.from_batches(held)).num_rows:
-        yield from some(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, rep, c, slot = (t.column(k).to_numpy() for k in range(4))
+            marks = np.stack(list(view(t.column(4).combine_chunks(), "u1")))
+            band = t.column(5).to_numpy()
+            keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, limits.bands)
+            edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            found = []
+            for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
+                x, y = np.triu_indices(b - a, 1) if b - a <= 64 else (None, None)
+                for i in [None] if x is not None else range(a, b - 1):
+                    p, q = (x + a, y + a) if i is None else (np.full(b - i - 1, i), np.arange(i + 1, b))
+                    apart = c[p] != c[q]
+                    if slot[a:b].min() != slot[a:b].max():  # pairs within one slot are met in that slot's own block
+                        apart &= slot[p] != slot[q]
+                    p, q = p[apart], q[apart]
+                    earlier = (keys[p, : band[a]] == keys[q, : band[a]]).any(axis=1)
+                    p, q = p[~earlier], q[~earlier]
+                    met, before = np.zeros(len(p), np.int64), 0
+                    for n, m in least_matches(limits.percent):
+                        met += (marks[p, before:n] == marks[q, before:n]).sum(axis=1)
+                        p, q, met, before = p[met >= m], q[met >= m], met[met >= m], n
+                    if len(p):
+                        found.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])]))
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            block = t.column(0).to_numpy()
+            cut = int(np.searchsorted(block, block[-1])) if len(block) else 0
+            if cut:
+                yield from some(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from some(t)
+
+    return run
 
 
 def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -216,10 +249,10 @@ def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document; see the module's docstring."""
     texts = id_text(docs)
-    sig = stored(texts.mapInArrow(_signatures, _SIG), "signatures")
+    sig = stored(texts.mapInArrow(_signatures(limits), _SIG), "signatures")
     one = sig
     if not sig.groupBy("doc_id").count().where("count > 1").isEmpty():
         one = sig.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "marks", "bands")).alias("x")).select("doc_id", "x.*")
@@ -234,14 +267,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = stored(tried.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "candidates")
     m = reps.select("rep", "marks")
     left, right = m.select(F.col("rep").alias("a"), F.col("marks").alias("ma")), m.select(F.col("rep").alias("b"), F.col("marks").alias("mb"))
-    likely = tried.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_plausible, "a long, b long")
+    likely = tried.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_plausible(limits), "a long, b long")
 
     def verified(likely: DataFrame, name: str) -> DataFrame:
         likely = stored(likely, f"{name}-likely")
         named = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
         sets = _chosen(texts, named).mapInArrow(_sets, "doc_id long, n long, digest string, items binary").groupBy("doc_id").agg(F.max_by("items", F.struct("n", "digest")).alias("items"))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
-        return stored(likely.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_linked, "a long, b long"), f"{name}-links")
+        return stored(likely.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_linked(limits), "a long, b long"), f"{name}-links")
 
     links = verified(likely, "first")
     found = components(links)
@@ -249,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / SLOT).alias("slots")).where("low <> high").select("band", "key", "slots")
     open_ = placed.join(split, ["band", "key"]).join(reps.select("rep", "marks", "bands"), "rep").selectExpr("band", "key", "rep", "c", "marks", "bands", "slots", "pmod(xxhash64(rep), slots) as slot")
     open_ = open_.withColumn("other", F.explode(F.expr("sequence(0L, slots - 1)"))).selectExpr("xxhash64(band, key, least(slot, other), greatest(slot, other)) as block", "rep", "c", "slot", "marks", "band", "bands")
-    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs, "a long, b long").join(tried, ["a", "b"], "left_anti")
+    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs(limits), "a long, b long").join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, "second"))
     found = components(links).withColumnRenamed("id", "rep")
 
@@ -258,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, limits: Limits = STAGE) -> DataFrame:
     """The documents without all but the first of each near-duplicate class. Rows without a doc_id go."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = near_duplicates(docs, limits).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")

@@ -67,3 +67,21 @@ def test_buckets_larger_than_a_slot(spark, monkeypatch):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(base[: 60 - k % 3] + [f"x{k}-{j}" for j in range(k % 11)])) for k in range(80)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_the_stage_collapses_pairs_from_80_percent(spark):
+    words = [f"w{k}" for k in range(304)]
+    rows = []
+    for k in range(40):  # pairs of 0.80 to 0.85: 300 shingles each, one changed run of words at the end
+        own = [f"{w}-{k}" for w in words]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 304 - 25 - k % 9] + [f"x{j}-{k}" for j in range(25 + k % 9)]))]
+    rows += [(100, " ".join(words)), (101, " ".join(words[:264] + [f"y{j}" for j in range(40)]))]  # under 0.80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in neardup.keep_one_of_each(df).collect()}
+    assert left == {2 * k for k in range(40)} | {100, 101}
+    assert near_duplicates(df).where("kept").count() == len(rows)
+
+
+def test_bands_find_pairs_at_the_limits():
+    for limits in (neardup.CONTRACT, neardup.STAGE):
+        assert limits.miss_chance() < 1.5e-6 and limits.bands * limits.rows <= neardup.HASHES
