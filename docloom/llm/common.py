@@ -9,10 +9,11 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
-import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,19 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The folder that driver and executors share: spark.checkpoint.dir, with its file system spelled out; own if unset on a single machine.
+
+    What operators write there (tables that cut lineage, token shards) must outlive the frames that read it, so nothing
+    is removed here: the folder belongs to the job, and goes with it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="docloom-")  # one machine alone, as in tests
+        spark.conf.set("spark.checkpoint.dir", found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -52,7 +60,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], Any], most_bytes: int, most_document: int = 1 << 20) -> Any:
+    """``fit(texts, labels)`` of a bounded sample (doc_id, text, label), run in one task; only its result comes to the driver.
+
+    Documents over ``most_document`` bytes are not trained on, and in hash order of doc_id so many of the others are
+    taken as ``most_bytes`` hold. A doc_id with several texts gives its largest.
+    """
+    rows = rows.where(F.octet_length("text") <= most_document).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    rows = rows.selectExpr("doc_id", "text", "cast(label as int) as label", "sum(octet_length(text)) over (order by xxhash64(doc_id), doc_id rows unbounded preceding) as upto")
+    rows = rows.where(F.col("upto") <= most_bytes).select("doc_id", "text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())])).sort_by("doc_id")
+        model = fit([x.encode() for x in t.column("text").to_pylist()], t.column("label").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else fit([], np.zeros(0, np.int32))
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of about ``most`` bytes from (doc_id, text, ...) batches; a longer text makes a chunk alone."""
     for batch in batches:
         n = batch.num_rows
@@ -87,7 +114,7 @@ _BASE, _POWERS = 0xD6E8FEB86659FD93, {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if _POWERS.get("n", 0) < n:
-        size = max(1 << 21, n)
+        size = max(1 << 20, n)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))

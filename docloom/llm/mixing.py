@@ -12,8 +12,8 @@ to the least and most rate after each, so no table is rewritten between steps. W
 ridge) the objective cannot rise. It stops after ``steps`` = 30, or when no total moves by 1e-9 of N.
 
 The classifier: softmax regression over 15 figures of a text (shares of character kinds, word statistics, and each
-domain's strongest word n-gram log-odds), fitted on at most ``most_labelled`` = 4,000 labelled documents, taken in
-hash order of doc_id.
+domain's strongest word n-gram log-odds), fitted on at most ``most_labelled`` = 4,000 labelled documents of at most
+1 MiB each and ``most_bytes`` (32 MiB) in all, taken in hash order of doc_id.
 
 Tokens are words between white space. Nulls and empty texts have none, and the rate of their posteriors. A doc_id
 with several labels takes the largest toxic, then the least quality. Without labels all documents belong to high.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_SPACE, id_text, spaced, stored, text_chunks
+from docloom.llm.common import ASCII_SPACE, fitted, id_text, spaced, stored, text_chunks
 from docloom.llm.toxicity import GRAM_SLOTS, document_counts, tokens, tokens_of_many
 
 DOMAINS = ("high", "low", "toxic")
@@ -72,11 +72,11 @@ class Classifier:
         if len(self.known) < 2:
             return
         number, first, slots = tokens_of_many(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(first))
         for k in self.known:
-            up, down = document_counts(doc, number, slots, domain == k)
+            up, down = document_counts(first, number, slots, domain == k)
             odds = np.log((up + 0.3) / ((domain == k).sum() + 1)) - np.log((down + 0.3) / ((domain != k).sum() + 1))
             self.odds[k] = np.where(up + down >= 3, odds * (up + down) / (up + down + 3.0), 0)
+        del number, first, slots
         x = np.concatenate([figures(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), self.odds)[1] for part in (texts[i : i + 200] for i in range(0, len(texts), 200))])
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = np.append((x - self.mean) / self.spread, np.ones((len(x), 1)), axis=1)
@@ -103,11 +103,11 @@ class Classifier:
         return n, self._softmax(np.append(x, np.ones((len(x), 1)), axis=1) @ self.w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4_000) -> Classifier:
-    marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.expr("max(case when toxic > 0 then 2 when quality > 0 then 0 else 1 end)").alias("domain"))
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4_000, most_bytes: int = 32 << 20) -> Classifier:
+    """The classifier, trained in one task on a bounded sample of the labelled documents."""
+    marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.expr("max(case when toxic > 0 then 2 when quality > 0 then 0 else 1 end)").alias("label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # at most so many rows: may be broadcast
-    rows = id_text(docs).join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return Classifier([t.encode() for t in rows.column("text").to_pylist()], rows.column("domain").to_numpy().astype(np.int64))
+    return fitted(id_text(docs).join(F.broadcast(sample), "doc_id"), Classifier, most_bytes)
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -6,7 +6,7 @@ words; windows begin every 12 words and one ends with the text, so all words are
 window gives a logit; a document's score is the calibrated logistic of its largest, and 0 without words.
 
 Training uses at most ``most_positive`` + ``most_negative`` labelled documents (1,500 and 3,000, in hash order of
-doc_id, held-out rows excluded), since labels mark whole documents: n-gram log-odds first pick the windows that
+doc_id, held-out rows excluded) of at most 1 MiB each and ``most_bytes`` (32 MiB) in all, in one task; labels mark whole documents: n-gram log-odds first pick the windows that
 stand for a document, then the network is trained on them, then clean documents' highest windows are added and
 training goes on, and last the document scores are calibrated on the same documents. The seed is fixed.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, id_text, prefix_hash, range_hash, spaced, text_chunks
+from docloom.llm.common import ascii_lower, fitted, id_text, prefix_hash, range_hash, spaced, text_chunks
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 24, 12, 8, 8, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 17
@@ -50,7 +50,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return number.ravel(), np.searchsorted(np.flatnonzero(edge == 1), begins), np.stack(slots, axis=1).astype(np.int64)
 
 
-def tokens_of_many(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of_many(texts: list[bytes], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``tokens`` of a list, some texts at a time; a word may get several numbers."""
     parts, some, size = [], [], 0
     for k, t in enumerate(texts):
@@ -66,15 +66,21 @@ def tokens_of_many(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray,
     return np.concatenate([n + np.int32(b) for (n, _, _), b in zip(parts, base, strict=False)]), first, np.concatenate([s for _, _, s in parts])
 
 
-def document_counts(doc: np.ndarray, number: np.ndarray, slots: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In how many flagged and other documents each n-gram slot occurs."""
-    pair = np.unique(doc * np.int64(len(slots)) + number)
-    of, word = pair // len(slots), pair % len(slots)
+def document_counts(first: np.ndarray, number: np.ndarray, slots: np.ndarray, flag: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """In how many flagged and other documents each n-gram slot occurs, some documents at a time."""
     out = [np.zeros(GRAM_SLOTS, np.int64), np.zeros(GRAM_SLOTS, np.int64)]
-    for k in range(1, slots.shape[1]):
-        once = np.unique(of * GRAM_SLOTS + slots[word, k])
-        for side, mine in zip(out, (flag[once // GRAM_SLOTS], ~flag[once // GRAM_SLOTS]), strict=True):
-            side += np.bincount(once[mine] % GRAM_SLOTS, minlength=GRAM_SLOTS)
+    at = 0
+    while at < len(flag):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + most, side="right")) - 1)
+        doc = np.repeat(np.arange(to - at), np.diff(first[at : to + 1]))
+        pair = np.unique(doc * np.int64(len(slots)) + number[first[at] : first[to]])
+        of, word = pair // max(1, len(slots)), pair % max(1, len(slots))
+        mine = flag[at:to]
+        for k in range(1, slots.shape[1]):
+            once = np.unique(of * GRAM_SLOTS + slots[word, k])
+            for side, some in zip(out, (mine[once // GRAM_SLOTS], ~mine[once // GRAM_SLOTS]), strict=True):
+                side += np.bincount(once[some] % GRAM_SLOTS, minlength=GRAM_SLOTS)
+        at = to
     return out[0], out[1]
 
 
@@ -188,6 +194,17 @@ def window_logits(net: Network, number: np.ndarray, first: np.ndarray, slots: np
     return text, start, out
 
 
+def all_logits(net: Network, number: np.ndarray, first: np.ndarray, slots: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """``window_logits`` of many texts, some at a time, each with the words it uses."""
+    out, at, n = [np.zeros(0, np.float32)], 0, len(first) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(first, first[at] + most, side="right")) - 1)
+        used, local = np.unique(number[first[at] : first[to]], return_inverse=True)
+        out.append(window_logits(net, local.ravel(), first[at : to + 1] - first[at], slots[used])[2])
+        at = to
+    return np.concatenate(out)
+
+
 def best_by_text(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """The largest value of each text, -inf without one."""
     out = np.full(n, -np.inf)
@@ -201,13 +218,12 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7, rounds: int = 2,
     if not y.any() or y.all():
         return net
     number, first, slots = tokens_of_many(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
     # log-odds of the n-grams over documents, and of each word as its strongest n-gram's
-    up, down = document_counts(doc, number, slots, y)
+    up, down = document_counts(first, number, slots, y)
     odds = np.log((up + 0.2) / (y.sum() + 1)) - np.log((down + 0.2) / ((~y).sum() + 1))
     odds = np.where(up + down >= 3, odds, np.minimum(odds, 0.5)) * np.sqrt((up + down) / (up + down + 2.0))
     net.gram[:, 0] = odds / 2
-    strong = odds[slots[:, 1:]].max(axis=1)[number]
+    strong = odds[slots[:, 1:]].max(axis=1).astype(np.float32)[number]
     text, start = windows(first)
     hint = np.full(len(text), -9.0)
     for k in range(WINDOW):
@@ -254,7 +270,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7, rounds: int = 2,
                 for vectors, sq, rows, dd in ((net.word, square[0], slots[real, 0], dv[:, :DIM]), (net.gram, square[1], grams.ravel(), np.repeat(dv[:, DIM:] / grams.shape[1], grams.shape[1], axis=0))):
                     np.add.at(sq, rows, (dd**2).mean(axis=1))
                     np.add.at(vectors, rows, (-0.05 * dd / np.sqrt(sq[rows])[:, None]).astype(np.float32))
-        value = window_logits(net, number, first, slots)[2]
+        value = all_logits(net, number, first, slots)
     best = best_by_text(text, value, len(texts))
     seen = np.isfinite(best)
     # a logistic fit of the documents' scores; the target is a little short of 0 and 1
@@ -278,14 +294,17 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 1_500, most_negative: int = 3_000) -> Network:
-    """The network, trained on a bounded sample of the labelled documents that are not held out."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out())
-    some = lambda kind, n: marks.where(f"toxic {kind} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def _network(texts: list[bytes], label: np.ndarray) -> Network:
+    return train(texts, label > 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 1_500, most_negative: int = 3_000, most_bytes: int = 32 << 20) -> Network:
+    """The network, trained in one task on a bounded sample of the labelled documents that are not held out."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label")).where(~held_out())
+    some = lambda kind, n: marks.where(f"label {kind} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = some(">", most_positive).unionByName(some("<=", most_negative))
     # at most the sum of both bounds in rows, so this side may be broadcast
-    rows = id_text(docs).join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train([t.encode() for t in rows.column("text").to_pylist()], rows.column("toxic").to_numpy() > 0)
+    return fitted(id_text(docs).join(F.broadcast(sample), "doc_id"), _network, most_bytes)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
