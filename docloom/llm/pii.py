@@ -12,7 +12,7 @@ each kind's share; a logistic span classifier over votes, kind and length is the
 Both are loops of one aggregation each; the driver holds only their parameters.
 
 Base spans stay, whatever the classifier says. It adds candidates that it accepts (probability 0.5 or more) and that
-overlap no base span; of overlapping ones the more probable, then the earlier.
+overlap no base span; of those, in order of probability, then place, each one that overlaps none taken before it.
 
 The patterns are written so that no run of characters is tried from each of its places. Nulls and empty texts have no
 spans. Rows that repeat a doc_id each give their result. Without candidates nothing is trained.
@@ -187,7 +187,7 @@ def trained(counted: DataFrame, steps: int = 25) -> list[float]:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, row, k, start, end, base, score): base spans and those that the classifier adds."""
     found = stored(candidates(docs), "pii-candidates")
-    counted = stored(found.groupBy("k", "size", *LABELERS).agg(F.count("*").alias("n")).coalesce(1), "pii-votes")
+    counted = stored(found.groupBy("k", "size", *LABELERS).agg(F.count("*").alias("n")), "pii-votes")
     found = found.select("doc_id", "row", "k", "start", "end", "base", _score(trained(counted)).alias("score")).where("base or score >= 0.5")
     # overlap: against base spans, then among added ones, by the reach of earlier spans
     w = "partition by doc_id, row order by start, end"
@@ -195,20 +195,23 @@ def spans(docs: DataFrame) -> DataFrame:
     found = found.where("base or (coalesce(base_before, 0) <= start and (base_after is null or base_after >= end))")
     added = found.where("not base").selectExpr("*", f"max(end) over ({w} rows between unbounded preceding and 1 preceding) as reach")
     added = added.selectExpr("*", f"sum(if(reach is null or start >= reach, 1, 0)) over ({w} rows unbounded preceding) as pile")
-    added = added.selectExpr("*", "row_number() over (partition by doc_id, row, pile order by score desc, start, k) as best").where("best = 1")
+    # in each pile of touching spans the most probable first; a span stays if it overlaps none that stays
+    added = added.groupBy("doc_id", "row", "pile").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "start", "k", "end", "base", "score"))).alias("s"))
+    apart = "(kept, x) -> if(exists(kept, y -> y.start < x.end and x.start < y.end), kept, array_append(kept, x))"
+    added = added.selectExpr("doc_id", "row", f"explode(aggregate(s, slice(s, 1, 0), {apart})) as x").select("doc_id", "row", "x.*")
     names = ["doc_id", "row", "k", "start", "end", "base", "score"]
     return found.where("base").select(*names).unionByName(added.select(*names))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each document row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each document row; n_spans counts base and added spans."""
     one = "concat(array('" + "','".join(KINDS) + "')[x.k], ':', x.start, ':', x.end)"
     listed = lambda c: F.array_join(F.expr(f"transform(array_sort({c}), x -> {one})"), ",")
     found = spans(docs).withColumn("s", F.struct("k", "start", "end"))
-    found = found.groupBy("doc_id", "row").agg(*[F.count_if((F.col("k") == k) & F.col("base")).alias(f"n_{kind}") for k, kind in enumerate(BASE)], F.collect_list(F.when(F.col("base"), F.col("s"))).alias("b"), F.collect_list("s").alias("a"))
-    found = found.select("doc_id", "row", *[f"n_{kind}" for kind in BASE], listed("b").alias("base_spans"), listed("a").alias("spans"))
+    found = found.groupBy("doc_id", "row").agg(*[F.count_if((F.col("k") == k) & F.col("base")).alias(f"n_{kind}") for k, kind in enumerate(BASE)], F.count("*").alias("n_spans"), F.collect_list(F.when(F.col("base"), F.col("s"))).alias("b"), F.collect_list("s").alias("a"))
+    found = found.select("doc_id", "row", *[f"n_{kind}" for kind in BASE], "n_spans", listed("b").alias("base_spans"), listed("a").alias("spans"))
     rows = id_text(docs).select("doc_id", F.xxhash64("text").alias("row")).join(found, ["doc_id", "row"], "left")
-    return rows.select("doc_id", *[F.coalesce(f"n_{kind}", F.lit(0)).alias(f"n_{kind}") for kind in BASE], F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return rows.select("doc_id", *[F.coalesce(f"n_{kind}", F.lit(0)).alias(f"n_{kind}") for kind in BASE], F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
