@@ -5,10 +5,10 @@ documents are joined by Spark to the places they have in the templates. A match
 document minus place in the template.
 
 * A phrase stands wherever one diagonal has the votes of all its 3-grams. These are the base places.
-* A notice is longer and may differ: diagonals at most ``drift`` = 3 words apart are merged where the votes lie
-  within one template length of each other, and the merged span is verified by how many different template places
-  voted in it: at least ``coverage`` = 60 %. Of overlapping verified spans the one with the largest share stays
-  (ties: the longer template, then the label in order).
+* A notice is longer and may differ: in a stretch of votes that lie within one template length of each other,
+  diagonals in order are merged while the next is at most ``drift`` = 3 words on, and the merged span is verified by
+  how many different template places voted in it: at least ``coverage`` = 60 %. Verified spans are taken in order of
+  share (ties: the longer template, then the label), each one that overlaps none taken before it.
 
 The template table is a constant of a few hundred rows; it is only broadcast while under ``BROADCAST_ROWS`` and
 joined by shuffle beyond. 3-grams are compared by 64-bit hashes.
@@ -99,15 +99,21 @@ def spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     exact = by.where("phrase and size(places) = n_grams").selectExpr("doc_id", "row", "label", "true as phrase", "diagonal as word", f"n_grams + {K - 1} as n_words", "1.0D as score")
 
     part = by.where("not phrase").selectExpr("*", "diagonal + array_min(places) as low", f"diagonal + array_max(places) + {K} as high")
+    # stretches of votes at most one template apart, and in each of them runs of neighbouring diagonals
     w = "partition by doc_id, row, template order by low, diagonal"
-    part = part.selectExpr("*", f"max(high) over ({w} rows between unbounded preceding and 1 preceding) as before", f"lag(diagonal) over ({w}) as beside")
-    part = part.selectExpr("*", f"sum(if(before is null or low > before + n_grams or abs(diagonal - beside) > {DRIFT}, 1, 0)) over ({w} rows unbounded preceding) as span")
+    part = part.selectExpr("*", f"max(high) over ({w} rows between unbounded preceding and 1 preceding) as before")
+    part = part.selectExpr("*", f"sum(if(before is null or low > before + n_grams, 1, 0)) over ({w} rows unbounded preceding) as stretch")
+    w = "partition by doc_id, row, template, stretch order by diagonal"
+    part = part.selectExpr("*", f"lag(diagonal) over ({w}) as beside")
+    part = part.selectExpr("*", f"concat_ws(':', stretch, sum(if(diagonal - beside <= {DRIFT}, 0, 1)) over ({w} rows unbounded preceding)) as span")
     whole = part.groupBy("doc_id", "row", "template", "label", "n_grams", "span").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     whole = whole.selectExpr("*", "size(places) / n_grams as score").where(f"score >= {COVERAGE}")
     w = "partition by doc_id, row order by low, high"
     whole = whole.selectExpr("*", f"max(high) over ({w} rows between unbounded preceding and 1 preceding) as before")
     whole = whole.selectExpr("*", f"sum(if(before is null or low >= before, 1, 0)) over ({w} rows unbounded preceding) as pile")
-    whole = whole.selectExpr("*", "row_number() over (partition by doc_id, row, pile order by score desc, n_grams desc, label) as best").where("best = 1")
+    whole = whole.groupBy("doc_id", "row", "pile").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), (-F.col("n_grams")).alias("shorter"), "label", "low", "high", "score"))).alias("s"))
+    apart = "(kept, x) -> if(exists(kept, y -> y.low < x.high and x.low < y.high), kept, array_append(kept, x))"
+    whole = whole.selectExpr("doc_id", "row", f"explode(aggregate(s, slice(s, 1, 0), {apart})) as x").select("doc_id", "row", "x.*")
     return exact.unionByName(whole.selectExpr("doc_id", "row", "label", "false as phrase", "low as word", "high - low as n_words", "score"))
 
 
