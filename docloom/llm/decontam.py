@@ -15,7 +15,9 @@ With 6 % and q = 10 the bound is positive from 16 bytes on wherever the budget i
 the budget is zero. Items under 10 bytes have no q-gram and are looked for as they are.
 
 The items are one small table, sent to the tasks when their text is within ``broadcast_bytes`` (64 MB, checked);
-beyond it the documents are compared with one slice of the items after the other, so the same rows result.
+beyond it the documents are compared with one slice of about that size after the other, each written before the next
+is read, so the same rows result and the driver holds one slice. A gram's consecutive places in an item (a run of one
+character) are one entry, and matches are counted some at a time, so no text makes more than a bounded number at once.
 
 Nulls, empty texts and blank items match nothing. An item_id that repeats counts once for each text. Rows that
 repeat a doc_id each give their rows; ``clean`` drops all rows of a doc_id that has a match. Ties: the region with
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_SPACE, ascii_lower, id_text, prefix_hash, range_hash, spaced, text_chunks
+from docloom.llm.common import ASCII_SPACE, ascii_lower, id_text, prefix_hash, range_hash, spaced, stored, text_chunks
 
-Q, RATE, BROADCAST_BYTES = 10, 0.06, 64 << 20
+Q, RATE, BROADCAST_BYTES, MATCHES = 10, 0.06, 64 << 20, 1 << 19
 _SCHEMA = "doc_id long, item_id long, start long, end long, edits long, item_bytes long"
 
 
@@ -105,9 +107,13 @@ class Items:
             self.ids.append(i)
             self.texts.append(text)
             self.k.append(budget(len(text)))
-        gram, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order].astype(np.uint64), self.item[order], self.place[order]
+        gram, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
+        order = np.lexsort((place, item, gram))
+        gram, item, place = gram[order].astype(np.uint64), item[order], place[order]
+        # a gram's places in one item as runs of consecutive ones: a run of one character is one entry
+        new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)[: max(0, len(gram) - 1)])) if len(gram) else np.zeros(0, np.int64)
+        self.gram, self.item, self.place = gram[new], item[new], place[new]
+        self.run = np.diff(np.append(new, len(gram)))
         self.known = np.zeros(1 << self.BITS, bool)
         self.known[self._slot(self.gram)] = True
         self.k = np.array(self.k, np.int64)
@@ -117,6 +123,24 @@ class Items:
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - self.BITS)).astype(np.int64)
 
+    def _bands(self, at: np.ndarray, low: np.ndarray, count: np.ndarray, begins: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(code of document, item and band, matches in it) for places with ``count`` entries from ``low`` on."""
+        hit = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        at = np.repeat(at, count)
+        item, first, last = self.item[hit], self.place[hit], self.place[hit] + self.run[hit] - 1
+        key = ((np.searchsorted(begins, at, side="right") - 1) * len(self.ids) + item) * span
+        step, base = self.k[item] + 1, at + self.size[item]
+        lower, upper = (base - last) // step, (base - first) // step
+        n = upper - lower + 1
+        each = np.repeat(np.arange(len(at)), n)
+        band = lower[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        top = base[each] - band * step[each]  # the last place of this band's step; the first is step - 1 before it
+        number = np.minimum(last[each], top) - np.maximum(first[each], top - step[each] + 1) + 1
+        code = key[each] + band + 1  # bands count from 1
+        # a band covers two steps: each match counts in its own and in the one before
+        code, where = np.unique(np.concatenate([code, code - 1]), return_inverse=True)
+        return code, np.bincount(where.ravel(), np.concatenate([number, number]), len(code)).astype(np.int64)
+
     def regions(self, text: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text number, item, start, end) of the retained regions."""
         g = grams(text)
@@ -124,23 +148,20 @@ class Items:
             return []
         at = np.flatnonzero(self.known[self._slot(g)])
         low, high = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        count = high - low
-        if not count.sum():
-            return []
-        hit = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        at = np.repeat(at, count)
-        doc = np.searchsorted(begins, at, side="right") - 1
-        item = self.item[hit]
-        step = self.k[item] + 1
-        band = (at - self.place[hit] + self.size[item]) // step + 1  # at least 1
+        at, low, count = at[high > low], low[high > low], (high - low)[high > low]
         span = len(text) + int(self.size.max()) + 3
-        key = (doc * len(self.ids) + item) * span
-        both = np.concatenate([key + band, key + band - 1])  # a band covers two steps: each match counts in its own and in the one before
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-        number = np.diff(np.append(first, len(both)))
-        enough = first[number >= (self.size + 1 - Q - self.k * Q)[item[order[first] % len(at)]]]
+        codes, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends, i = np.cumsum(count), 0
+        while i < len(at):  # some matches at a time: only their counts by band stay
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MATCHES, side="right")))
+            code, number = self._bands(at[i:j], low[i:j], count[i:j], begins, span)
+            codes.append(code)
+            numbers.append(number)
+            i = j
+        both, where = np.unique(np.concatenate(codes), return_inverse=True)
+        number = np.bincount(where.ravel(), np.concatenate(numbers), len(both)).astype(np.int64)
+        item = both // span % len(self.ids)
+        enough = number >= (self.size + 1 - Q - self.k * Q)[item]
         out: list[tuple[int, int, int, int]] = []
         for code in both[enough].tolist():
             (d, j), b = divmod(code // span, len(self.ids)), code % span
@@ -187,10 +208,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = B
     items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 + total // broadcast_bytes
+    if slices > 1:
+        items = stored(items, "benchmark-items")
     out = None
     for k in range(slices):
-        some = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()]
+        some = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toLocalIterator()]
         found = id_text(docs).mapInArrow(_finder(some), _SCHEMA)
+        if slices > 1:  # written before the next slice is read, so the driver holds one slice at a time
+            found = stored(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 
