@@ -319,12 +319,12 @@ def repeat_groups(bodies: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, ...
     return group, size[group], owner[at], window[at]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Whole grams of a partition in gram order, some thousand segments at a time."""
+def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4_000) -> Iterator[tuple]:
+    """The columns (gram, numbers..., bytes) of whole grams of a partition in gram order, some thousand segments at a time."""
     held: list[pa.RecordBatch] = []
 
     def some(t: pa.Table):
-        return (*(t.column(k).to_numpy() for k in range(3)), t.column(3).to_pylist())
+        return (*(t.column(k).to_numpy() for k in range(t.num_columns - 1)), t.column(t.num_columns - 1).to_pylist())
 
     for batch in batches:
         held.append(batch)

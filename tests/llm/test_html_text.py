@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 from docloom.llm import html_text as h
@@ -54,7 +55,58 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 
 
 def test_structure():
-    assert h.settled(h.blocks(PAGE))[0].split("\n\n") == ["Head <1>", "First para with break bold", "Second 5 < 6 éAB", "one", "two", "a b", "c"]
+    assert h.chosen(h.blocks(PAGE))[1] == ["Head <1>", "First para with break bold", "Second 5 < 6 éAB", "one", "two", "a b", "c"]
+
+
+def test_articles_under_chrome_names():
+    text = lambda page: h.chosen(h.blocks(page))[1]
+    body = "<p>The story itself.</p>"
+    for page in (
+        f'<body class="single-post has-sidebar">{body}</body>', f'<div class="content-widget">{body}</div>', f'<article class="post related-news">{body}</article>', f'<div class="text share-text">{body}</div>',
+        f'<form id="aspnetForm"><article>{body}</article></form>', f'<form id="aspnetForm">{body}</form>', f'<div class="sidebar-layout"><main>{body}</main></div>', f'<main>{body}<div class="adBox">Buy</div><div id="commentList">Nice</div></main>',
+        f'<article>{body}<div class="newsletterSignup">Join</div></article>', f'<article>{body}</article><div class="comments"><article>Nice</article></div>',
+    ):
+        assert text(page) == ["The story itself."], page
+    assert text("<main><p>Real main text that goes on for long</p><article>Teaser</article></main>") == ["Real main text that goes on for long", "Teaser"]
+
+
+def test_removal_against_brute_force(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    shared = [line(rng.randint(9, 30)) for _ in range(12)]
+    pages = []
+    for k in range(60):
+        texts = [line(rng.randint(5, 60)) for _ in range(rng.randint(1, 3))]
+        for s in rng.sample(shared, rng.randint(0, 4)):
+            texts.insert(rng.randint(0, len(texts)), rng.choice([s, s, s[: len(s) * 2 // 3] + line(6), line(3) + s, s + " " + s]))
+        tag = "article" if k % 5 else "div"
+        pages.append((k, f"http://{'ab'[k % 3 == 0]}.example/{k}", f"<{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>", texts))
+    pages.append((99, pages[1][1], pages[1][2], pages[1][3]))
+
+    def plain(k, url, page, texts):
+        host = [(q.startswith("<div"), "\n".join(t).encode()) for _, u, q, t in pages if u.split("/")[2] == url.split("/")[2]]
+        mine, least = "\n".join(texts).encode(), max(3, min(30, -(-len(host) // 5)))
+        every, opened = [1] * (len(mine) + 1), [0] * (len(mine) + 1)
+        for a in range(len(mine) - 49):
+            w = mine[a : a + 50]
+            n, o = sum(w in t for _, t in host), sum(w in t for is_open, t in host if is_open)
+            for i in range(a, a + 50):
+                every[i], opened[i] = max(every[i], n if n >= least else 1), max(opened[i], o if n >= least or o >= 2 else 0)
+        copies = sorted(every)[len(every) // 4]
+        kept, at = [], 0
+        for t in texts:
+            size = len(t.encode())
+            gone = sum(every[i] > copies or (page.startswith("<div") and opened[i] >= 2) for i in range(at, at + size))
+            kept += [t] if gone < size / 2 else []
+            at += size + 1
+        return "\n\n".join(kept or texts)
+
+    want = {p[0]: plain(*p) for p in pages}
+    df = spark.createDataFrame([(*p[:3], "x") for p in pages], "page_id long, url string, html string, host string")
+    for most in (h.BROADCAST_BYTES, 0):
+        got = {r.page_id: r.text for r in h.main_text(df, most).collect()}
+        assert got == want
+    assert sum("\n\n".join(p[3]) != want[p[0]] for p in pages) > 20
 
 
 def test_host_boilerplate_and_odd_rows(spark):
