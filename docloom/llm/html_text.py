@@ -29,7 +29,8 @@ Grams and strings are boilerplate alone, so they are few; they are sent to all t
 (64 MB, checked), and joined by key beyond it. If all blocks of a page would go, all stay: a page and its copy are no
 boilerplate of each other.
 
-Nulls and empty pages give an empty text. Rows that repeat a page_id each give a row and each count as a page. A
+Nulls and empty pages give an empty text. Rows that repeat a page_id each give a row; rows alike in full are one page
+in the counts. A
 missing or odd url is a host of its own, the empty one. Character references are decoded by the standard's table.
 """
 
@@ -51,7 +52,7 @@ from docloom.llm.common import mix, stored
 
 COVERED = 0.5
 FEWEST, ENOUGH, SHARE, OPEN = 3, 30, 5, 2
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, REPEATED = 64 << 20, 1_000_000
 _GRAM_BITS = (1 << 40) - 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|noscript|template|iframe|svg|title|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
@@ -401,13 +402,22 @@ def boilerplate(parsed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     return found.select("gram", "bytes", "open", F.when(F.col("often"), F.col("pages")).otherwise(1).alias("pages"))
 
 
+def _without_repeats(parsed: DataFrame) -> DataFrame:
+    """One of the rows that are alike in full: they are one page."""
+    least = parsed.groupBy("row").agg(F.min("serial").alias("least"), F.count("*").alias("n")).where("n > 1")
+    extra = stored(parsed.select("row", "serial").join(least, "row").where("serial <> least").select("serial"), "repeated-pages")
+    n = extra.count()
+    return parsed.join(F.broadcast(extra) if n <= REPEATED else extra, "serial", "left_anti") if n else parsed
+
+
 def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html)."""
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("page_id", "url", "html").alias("row"), F.coalesce("html", F.lit("")).alias("html"))
     source = source.select("page_id", "url", "row", host.alias("host"), "html")
-    parsed = stored(source.mapInArrow(_parse, "page_id long, url string, row long, host long, blocks array<string>"), "parsed-pages")
-    strings = stored(boilerplate(parsed, broadcast_bytes), "host-strings")
+    parsed = source.mapInArrow(_parse, "page_id long, url string, row long, host long, blocks array<string>").withColumn("serial", F.monotonically_increasing_id())
+    parsed = stored(parsed, "parsed-pages")
+    strings = stored(boilerplate(_without_repeats(parsed), broadcast_bytes), "host-strings")
     out = "page_id long, url string, text string, n_chars long"
     names = ["row", "host", "blocks", "page_id", "url"]
     if (strings.agg(F.sum(F.octet_length("bytes") + 100)).first()[0] or 0) <= broadcast_bytes:
