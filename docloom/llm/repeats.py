@@ -20,8 +20,8 @@ The corpus is cut by content, so that equal strings meet without sorting every s
 A bucket holds each different segment of a gram once for each batch of input, not once for each copy.
 Grams and segments are compared by hashes of 64 and 48 bits; the suffixes themselves by their bytes.
 
-Nulls and texts under 50 bytes lose nothing. Rows that repeat a doc_id with one text each get that document's
-result; where a doc_id has different texts, its largest text is taken.
+Nulls and texts under 50 bytes lose nothing. Each row gives a result. Rows of one doc_id, with one text or several, are
+one document: they take nothing from each other, and all of their strings take from documents with a larger doc_id.
 """
 
 from __future__ import annotations
@@ -183,14 +183,18 @@ def _segment_blocks(n_buckets: int):
             return to_blocks(_bucket_of(columns[0], n_buckets), columns)
 
         size = 0
-        for ids, data, offs in text_chunks(batches):
-            text, start, n, gram, seg = segments(data, offs)
-            held.append((ids[text], start, n, gram, seg))
-            size += len(text)
-            if size >= 1_000_000:
-                if (out := flush()) is not None:
-                    yield out
-                size = 0
+        for batch in batches:
+            done = 0
+            for ids, data, offs in text_chunks(iter([batch])):
+                base = batch.column(2).slice(done, len(ids)).to_numpy()
+                done += len(ids)
+                text, start, n, gram, seg = segments(data, offs)
+                held.append((ids[text], start + base[text], n, gram, seg))
+                size += len(text)
+                if size >= 1_000_000:
+                    if (out := flush()) is not None:
+                        yield out
+                    size = 0
         if (out := flush()) is not None:
             yield out
 
@@ -247,16 +251,18 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, doc_id, start, bytes) of undecided segments, from (doc_id, text, open)."""
+    """(gram, doc_id, start, bytes) of undecided segments, from (doc_id, text, base, open)."""
     for batch in batches:
         gram, doc, start, bodies = [], [], [], []
-        for i, text, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for i, text, base, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
             buffer = text.as_buffer()
             for g, s, n in np.frombuffer(raw.as_buffer(), "<i8").reshape(-1, 3).tolist():
+                if not 0 <= s - base < len(buffer):  # in another text of this doc_id
+                    continue
                 gram.append(g)
                 doc.append(i)
                 start.append(s)
-                bodies.append(buffer[s : s + n + LENGTH - 1].to_pybytes())
+                bodies.append(buffer[s - base : s - base + n + LENGTH - 1].to_pybytes())
             if len(gram) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(start), pa.array(bodies, pa.binary())], ["gram", "doc_id", "start", "bytes"])
                 gram, doc, start, bodies = [], [], [], []
@@ -377,15 +383,21 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size), pa.array(doc[owner]), pa.array(start[owner] + window)], ["repeat", "n_bytes", "doc_id", "start"])
 
 
+def _own(parts: pa.Scalar, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of one text of n bytes that begins at ``base`` among its document's."""
+    pairs = np.frombuffer(b"".join(parts.as_py() or []) if parts.is_valid else b"", "<i8").reshape(-1, 2)
+    _, a, b = joined(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+    a, b = np.clip(a - base, 0, n), np.clip(b - base, 0, n)
+    return a[b > a], b[b > a]
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, list of ranges) to the result's rows."""
+    """(doc_id, text, base, list of ranges) to the result's rows."""
     for batch in batches:
         rows: list[tuple] = []
-        for i, text, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for i, text, base, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
             body = bytes(text.as_buffer())
-            raw = b"".join(parts.as_py() or []) if parts.is_valid else b""
-            pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
-            _, a, b = joined(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            a, b = _own(parts, base, len(body))
             digest, at = hashlib.sha256(), 0
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 digest.update(body[at:x])
@@ -399,44 +411,53 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- Spark
 
 
-def _one_text_each(docs: DataFrame) -> DataFrame:
-    texts = id_text(docs)
-    twice = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b")
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, base): base is where a text begins among the different texts of its doc_id, in order of their hashes."""
+    texts = id_text(docs).withColumn("hash", F.xxhash64("text"))
+    twice = texts.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc_id")
     if twice.isEmpty():
-        return texts
-    return stored(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "one-text-each")
+        return texts.select("doc_id", "text", F.lit(0).cast("long").alias("base"))
+    several = texts.join(twice, "doc_id", "left_semi").groupBy("doc_id", "hash").agg(F.max(F.octet_length("text")).alias("n"))
+    several = several.selectExpr("doc_id", "hash", "coalesce(sum(n) over (partition by doc_id order by hash rows between unbounded preceding and 1 preceding), 0) as base")
+    return stored(texts.join(several, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("base", F.lit(0)).cast("long").alias("base")), "placed-texts")
+
+
+def _n_buckets(texts: DataFrame) -> int:
+    """Buckets of some 16 MB of text, and as many as there are shuffle partitions at least."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 24)
 
 
 def _decided(texts: DataFrame) -> DataFrame:
     """(doc_id, ranges, open) of documents with a repeat."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(_segment_blocks(n), _BLOCKS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_out(n), _BLOCKS)
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "doc_id long, ranges binary, open binary")
+    n = _n_buckets(texts)
+    blocks = texts.mapInArrow(_segment_blocks(n), _BLOCKS).repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_out(n), _BLOCKS)
+    return blocks.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "doc_id long, ranges binary, open binary")
 
 
 def _suffix_buckets(texts: DataFrame, decided: DataFrame) -> DataFrame:
-    open_ = texts.join(decided.where("open is not null").select("doc_id", "open"), "doc_id").select("doc_id", "text", "open")
+    open_ = texts.join(decided.where("open is not null").select("doc_id", "open"), "doc_id").select("doc_id", "text", "base", "open")
     return open_.mapInArrow(_open_segments, "gram long, doc_id long, start long, bytes binary").repartition("gram").sortWithinPartitions("gram")
 
 
 def removed_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row; see the module's docstring."""
-    texts = _one_text_each(docs)
+    texts = _placed(docs)
     decided = stored(_decided(texts), "repeat-ranges")
     more = _suffix_buckets(texts, decided).mapInArrow(_repeated_ranges, "doc_id long, ranges binary")
     ranges = decided.select("doc_id", "ranges").unionByName(more).groupBy("doc_id").agg(F.collect_list("ranges").alias("parts"))
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "base", "parts").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """(repeat, n_bytes, doc_id, start): every occurrence of every maximal repeat group at the undecided edges of repeated passages."""
-    texts = _one_text_each(docs)
+    texts = _placed(docs)
     return _suffix_buckets(texts, _decided(texts)).mapInArrow(_listed, "repeat string, n_bytes long, doc_id long, start long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the repeated bytes gone; bytes that no longer form a character are dropped with them."""
-    texts = _one_text_each(docs)
+    texts = _placed(docs)
     decided = stored(_decided(texts), "repeat-ranges")
     more = _suffix_buckets(texts, decided).mapInArrow(_repeated_ranges, "doc_id long, ranges binary")
     ranges = decided.select("doc_id", "ranges").unionByName(more).groupBy("doc_id").agg(F.collect_list("ranges").alias("parts"))
@@ -444,13 +465,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, parts in zip(batch.column(1), batch.column(2), strict=True):
+            for text, base, parts in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 body = np.frombuffer(text.as_buffer() or b"", np.uint8)
                 keep = np.ones(len(body), bool)
-                for raw in parts.as_py() or [] if parts.is_valid else []:
-                    for a, b in np.frombuffer(raw, "<i8").reshape(-1, 2).tolist():
-                        keep[a:b] = False
+                for a, b in zip(*_own(parts, base, len(body)), strict=True):
+                    keep[a:b] = False
                 out.append(body[keep].tobytes().decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(cut, "doc_id long, text string")
+    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "base", "parts").mapInArrow(cut, "doc_id long, text string")
