@@ -29,20 +29,45 @@ def transition_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TRANSITIONS, "rag_status string, event string, next_status string")
 
 
-def apply_events(versions: DataFrame, events: DataFrame) -> DataFrame:
-    """(version_id, event, rag_status, next_status, error): each event against its version's state; a guard that fails leaves the state."""
+#: What a guard reads where a frame of versions has no such column.
+GUARDED = {"active_job": "false", "title": "'-'", "n_chars": "1", "n_chunk_errors": "0", "snapshot_changed": "false", "signature_equal": "true", "job_processing": "true", "minutes_since_update": "0"}
+RETRY_MINUTES, MOST_CHARS = 5, 10_000_000
+
+
+def apply_events(versions: DataFrame, events: DataFrame, retry_minutes: int = RETRY_MINUTES, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(version_id, event, rag_status, next_status, error): each event against its version's state; a guard that fails leaves the state.
+
+    Guards: reviews ask for a title and a text of at most ``most_chars``; approving chunks for no chunk errors and a
+    snapshot that has not changed since; indexing for chunks equal to the approved ones; a job's end for a job that is
+    still processing; taking off the index for no running job, or one untouched for ``retry_minutes``.
+    """
     moves = F.broadcast(transition_table(versions.sparkSession))
+    versions = versions.withColumns({n: F.expr(default) for n, default in GUARDED.items() if n not in versions.columns})
     out = events.join(versions, "version_id", "left").join(moves, ["rag_status", "event"], "left")
     approved = (F.col("ocr_status") == "done") & (F.col("review_status") == "approved")
+    event = F.col("event")
     error = (
         F.when(F.col("rag_status").isNull(), "unknown_version")
         .when(F.col("next_status").isNull(), "wrong_status")
-        .when(F.col("event").isin("approve_chunks", "start_index", "publish") & ~approved, "not_approved")
-        .when((F.col("event") == "deindex") & F.col("active_job"), "job_running")
+        .when((event == "review") & (F.coalesce(F.trim("title"), F.lit("")) == ""), "no_title")
+        .when((event == "review") & ~F.coalesce(F.col("n_chars").between(1, most_chars), F.lit(False)), "wrong_size")
+        .when(event.isin("approve_chunks", "start_index", "publish") & ~approved, "not_approved")
+        .when((event == "approve_chunks") & (F.col("n_chunk_errors") > 0), "chunk_errors")
+        .when((event == "approve_chunks") & F.col("snapshot_changed"), "snapshot_changed")
+        .when((event == "start_index") & ~F.col("signature_equal"), "chunks_differ")
+        .when(event.isin("job_success", "job_failure") & ~F.col("job_processing"), "job_not_processing")
+        .when((event == "deindex") & F.col("active_job") & (F.col("minutes_since_update") < retry_minutes), "job_running")
     )
     return out.select("version_id", "event", "rag_status", F.when(error.isNull(), F.col("next_status")).otherwise(F.col("rag_status")).alias("next_status"), error.alias("error"))
 
 
+def removed_with_orphans(documents: DataFrame, versions: DataFrame, removed: DataFrame, document: str = "document_id", version: str = "version_id") -> tuple[DataFrame, DataFrame]:
+    """(documents, versions) without the removed versions, and without documents that lost their last version by that."""
+    left = versions.join(removed.select(version).distinct(), version, "left_anti")
+    emptied = versions.join(removed.select(version).distinct(), version, "left_semi").select(document).distinct().join(left.select(document), document, "left_anti")
+    return documents.join(emptied, document, "left_anti"), left
+
+
 def matching(text: str | None, *columns: str) -> Column:
     """Case-insensitive containment of ``text`` in any of the columns; wildcards in it count. Without text, all rows."""
     if not (text or "").strip():

@@ -27,9 +27,12 @@ def eligible(audience: str | None = None, document: str | None = None, version:
     return out & (F.col("version_key") == version) if version else out
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(term, key, tf): the inverted index. Partial counts are made before the shuffle."""
-    return chunks.select(key, F.explode(words(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content", terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf): the inverted index, of the given terms (term) alone if there are any. Other words go before the shuffle, and partial counts are made there."""
+    out = chunks.select(key, F.explode(words(text)).alias("term"))
+    if terms is not None:
+        out = out.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return out.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def sparse_topk(index: DataFrame, terms: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -48,7 +51,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select(key, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
     q = queries.select("query_id", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("query_norm"))
-    pairs = v.join(small(q), F.col("norm") * F.col("query_norm") > 0)
+    v, q = v.where("norm > 0"), q.where("query_norm > 0")
+    pairs = v.crossJoin(small(q))  # a stated query set against all rows
     scored = pairs.select("query_id", key, F.round(dot(F.col("embedding"), F.col("query")) / (F.col("norm") * F.col("query_norm")), digits).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
 
@@ -146,3 +150,167 @@ def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int = 5, key: str = "ch
     met = hits.where(F.col("rank") <= k).join(g, ["query_id", key]).groupBy("query_id").agg(F.count_distinct(key).alias("n_met"), F.min("rank").alias("best"))
     out = size.join(met, "query_id", "left")
     return out.select("query_id", F.round(F.coalesce("n_met", F.lit(0)) / k, 9).alias("precision"), F.round(F.coalesce("n_met", F.lit(0)) / F.col("n_gold"), 9).alias("recall"), F.round(F.coalesce(F.lit(1.0) / F.col("best"), F.lit(0.0)), 9).alias("reciprocal_rank"))
+
+
+# ---- one search, from ranked lists to the rows of an answer
+
+
+def candidate_k(top_k: int, configured: int = 30) -> int:
+    """How many hits each branch gives: never fewer than are asked for."""
+    return max(top_k, configured)
+
+
+def search_queries(questions: DataFrame, variants: DataFrame) -> DataFrame:
+    """(query_id, variant, query): the question as variant 0, then rewritten ones, each text once without regard to case; blank questions have none."""
+    clean = F.trim(F.regexp_replace("query", r"\s+", " "))
+    every = questions.select("query_id", F.lit(0).alias("place"), "query").unionByName(variants.select("query_id", (F.col("position") + 1).alias("place"), "query"))
+    every = every.withColumn("query", clean).where("query <> ''").join(questions.where(F.trim("query") != "").select("query_id"), "query_id", "left_semi")
+    once = every.withColumn("n", F.row_number().over(Window.partitionBy("query_id", F.lower("query")).orderBy("place"))).where("n = 1")
+    return once.select("query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("place")) - 1).alias("variant"), "query")
+
+
+def fuse_variants(lists: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score, rank) from (query_id, variant, branch, key, rank): branches are fused for each variant, then the variants."""
+    each = lists.select(F.struct("query_id", "variant").alias("query_id"), "branch", key, "rank")
+    each = fuse(each, k, key).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variant").alias("branch"), key, "rank")
+    return fuse(each, k, key)
+
+
+def prefer(*values: Column) -> Column:
+    """The first value that is neither null nor empty text."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+
+def hydrate_fields(hits: DataFrame, chunks: DataFrame, versions: DataFrame, documents: DataFrame, types: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, chunk_id, score, payload) with every field of a result; the payload's value first, else the catalog's.
+
+    Hits without a chunk_id and hits whose chunk is no indexed child of an approved, published, latest version drop; ranks
+    stay. Keys, paths and urls fall back where they are empty, page numbers only where they are null.
+    """
+    from docloom.functions.text import citation, file_name
+
+    c = chunks.where("chunk_type = 'child' and index_status = 'indexed'").select("chunk_id", "version_id", "parent_chunk_id", *[F.col(f).alias(f"c_{f}") for f in ("chunk_key", "content", "page_start", "page_end", "heading_path")])
+    parent = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("chunk_key").alias("parent_key"), F.col("content").alias("parent_content"))
+    v = versions.where("review_status = 'approved' and rag_status = 'published' and is_latest").select("version_id", "document_id", "version_key", *[F.col(f).alias(f"v_{f}") for f in ("title", "source_path", "canonical_markdown_path", "source_url")])
+    d = documents.select("document_id", "document_key", "type_id", F.col("title").alias("d_title"))
+    out = hits.where("chunk_id is not null").join(c, "chunk_id").join(v, "version_id").join(d, "document_id").join(parent, "parent_chunk_id", "left").join(small(types), "type_id", "left")
+    p = lambda f: F.col(f"payload.{f}")
+    title = prefer(F.col("v_title"), F.col("d_title"))
+    source = prefer(file_name("v_source_path"), file_name(p("source_file")), file_name("v_canonical_markdown_path"), title)
+    start, end = F.coalesce(p("page_start"), "c_page_start"), F.coalesce(p("page_end"), "c_page_end")
+    headings = F.when(F.size(p("heading_path")) > 0, p("heading_path")).otherwise(F.coalesce("c_heading_path", F.array().cast("array<string>")))
+    return out.select(
+        "query_id", "rank", "chunk_id", "parent_chunk_id", "document_key", "version_key", prefer(p("chunk_key"), F.col("c_chunk_key")).alias("chunk_key"), prefer(p("parent_chunk_key"), F.col("parent_key")).alias("parent_chunk_key"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), F.col("c_content").alias("content"), title.alias("title"), start.alias("page_start"), end.alias("page_end"), source.alias("source_file"), F.coalesce(prefer(F.col("v_source_url"), p("source_url")), F.lit("")).alias("source_url"),
+        citation(source, start, end, headings).alias("citation"), headings.alias("heading_path"), F.coalesce(p("legal_unit_type"), F.lit("none")).alias("legal_unit_type"), F.coalesce(p("split_index"), F.lit(0)).alias("split_index"), F.coalesce(p("split_count"), F.lit(1)).alias("split_count"),
+        "parent_content", "type_name",
+    )
+
+
+def apply_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Hits in order of a reranker's answer (query_id, place, score), place counting the query's hits from 0.
+
+    An answer counts if it names every hit once, with finite scores; else, and with under two hits, the order stays.
+    """
+    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    fine = F.coalesce((F.col("score") == F.col("score")) & (F.abs("score") < float("inf")) & ~F.isnan("score"), F.lit(False))
+    answer = scores.groupBy("query_id").agg(F.count("*").alias("k"), F.count_distinct("place").alias("d"), F.min("place").alias("low"), F.max("place").alias("high"), F.bool_and(fine).alias("fine"))
+    good = answer.join(n, "query_id").where("k = n and d = n and low = 0 and high = n - 1 and fine and n > 1").select("query_id", F.lit(True).alias("good"))
+    placed = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+    out = placed.join(scores.select("query_id", "place", F.col("score").alias("new")).dropDuplicates(["query_id", "place"]), ["query_id", "place"], "left").join(good, "query_id", "left")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.col("good"), F.col("new"))), "place")
+    return out.withColumn("rank", F.row_number().over(order)).drop("place", "new", "good")
+
+
+def search(lists: DataFrame, scores, used: DataFrame, top_k: int, configured: int = 30, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, rank): the direct hits of a whole search over ranked lists (query_id, variant, branch, key, rank).
+
+    Two-stage fusion to ``candidate_k`` hits, reranking by ``scores`` (a function of the fused hits that gives (query_id,
+    place, score)), without what an earlier answer used, and only then the first ``top_k``.
+    """
+    k = candidate_k(top_k, configured)
+    fused = fuse_variants(lists.where(F.col("rank") <= k), k, key)
+    ranked = apply_scores(fused, scores(fused))
+    return without_used(ranked, used, key).where(F.col("rank") <= top_k).select("query_id", key, "rank")
+
+
+def stage_trace(stages: dict[str, DataFrame], n: int = 5, key: str = "chunk_id") -> DataFrame:
+    """(stage, query_id, rank, key, score): the first n hits of every stage."""
+    out = None
+    for name, hits in stages.items():
+        part = hits.where(F.col("rank") <= n).select(F.lit(name).alias("stage"), "query_id", "rank", key, "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def context_of_keys(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, place, chunk_key, content) for returned keys (query_id, place, chunk_key): each once, in order of its first place; unknown keys drop."""
+    once = keys.groupBy("query_id", "chunk_key").agg(F.min("place").alias("place"))
+    return once.join(chunks.select("chunk_key", "content"), "chunk_key").select("query_id", "place", "chunk_key", "content")
+
+
+# ---- answers
+
+
+def distinct_citations(hits: DataFrame) -> DataFrame:
+    """The first hit of every (query_id, document, version, page range), ranked anew; nulls are equal."""
+    by = ["query_id", "document_key", "version_key", "page_start", "page_end"]
+    once = hits.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).where("n = 1").drop("n")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+def carried_over(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Each turn with the topic, document and version that hold before it: the last ones set, by the turn itself or else by its first citation."""
+    before = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda f, *given: F.last(F.coalesce(*given), ignorenulls=True).over(before).alias(f"before_{f}")
+    cited = lambda f: F.get("citations", 0)[f]
+    return turns.select(key, "turn", last("topic", F.col("topic")), last("document_key", F.col("document_key"), cited("document_key")), last("version_key", F.col("version_key"), cited("version_key")))
+
+
+def answer_status(wants_search: Column, n_hits: Column, continues: Column) -> Column:
+    return F.when(~wants_search, "no_search").when((n_hits == 0) & continues, "nothing_further").when(n_hits == 0, "insufficient_evidence").otherwise("answered")
+
+
+def citation_scores(cases: DataFrame, cited: DataFrame, expected: DataFrame, key: str = "document_key") -> DataFrame:
+    """(query_id, citation_precision): the share of a case's different citations that are expected; without citations 0 if the case can be answered, else 1."""
+    c = cited.select("query_id", key).distinct()
+    met = c.join(expected.select("query_id", key).distinct().withColumn("met", F.lit(1)), ["query_id", key], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("met").alias("k"))
+    return cases.join(met, "query_id", "left").select("query_id", F.round(F.when(F.coalesce("n", F.lit(0)) > 0, F.col("k") / F.col("n")).otherwise(F.when(F.col("answerable"), 0.0).otherwise(1.0)), 9).alias("citation_precision"))
+
+
+def latency(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Mean and 95th percentile (linear between neighbours) of each group."""
+    return df.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"), F.round(F.percentile(column, F.lit(0.95)), 6).alias("p95"))
+
+
+# ---- pages
+
+
+def overlaps(start: Column, end: Column, first: int, last: int) -> Column:
+    """Whether [start, end] meets [first, last]; a null bound is open."""
+    return (start.isNull() | (start <= last)) & (end.isNull() | (end >= first))
+
+
+def page_slice(pages: DataFrame, start: int, end: int, page: str = "page_number") -> DataFrame:
+    if not 1 <= start <= end:
+        raise ValueError(f"pages {start} to {end}: 1 <= start <= end is asked")
+    return pages.where(F.col(page).between(start, end))
+
+
+def page_range(rows: DataFrame, by: str, page: str = "page_number") -> DataFrame:
+    """(by, first, last) pages of each group."""
+    return rows.groupBy(by).agg(F.min(page).alias("first"), F.max(page).alias("last"))
+
+
+def joined_pages(pages: DataFrame, mode: str = "blank", by: str = "doc_id", page: str = "page_number", text: str = "content") -> DataFrame:
+    """(by, text): pages in order with a blank line between them, with a page comment before each (html-comment), or with nothing between them (none)."""
+    if mode not in ("blank", "html-comment", "none"):
+        raise ValueError(mode)
+    one = F.concat(F.lit("<!-- page: "), F.col(page), F.lit(" -->\n\n"), F.col(text)) if mode == "html-comment" else F.col(text)
+    rows = pages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), one.alias("t")))).alias("s"))
+    return rows.select(by, F.array_join(F.transform("s", lambda x: x["t"]), "" if mode == "none" else "\n\n").alias("text"))
+
+
+def numbered_pages(rows: DataFrame, by: str, order: str, page: str) -> DataFrame:
+    """``page`` where it is given, else the row's place."""
+    return rows.withColumn(page, F.coalesce(F.col(page), F.row_number().over(Window.partitionBy(by).orderBy(order))))

@@ -25,30 +25,12 @@ def catalog_filter(spark, read):
     return o.where(C.equal_where_given(o_orderstatus="F", c_mktsegment="BUILDING", o_orderpriority=None)).select("o_orderkey", "o_orderdate", "c_name")
 
 
-@query("select o_orderkey, coalesce(nullif(o_orderpriority, ''), 'none') as title, strftime(o_orderdate, '%Y-%m-%d') as issued, o_orderstatus = 'F' as done, n_name from orders join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey")
-def catalog_summary(spark, read):
-    o = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return o.select("o_orderkey", F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("none")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued"), (F.col("o_orderstatus") == "F").alias("done"), "n_name")
-
-
-@query("select o_orderkey, coalesce(n, 0) as n_lines, parts from orders left join (select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) as parts from lineitem group by l_orderkey) on o_orderkey = l_orderkey")
-def catalog_detail(spark, read):
-    one = read("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
-    o = read("orders").join(one, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), "parts")
-
-
 @query("select distinct l_partkey as code from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25)")
 def missing_ref(spark, read):
     active = read("part").where("p_size <= 25").select(F.col("p_partkey").alias("code"))
     return C.missing(read("lineitem").select(F.col("l_partkey").alias("code")), active, "code")
 
 
-@query("select n_nationkey, n_name from nation where n_regionkey <> 2")
-def ref_active(spark, read):
-    return read("nation").where("n_regionkey <> 2").select("n_nationkey", "n_name")
-
-
 @query("select n_nationkey, n_name from nation where n_nationkey >= 5 union all select n_nationkey, 'new ' || n_name from nation where n_nationkey < 5 union all select n_nationkey + 100, 'added' from nation where n_nationkey < 3")
 def ref_upsert(spark, read):
     old = read("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
@@ -61,46 +43,11 @@ def latest_version(spark, read):
     return C.latest_by(read("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("select o_orderkey, case when o_custkey in (select o_custkey from orders where o_orderstatus = 'P') and o_orderstatus <> 'P' then false else true end as is_latest from orders")
-def demote_latest(spark, read):
-    o = read("orders")
-    named = o.where("o_orderstatus = 'P'").select("o_custkey").distinct().withColumn("hit", F.lit(True))
-    return o.join(named, "o_custkey", "left").select("o_orderkey", (~(F.coalesce("hit", F.lit(False)) & (F.col("o_orderstatus") != "P"))).alias("is_latest"))
-
-
-@query("select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by user_id")
-def last_job(spark, read):
-    return read("events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("j")).select("user_id", "j.event_id", "j.event_type")
-
-
-@query("select user_id, bool_or(event_type = 'purchase') as approved from events group by user_id")
-def chunks_approved(spark, read):
-    return read("events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("approved"))
-
-
-@query("select l_orderkey, count(*) as n from lineitem group by l_orderkey")
-def chunk_count(spark, read):
-    return read("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-@query("select l_orderkey, count(*) filter (l_returnflag = 'R') as warnings, count(*) filter (l_returnflag = 'A') as errors, count(*) filter (l_linenumber = 1) as parents, count(*) filter (l_linenumber > 1) as children, count(*) as total from lineitem group by l_orderkey")
-def chunk_stats(spark, read):
-    f = lambda c: F.count_if(F.expr(c))
-    return read("lineitem").groupBy("l_orderkey").agg(f("l_returnflag = 'R'").alias("warnings"), f("l_returnflag = 'A'").alias("errors"), f("l_linenumber = 1").alias("parents"), f("l_linenumber > 1").alias("children"), F.count("*").alias("total"))
-
-
 @query("select l_orderkey, l_linenumber, least(l_quantity::bigint, 30) as processed, greatest(30 - l_quantity::bigint, 0) as remaining from lineitem")
 def job_progress(spark, read):
     return read("lineitem").select("l_orderkey", "l_linenumber", *C.progress(F.lit(30).cast("long"), F.col("l_quantity").cast("long")))
 
 
-@query("select event_id, event_type = 'error' or ts < (select max(ts) from events) - interval 5 minutes as retryable from events")
-def job_retryable(spark, read):
-    e = read("events")
-    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
-    return e.join(now).select("event_id", ((F.col("event_type") == "error") | (F.col("ts") < F.col("now") - F.expr("interval 5 minutes"))).alias("retryable"))
-
-
 _STATES = ["not_indexed", "failed", "chunked", "indexed", "published", "embedded"]
 _EVENTS = ["review", "approve_chunks", "start_index", "job_success", "publish", "unpublish", "deindex", "delete"]
 _PICK = lambda xs, e: "case " + " ".join(f"when {e} % {len(xs)} = {i} then '{x}'" for i, x in enumerate(xs)) + " end"
@@ -126,11 +73,6 @@ def cascade_delete(spark, read):
     return left["chunks"].agg(F.count("*").alias("n")).select(F.lit("chunks").alias("kind"), "n").unionByName(left["versions"].agg(F.count("*").alias("n")).select(F.lit("versions").alias("kind"), "n"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def orphan_doc(spark, read):
-    return C.orphans(read("customer").withColumnRenamed("c_custkey", "o_custkey"), read("orders"), "o_custkey").select(F.col("o_custkey").alias("c_custkey"))
-
-
 @query("select o_orderkey, concat_ws(',', case when o_orderkey % 3 = 0 then 'status' end, case when o_orderkey % 4 = 0 then 'priority' end) as changed from orders where o_orderkey % 3 = 0 or o_orderkey % 4 = 0")
 def meta_diff(spark, read):
     old = read("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
@@ -138,48 +80,12 @@ def meta_diff(spark, read):
     return C.changed(old, new, "o_orderkey", ["status", "priority"]).select("o_orderkey", F.array_join("changed", ",").alias("changed"))
 
 
-_RULES = {"title": "o_orderpriority <> '1-URGENT'", "status": "o_orderstatus in ('F', 'O')", "price": "o_totalprice > 1000", "published": "o_orderstatus <> 'F' or o_custkey % 2 = 0"}
-_ERRORS = "concat_ws(',', " + ", ".join(f"case when not coalesce({c}, false) then '{n}' end" for n, c in _RULES.items()) + ")"
-
-
-@query(f"select o_orderkey, {_ERRORS} as errors from orders")
-def meta_validate(spark, read):
-    return read("orders").select("o_orderkey", F.array_join(C.rule_errors({n: F.expr(c) for n, c in _RULES.items()}), ",").alias("errors"))
-
-
-@query(f"select sum(length(e) - length(replace(e, ',', '')) + case when e = '' then 0 else 1 end)::bigint as errors, count(*) filter (e <> '') as files from (select {_ERRORS} as e from orders)")
-def meta_totals(spark, read):
-    e = read("orders").select(C.rule_errors({n: F.expr(c) for n, c in _RULES.items()}).alias("e"))
-    return e.agg(F.sum(F.size("e")).alias("errors"), F.count_if(F.size("e") > 0).alias("files"))
-
-
-@query("select doc_id, coalesce(case when doc_id % 2 = 0 then 'db-' || source end, lang) as domain from documents")
-def meta_overlay(spark, read):
-    return read("documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("db-"), F.col("source"))), F.col("lang")).alias("domain"))
-
-
-@query("select c_custkey, regexp_full_match(c_mktsegment, '[A-Za-z0-9_][A-Za-z0-9_/&-]*') and c_acctbal > 0 as ok from customer")
-def meta_rules(spark, read):
-    return read("customer").select("c_custkey", (F.col("c_mktsegment").rlike(r"\A[A-Za-z0-9_][A-Za-z0-9_/&-]*\z") & (F.col("c_acctbal") > 0)).alias("ok"))
-
-
 @query("select event_id, case when contains(props, '1') then 'conflict' when contains(props, '2') then 'invalid' else 'unavailable' end as code from events")
 def err_class(spark, read):
     p = F.col("props")
     return read("events").select("event_id", F.when(p.contains("1"), "conflict").when(p.contains("2"), "invalid").otherwise("unavailable").alias("code"))
 
 
-@query("select l_orderkey, l_suppkey, min(coalesce(case when l_linenumber % 2 = 0 then l_shipdate end, o_orderdate)) as effective from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, l_suppkey")
-def recipients(spark, read):
-    x = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.groupBy("l_orderkey", "l_suppkey").agg(F.min(F.coalesce(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")), F.col("o_orderdate"))).alias("effective"))
-
-
-@query("select 'url-' || sha256(url) as asset_key, min(page_id) as page_id, count(*) as n from pages group by url")
-def asset_upsert(spark, read):
-    return read("pages").groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).select(F.concat(F.lit("url-"), F.sha2("url", 256)).alias("asset_key"), "page_id", "n")
-
-
 @query("select vec_id, case when vec_id % 10 = 0 then -1 else label end as label from embeddings union all select vec_id + 1000000, 7 from embeddings where vec_id % 100 = 0")
 def vec_upsert(spark, read):
     old = read("embeddings").select("vec_id", "label")
@@ -187,50 +93,3 @@ def vec_upsert(spark, read):
     return C.upsert(old, new, ["vec_id"])
 
 
-@query("select count(*) filter (label = 3) as removed, count(*) filter (label <> 3) as kept from embeddings")
-def vec_delete(spark, read):
-    return read("embeddings").agg(F.count_if(F.col("label") == 3).alias("removed"), F.count_if(F.col("label") != 3).alias("kept"))
-
-
-@query("select doc_id, coalesce(source, 'none') as document_key, lang = 'en' as audience_student, 1 as split_count from documents")
-def payload(spark, read):
-    return read("documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("document_key"), F.array_contains(F.array("lang"), "en").alias("audience_student"), F.lit(1).alias("split_count"))
-
-
-@query("select doc_id, case when source = 'src1' then 'indexed' else 'published' end as rag_status from documents")
-def payload_patch(spark, read):
-    return read("documents").select("doc_id", F.when(F.col("source") == "src1", "indexed").otherwise("published").alias("rag_status"))
-
-
-@query("select l_orderkey, l_linenumber, case when l_linenumber > 1 then parent end as parent_id from lineitem left join (select distinct l_orderkey, l_orderkey * 10 + 1 as parent from lineitem where l_linenumber = 1) using (l_orderkey) where l_orderkey % 2 = 1 union all select o_orderkey, 1, null from orders where o_orderkey % 2 = 0")
-def chunks_replace(spark, read):
-    old = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    parent = old.where("l_linenumber = 1").select("l_orderkey", F.col("id").alias("parent")).distinct()
-    kept = old.join(parent, "l_orderkey", "left").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("parent")).alias("parent_id"))
-    new = read("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(None).cast("long").alias("parent_id"))
-    versions = new.select("l_orderkey").distinct()
-    return kept.join(versions, "l_orderkey", "left_anti").unionByName(new)
-
-
-@query("select l_orderkey, l_linenumber from lineitem where l_quantity > 49 union all select l_orderkey, -l_linenumber from lineitem where l_quantity > 49")
-def approval_diff(spark, read):
-    a = read("lineitem").select("l_orderkey", "l_linenumber")
-    b = read("lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 49, -F.col("l_linenumber")).otherwise(F.col("l_linenumber")).alias("l_linenumber"))
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
-
-
-@query("select l_orderkey, l_linenumber, concat_ws(',', case when l_shipdate < o_orderdate then 'dates' end, case when l_linenumber = 1 and l_tax > 0.05 then 'parent' end) as broken from lineitem join orders on l_orderkey = o_orderkey")
-def chunk_contract(spark, read):
-    x = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.select("l_orderkey", "l_linenumber", F.array_join(C.rule_errors({"dates": F.expr("l_shipdate >= o_orderdate"), "parent": F.expr("not (l_linenumber = 1 and l_tax > 0.05)")}), ",").alias("broken"))
-
-
-@query("select doc_id, vec_id is not null and label % 2 = 0 as hit from documents left join embeddings on doc_id = vec_id")
-def embed_cache(spark, read):
-    d = read("documents").join(read("embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
-    return d.select("doc_id", F.coalesce(F.col("vec_id").isNotNull() & (F.col("label") % 2 == 0), F.lit(False)).alias("hit"))
-
-
-@query("select page_id, case when url like '%/en/%' then 'EN_x' else 'OTHER' end || '/' || regexp_extract(url, '([0-9]+)', 1) || '_llp.md' as path from pages")
-def ocr_path(spark, read):
-    return read("pages").select("page_id", F.concat(F.when(F.col("url").like("%/en/%"), "EN_x").otherwise("OTHER"), F.lit("/"), F.regexp_extract("url", "([0-9]+)", 1), F.lit("_llp.md")).alias("path"))

@@ -88,34 +88,6 @@ def pages_render(spark, read):
     return S.rendered(spark.sql(f"select * from {PAGES}"))
 
 
-@query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id")
-def pages_join(spark, read):
-    return read("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-
-
-@query("select conv_id, min(turn) as first, max(turn) as last from conversations where turn between 1 and 3 group by conv_id")
-def page_range(spark, read):
-    return read("conversations").where("turn between 1 and 3").groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
-
-
-@query("select conv_id, turn, text from conversations where turn between 1 and 2")
-def page_slice(spark, read):
-    return read("conversations").where(F.col("turn").between(1, 2)).select("conv_id", "turn", "text")
-
-
-@query("select conv_id, turn, coalesce(case when turn % 2 = 0 then turn end, row_number() over (partition by conv_id order by turn)) as page_number from conversations")
-def page_number_default(spark, read):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return read("conversations").select("conv_id", "turn", F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("turn")), F.row_number().over(w)).cast("long").alias("page_number"))
-
-
-@query("select l_orderkey, l_linenumber from lineitem where (l_linenumber % 4 = 0 or l_linenumber <= 3) and (l_linenumber % 5 = 0 or l_linenumber + 2 >= 2)")
-def page_overlap(spark, read):
-    n = F.col("l_linenumber")
-    start, end = F.when(n % 4 != 0, n), F.when(n % 5 != 0, n + 2)
-    return read("lineitem").where((start.isNull() | (start <= 3)) & (end.isNull() | (end >= 2))).select("l_orderkey", "l_linenumber")
-
-
 MARKED = "case pos % 7 when 0 then '# ' || line when 1 then '1.2) ' || line when 2 then 'b. ' || line when 3 then '- ' || line when 4 then '~~~' else line end"
 
 
@@ -211,11 +183,6 @@ def context(spark, read):
 # ---- context and conversation
 
 
-@query("""select user_id, event_type, ts, min(event_id) as event_id from (select *, row_number() over (partition by user_id, event_type, ts order by event_id) as n from events) where n = 1 group by all""")
-def citations(spark, read):
-    return C.latest_by(read("events"), ["user_id", "event_type", "ts"], ["event_id"]).select("user_id", "event_type", "ts", "event_id")
-
-
 @query("""with a as (select user_id, event_id, row_number() over (partition by user_id, event_type, value::bigint % 10 order by ts, event_id) as n, event_type || '-' || (value::bigint % 10) as k, ts from events where value is not null), f as (select * from a where n = 1)
   select user_id, string_agg(k, ',' order by ts, event_id) as used from (select * from f qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 100) group by user_id""")
 def used_keys(spark, read):
@@ -224,30 +191,6 @@ def used_keys(spark, read):
     return e.select("user_id", F.array_join(C.last_n(C.ordered_distinct(F.col("all")), 100), ",").alias("used"))
 
 
-@query("""select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as topic_turn from conversations""")
-def conv_context(spark, read):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return read("conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("topic_turn"))
-
-
-@query("select doc_id, case when doc_id % 5 = 0 then 'no_search' when doc_id % 5 = 1 and n_chars < 500 then 'nothing_further' when n_chars < 500 then 'insufficient_evidence' else 'answered' end as status from documents")
-def answer_status(spark, read):
-    found = F.col("n_chars") >= 500
-    status = F.when(F.col("doc_id") % 5 == 0, "no_search").when((F.col("doc_id") % 5 == 1) & ~found, "nothing_further").when(~found, "insufficient_evidence").otherwise("answered")
-    return read("documents").select("doc_id", status.alias("status"))
-
-
-@query("select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95 from events group by event_type")
-def latency_p95(spark, read):
-    return read("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
-
-
-@query("select lang, round(avg(case when quality = 1 then 1.0 else 0.0 end)::double, 6) as precision, round(avg(case when toxic = 0 then 1.0 else 0.0 end)::double, 6) as no_answer from documents join labels using (doc_id) group by lang")
-def cite_precision(spark, read):
-    d = read("documents").join(read("labels"), "doc_id")
-    return d.groupBy("lang").agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("precision"), F.round(F.avg(F.when(F.col("toxic") == 0, 1.0).otherwise(0.0)), 6).alias("no_answer"))
-
-
 @query(f"select page_id, case when length(t) <= 500 then t else substring(t, 1, 500) end as preview from (select page_id, {tags_sql('html')} as t from pages)")
 def chunk_preview(spark, read):
     return read("pages").select("page_id", F.substring(T.strip_tags("html"), 1, 500).alias("preview"))

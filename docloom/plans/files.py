@@ -90,12 +90,6 @@ def child_units(spark, read):
 # ---- metadata and small pieces
 
 
-@query("select doc_id, case when lang in ('en', 'de') then lang else 'unknown' end as lang, coalesce(nullif(case when doc_id % 3 = 0 then 'given' else '' end, ''), nullif(source, ''), 'inferred') as title from documents")
-def meta_build(spark, read):
-    given = F.when(F.col("doc_id") % 3 == 0, "given").otherwise("")
-    return read("documents").select("doc_id", T.one_of("lang", ["en", "de"], "unknown").alias("lang"), T.first_non_empty(given, "source", F.lit("inferred")).alias("title"))
-
-
 @query("select doc_id, case when lang in ('en', 'de') then lang else 'unknown' end as lang from documents")
 def enum_norm(spark, read):
     return read("documents").select("doc_id", T.one_of("lang", ["en", "de"], "unknown").alias("lang"))

@@ -301,7 +301,8 @@ def query_terms(read) -> DataFrame:
 
 
 def sparse_hits(read, k: int = 30) -> DataFrame:
-    return R.sparse_topk(R.postings(corpus(read), "doc_id", "text"), query_terms(read), k, "doc_id")
+    terms = query_terms(read)
+    return R.sparse_topk(R.postings(corpus(read), "doc_id", "text", terms), terms, k, "doc_id")
 
 
 def dense_hits(read, k: int = 30) -> DataFrame:
