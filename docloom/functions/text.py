@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,24 @@ FILE_TYPES = {
 }
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyadiuouaaaaaaaaaaaaeeeeeeeeiiooooooooooooouuuuuuuyyyy"
+_PLAIN = "".join("d" if c == "đ" else unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def accent_table() -> tuple[str, str]:
+    """Accented letters and their plain ones, small then capital, each once: a letter that came twice would shift all after it."""
+    pairs = [*zip(_ACCENTED, _PLAIN, strict=True)]
+    pairs += [(a.upper(), b.upper()) for a, b in pairs]
+    once = dict(reversed(pairs))
+    return "".join(once), "".join(once.values())
+
+
 def strip_accents(c: Column | str) -> Column:
     """Letters without their marks, đ as d; precomposed Latin letters only."""
-    upper = "".join(x.upper() if len(x.upper()) == 1 and x != "ÿ" else x for x in _ACCENTED)
-    return F.translate(col(c), _ACCENTED + upper, _PLAIN + _PLAIN.upper())
+    return F.translate(col(c), *accent_table())
 
 
 def collapse(c: Column | str) -> Column:

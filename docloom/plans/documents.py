@@ -77,12 +77,6 @@ MD_DOCS = values([(1, MD), (2, "<!-- page: 7 -->\nonly a paragraph\nof two lines
 PAGES = values([(1, 1, "p11"), (1, 2, "p12"), (2, 7, "p27")], "doc_id, page_number, content")
 
 
-@query("select * from (values (1, 1, 24), (1, 2, 7), (2, 7, 2)) as t(doc_id, page_number, n_lines)")
-def page_split(spark, read):
-    p = S.pages(spark.sql(f"select * from {MD_DOCS}"))
-    return p.select("doc_id", "page_number", F.when(F.col("doc_id") == 2, F.size(F.split("content", "\n"))).otherwise(F.when(F.col("page_number") == 1, 24).otherwise(7)).alias("n_lines"))
-
-
 @query("select * from (values (1, '<!-- page: 1 -->' || chr(10) || chr(10) || 'p11' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '<!-- page: 2 -->' || chr(10) || chr(10) || 'p12'), (2, '<!-- page: 7 -->' || chr(10) || chr(10) || 'p27')) as t(doc_id, text)")
 def pages_render(spark, read):
     return S.rendered(spark.sql(f"select * from {PAGES}"))
@@ -97,33 +91,6 @@ def line_class(spark, read):
     return rows.withColumn("m", F.expr(MARKED)).select("doc_id", F.col("pos").cast("long").alias("pos"), S.line_class("m").alias("kind"))
 
 
-@query(f"with {LINES_SQL}, k as (select *, case when level = 1 then lower(trim(substring(line, 1, 6))) end as h1 from l) select doc_id, pos, case when level = 1 and row_number() over (partition by doc_id, h1 order by pos) > 1 then '**' || line || '**' else line end as line from k")
-def h1_dedupe(spark, read):
-    rows = levelled(read).withColumn("h1", F.when(F.col("level") == 1, F.lower(F.trim(F.substring("line", 1, 6)))))
-    n = F.row_number().over(Window.partitionBy("doc_id", "h1").orderBy("pos"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when((F.col("level") == 1) & (n > 1), F.concat(F.lit("**"), F.col("line"), F.lit("**"))).otherwise(F.col("line")).alias("line"))
-
-
-@query(f"with {LINES_SQL}, c as (select doc_id, level, count(*) as n, min(pos) as first from l where level is not null group by all) select doc_id, level::bigint as level, n from c qualify row_number() over (partition by doc_id order by n desc, first) = 1")
-def heading_mode(spark, read):
-    c = levelled(read).where("level is not null").groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return C.latest_by(c, ["doc_id"], [F.desc("n"), F.col("first")]).select("doc_id", F.col("level").cast("long").alias("level"), "n")
-
-
-@query(f"""with {LINES_SQL}, f as (select *, sum(case when pos % 11 = 3 then 1 else 0 end) {_W} as fences from l) select doc_id, pos, case when fences % 2 = 1 then line else regexp_replace(line, '\\*\\*([^*]+)\\*\\*|([.,])$', '\\1', 'g') end as line from f""")
-def md_lines(spark, read):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = levelled(read).withColumn("fences", F.sum(F.when(F.col("pos") % 11 == 3, 1).otherwise(0)).over(w))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("fences") % 2 == 1, F.col("line")).otherwise(F.regexp_replace("line", r"\*\*([^*]+)\*\*|([.,])$", "$1")).alias("line"))
-
-
-@query(f"""with {LINES_SQL}, b as (select *, pos % 3 > 0 as bullet from l where line <> '') select doc_id, pos, coalesce(lag(bullet) over w, false) and coalesce(lead(bullet) over w, false) as inside from b window w as (partition by doc_id order by pos)""")
-def bullet_run(spark, read):
-    rows = levelled(read).where("line <> ''").withColumn("bullet", F.col("pos") % 3 > 0)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.coalesce(F.lag("bullet").over(w), F.lit(False)) & F.coalesce(F.lead("bullet").over(w), F.lit(False))).alias("inside"))
-
-
 @query(f"with {LINES_SQL}, {PATH_SQL} select doc_id, pos, case when level is not null then case when pos % 10 = 0 then 'article' else 'none' end when len(list_filter(path, lambda x: x like '%0')) > 0 then 'clause' else 'none' end as unit from h")
 def legal_unit(spark, read):
     rows = S.heading_paths(levelled(read), deepest=3)

@@ -107,19 +107,3 @@ def norm_md(spark, read):
     return read("benchmark").select("item_id", F.lower(T.inline_markdown("text")).alias("t"))
 
 
-@query("select doc_id, '- a' || chr(10) || '# Head ' || doc_id || chr(10) || '```' || chr(10) || '\\- kept' || chr(10) || '```' || chr(10) || '1. b' || chr(10) as t from documents")
-def postprocess(spark, read):
-    raw = F.concat(F.lit("\\- a\n# **Head "), F.col("doc_id"), F.lit("**\n```\n\\- kept\n```\n1\\. b\n****\n\n\n\n"))
-    return read("documents").select("doc_id", T.tidy_markdown(raw).alias("t"))
-
-
-@query(f"select query_id, position, query from (select query_id, 1 as position, question as query from {QUESTIONS} where trim(question) <> '')")
-def q_variants(spark, read):
-    out = Q.offline_variants(spark.sql(f"select query_id, question from {QUESTIONS}"))
-    return out.where("position = 1").select("query_id", "position", "query")
-
-
-@query(f"with {TREE_SQL} select version_key, chunk_key, min(rank) as rank from h group by version_key, chunk_key")
-def expand_dedupe(spark, read):
-    h, c = tree(read)
-    return R.expand(h, c).where("reason = 'direct'").select(F.col("query_id").alias("version_key"), "chunk_key", F.col("rank").cast("long").alias("rank"))

@@ -47,8 +47,8 @@ NORMAL_SQL = f"regexp_replace({collapse_sql('lower({0})')}, '[?!.,;:]+$', '')"
 
 
 def accents_sql(e: str) -> str:
-    upper = "".join(x.upper() if len(x.upper()) == 1 and x != "ÿ" else x for x in T._ACCENTED)
-    return f"translate({e}, '{T._ACCENTED + upper}', '{T._PLAIN + T._PLAIN.upper()}')"
+    marked, plain = T.accent_table()
+    return f"translate({e}, '{marked}', '{plain}')"
 
 
 def slug_sql(e: str) -> str:

@@ -10,7 +10,7 @@ def test_spans_and_headers():
     assert B.page_tables(source) == [("| A | B / x | B |\n| --- | --- | --- |\n| 12 | p | q\\|r |\n|  | p | s |\n|  | t |  |", False)]
     assert B.page_tables("<table><tr><td>1</td></tr></table>") == [("| Cột 1 |\n| --- |\n| 1 |", False)]
     assert B.page_tables("no table") == B.page_tables("") == []
-    assert B.cell_text("a<BR/> b&nbsp;<em>c</em><u>d</u>") == "a<br>b\xa0*c*d"
+    assert B.page_tables("<table><tr><td>a<BR/> b&nbsp;<em>c</em><u>d</u><tr><td rowspan=99999999 colspan='3'>x</td></table>") == [("| Cột 1 | Cột 2 | Cột 3 |\n| --- | --- | --- |\n| a<br>b\xa0*c*d |  |  |\n| x | x | x |", False)]
 
 
 def test_null_and_empty_pages(spark):
@@ -52,3 +52,10 @@ def test_child_units(spark):
         ("paragraph", "lead", None), ("numbered_item", "1. one\n\nmore", None), ("code", "```\nx\n```", None), ("paragraph", "alone", None),
         ("heading", None, "context_only_parent"), ("heading", "# Điều 7", None),
     ]
+
+
+def test_capital_accents(spark):
+    from docloom.functions import text as T
+
+    row = spark.createDataFrame([("Điều ĐẠI HỌC Ỹ Ÿ đ ư Ư",)], "x string").select(T.strip_accents("x").alias("y")).first()
+    assert row.y == "Dieu DAI HOC Y Y d u U"
