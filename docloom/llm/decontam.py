@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_SPACE, ascii_lower, id_text, prefix_hash, range_hash, spaced, stored, text_chunks
+from docloom.llm.common import ASCII_SPACE, ascii_lower, id_text, prefix_hash, range_hash, spaced, stored, text_chunks, unused
 
 Q, RATE, BROADCAST_BYTES, MATCHES = 10, 0.06, 64 << 20, 1 << 19
 _SCHEMA = "doc_id long, item_id long, start long, end long, edits long, item_bytes long"
@@ -222,5 +222,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = B
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")

@@ -18,6 +18,7 @@ domain's strongest word n-gram log-odds), fitted on at most ``most_labelled`` =
 Tokens are words between white space. Nulls and empty texts have none, and the rate of their posteriors. A doc_id
 with several labels takes the largest toxic, then the least quality. Without labels all documents belong to high.
 Rows that repeat a doc_id each give a row. A domain without any token cannot be met and is left out.
+Targets that the clipped rates cannot reach are missed; ``totals`` reports target and achieved tokens of each domain.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_SPACE, fitted, id_text, spaced, stored, text_chunks
+from docloom.llm.common import ASCII_SPACE, fitted, id_text, spaced, stored, text_chunks, unused
 from docloom.llm.toxicity import GRAM_SLOTS, document_counts, tokens, tokens_of_many
 
 DOMAINS = ("high", "low", "toxic")
@@ -165,7 +166,16 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, least: float = 0.0) -> DataFrame:
     """The documents, each row as often as its rate says. Rows without a doc_id go."""
-    often = rates(docs, labels, weights, budget, least=least).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
+    key, times, copy = (unused(docs, n) for n in ("mixed_id", "mixed_copies", "mixed_copy"))
+    often = rates(docs, labels, weights, budget, least=least).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(often, F.col("doc_id") == F.col("mixed_id")).where("mixed_copies > 0")
-    return kept.withColumn("mixed_copy", F.explode(F.expr("sequence(1L, mixed_copies)"))).select(*names)
+    kept = docs.join(often, F.col("doc_id") == F.col(key)).where(F.col(times) > 0)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*names)
+
+
+def totals(rated: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+    """(domain, tokens, target, achieved) of the result of ``rates``: how near each domain's expected total came, in tokens."""
+    weights = weights or WEIGHTS
+    sums = rated.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(f"t_{d}") for d in DOMAINS], *[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(f"a_{d}") for d in DOMAINS])
+    rows = [F.struct(F.lit(d).alias("domain"), F.coalesce(f"t_{d}", F.lit(0.0)).alias("tokens"), (F.coalesce("n", F.lit(0)) * float(budget * weights.get(d, 0.0) / sum(weights.values()))).alias("target"), F.coalesce(f"a_{d}", F.lit(0.0)).alias("achieved")) for d in DOMAINS]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

@@ -7,15 +7,17 @@ sequence once). Two documents are linked when 100 * |A & B| >= percent * |A | B|
 1. One pass over the texts gives each document its set's size, a 128-bit digest of the set, 504 MinHash values,
    one byte of each (its marks), and bands of the first ones (36 of 7 at 85, 46 of 6 at 80). Documents with equal digests collapse into
    one representative, so copies never meet as pairs.
-2. In each bucket of a band, every member is paired with the bucket's first member and with its neighbour in
-   an order that differs by band: linear in the bucket, whatever its size.
+2. In each bucket of a band, every member is paired with the first member and with its neighbour in an order that
+   differs by band: linear in the bucket, whatever its size. Buckets of over 512 members are dealt into slots of about
+   that size first; each slot has its own first member, and those are paired with the bucket's.
 3. Signature batches of a pair are compared in sequence. After each batch the pair is dropped when the posterior
    probability (uniform prior) of a similarity of percent or more is under ``miss`` = 1e-6.
 4. Survivors are checked on the full sets. Linked pairs give components by large-star / small-star rounds.
 5. In buckets that still hold several components, every pair between different components is compared by the
-   same sequential test, so a link that step 2 did not try is not lost. That happens inside the tasks, in blocks
-   of two slots of some 512 members (larger buckets are dealt out over their pairs of slots); only pairs that
-   pass become rows, and are verified as in 4. Then the components are made again.
+   same sequential test, so a link that step 2 did not try is not lost. That happens inside the tasks, in blocks of
+   two slots of some 512 members: slots of the bucket's largest component against slots of the rest, and the rest
+   among themselves, so the members of one large class are not copied against each other. Only pairs that pass become
+   rows, and are verified as in 4. Then the components are made again.
 
 A pair at the limit shares no bucket with a chance of 1e-6 (see ``Limits.miss_chance``). Sets are compared by 64-bit shingle hashes.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_SPACE, binary_rows, id_text, mix, rolled, stored, text_chunks, view, words
+from docloom.llm.common import ASCII_SPACE, binary_rows, id_text, mix, rolled, stored, text_chunks, unused, view, words
 
 WORDS, BATCH, HASHES = 5, 42, 504
 MISS = 1e-6
@@ -259,11 +261,23 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     reps = one.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("marks", "doc_id").alias("marks"), F.min_by("bands", "doc_id").alias("bands"))
     reps = stored(reps, "representatives")
 
-    w = "partition by band, key order by xxhash64(rep, band), rep"
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = buckets.selectExpr("rep", "band", "key", f"first_value(rep) over ({w}) as hub", f"lag(rep) over ({w}) as beside", f"lead(rep) over ({w}) as next")
-    buckets = stored(buckets.where("beside is not null or next is not null").drop("next"), "shared-buckets")
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    hot = stored(keys.groupBy("band", "key").agg(F.ceil(F.count("*") / SLOT).alias("slots")).where("slots > 1"), "hot-buckets")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS // 10 else hot
+        keys = keys.join(hot, ["band", "key"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    else:
+        keys = keys.withColumn("slots", F.lit(1).cast("long"))
+    keys = keys.withColumn("slot", F.expr("pmod(xxhash64(rep), slots)"))
+    w = "partition by band, key, slot order by xxhash64(rep, band), rep"
+    buckets = keys.selectExpr("rep", "band", "key", "slots", f"first_value(rep) over ({w}) as hub", f"lag(rep) over ({w}) as beside", f"lead(rep) over ({w}) as next")
+    buckets = stored(buckets.where("slots > 1 or beside is not null or next is not null").drop("next"), "shared-buckets")
     tried = buckets.select("rep", F.explode(F.array("hub", "beside")).alias("other")).where("other is not null and other <> rep")
+    if n_hot:  # the slots of a hot bucket meet by their hubs
+        hubs = buckets.where("slots > 1 and rep = hub").select("band", "key", "rep")
+        first = hubs.groupBy("band", "key").agg(F.min("rep").alias("other"))
+        tried = tried.unionByName(hubs.join(first, ["band", "key"]).where("rep <> other").select("rep", "other"))
     tried = stored(tried.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "candidates")
     m = reps.select("rep", "marks")
     left, right = m.select(F.col("rep").alias("a"), F.col("marks").alias("ma")), m.select(F.col("rep").alias("b"), F.col("marks").alias("mb"))
@@ -279,10 +293,17 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     links = verified(likely, "first")
     found = components(links)
     placed = buckets.select("rep", "band", "key").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / SLOT).alias("slots")).where("low <> high").select("band", "key", "slots")
-    open_ = placed.join(split, ["band", "key"]).join(reps.select("rep", "marks", "bands"), "rep").selectExpr("band", "key", "rep", "c", "marks", "bands", "slots", "pmod(xxhash64(rep), slots) as slot")
-    open_ = open_.withColumn("other", F.explode(F.expr("sequence(0L, slots - 1)"))).selectExpr("xxhash64(band, key, least(slot, other), greatest(slot, other)) as block", "rep", "c", "slot", "marks", "band", "bands")
-    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs(limits), "a long, b long").join(tried, ["a", "b"], "left_anti")
+    # of each bucket with several components: its largest, and how many slots that and the others fill
+    parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    parts = parts.selectExpr("band", "key", "most.c as big", f"ceil(most.n / {SLOT}) as of_big", f"ceil((n - most.n) / {SLOT}) as of_rest")
+    open_ = placed.join(parts, ["band", "key"]).join(reps.select("rep", "marks", "bands"), "rep").selectExpr("*", "c = big as is_big", "pmod(xxhash64(rep), if(c = big, of_big, of_rest)) as own")
+    names = ["rep", "c", "slot", "marks", "band", "bands"]
+    # the largest against the rest: every slot of one meets every slot of the other
+    across = open_.withColumn("there", F.explode(F.expr("sequence(0L, if(is_big, of_rest, of_big) - 1)"))).selectExpr("xxhash64(band, key, 'a', if(is_big, own, there), if(is_big, there, own)) as block", "rep", "c", "if(is_big, 1L, 0L) as slot", "marks", "band", "bands")
+    # the rest among themselves: blocks of two slots
+    rest = open_.where("not is_big").withColumn("there", F.explode(F.expr("sequence(0L, of_rest - 1)"))).selectExpr("xxhash64(band, key, 'b', least(own, there), greatest(own, there)) as block", "rep", "c", "own as slot", "marks", "band", "bands")
+    open_ = across.select("block", *names).unionByName(rest.select("block", *names))
+    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs(limits), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, "second"))
     found = components(links).withColumnRenamed("id", "rep")
 
@@ -293,5 +314,6 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, limits: Limits = STAGE) -> DataFrame:
     """The documents without all but the first of each near-duplicate class. Rows without a doc_id go."""
-    kept = near_duplicates(docs, limits).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = near_duplicates(docs, limits).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")

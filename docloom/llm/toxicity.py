@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, fitted, id_text, prefix_hash, range_hash, spaced, text_chunks
+from docloom.llm.common import ascii_lower, fitted, id_text, prefix_hash, range_hash, spaced, text_chunks, unused
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 24, 12, 8, 8, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 17
@@ -330,5 +330,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the network does not reject. Rows without a doc_id go."""
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.where("doc_id is not null").join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.where("doc_id is not null").join(bad, F.col("doc_id") == F.col(name), "left_anti")
