@@ -39,7 +39,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
 
-#: Trained models, similarity classes and the tokenizer are beyond SQL: tests hold the stages against plain versions.
+#: Trained models, similarity classes and the tokenizer are beyond SQL: tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
