@@ -21,7 +21,7 @@ character) are one entry, and matches are counted some at a time, so no text mak
 
 Nulls, empty texts and blank items match nothing. An item_id that repeats counts once for each text. Rows that
 repeat a doc_id each give their rows; ``clean`` drops all rows of a doc_id that has a match. Ties: the region with
-the fewest edits, then the earliest.
+the fewest edits, then the one that ends first, then the shortest.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def least_edits(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int,
         row[place + i + 1 > n] = never
         if int(row.min()) >= (k + 1) * one:
             return None
-    best = int(row.argmin())
+    best = int((row >> 32).argmin())  # the fewest edits, then the earliest end, then the shortest region
     return int(row[best] >> 32), int(n - (row[best] & (one - 1))), int(place[best]) + m
 
 

@@ -84,3 +84,14 @@ def test_alignment_alone():
     x = np.frombuffer(b"abcdefghijklmnop", np.uint8)
     assert d.least_edits(x, np.frombuffer(b"zzabcdXefghijklmopzz", np.uint8), 3) == (2, 2, 18)
     assert d.least_edits(x, np.frombuffer(b"zzabcdXefghijklmopzz", np.uint8), 1) is None
+
+
+def test_long_runs_of_one_character_and_ties(spark):
+    line = "-" * 300
+    docs = [(1, "-" * 100_000), (2, "x " + "-" * 290 + " y"), (3, "-" * 100), (4, "start " + "ab cd " * 40 + "middle " + "ab cd " * 40), (5, None)]
+    items = [(1, line), (2, "ab cd " * 30)]
+    a, b = make(spark, docs, items)
+    rows = d.contaminated(a, b).collect()
+    got = {(r.doc_id, r.item_id): (r.edits, r.start) for r in rows}
+    assert got.keys() == {(1, 1), (2, 1), (4, 2)} and got[1, 1] == (0, 0) and got[2, 1][0] <= 18 and got[4, 2] == (0, 6)
+    assert {(r.doc_id, r.item_id): (r.edits, r.start) for r in d.contaminated(a, b, broadcast_bytes=200).collect()} == got
