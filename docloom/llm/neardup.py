@@ -7,9 +7,10 @@ sequence once). Two documents are linked when 100 * |A & B| >= percent * |A | B|
 1. One pass over the texts gives each document its set's size, a 128-bit digest of the set, 504 MinHash values,
    one byte of each (its marks), and bands of the first ones (36 of 7 at 85, 46 of 6 at 80). Documents with equal digests collapse into
    one representative, so copies never meet as pairs.
-2. In each bucket of a band, every member is paired with the first member and with its neighbour in an order that
-   differs by band: linear in the bucket, whatever its size. Buckets of over 512 members are dealt into slots of about
-   that size first; each slot has its own first member, and those are paired with the bucket's.
+2. In each bucket of a band, every member is paired with the first member and with its neighbour: linear in the bucket,
+   whatever its size. Buckets of over 512 members are dealt into slots of half that size at least; each slot has its
+   own first member, and those are paired with the bucket's. All bands use one order, and the number of slots is a
+   power of two, so members of a large class meet the same few partners in most bands and their pairs collapse.
 3. Signature batches of a pair are compared in sequence. After each batch the pair is dropped when the posterior
    probability (uniform prior) of a similarity of percent or more is under ``miss`` = 1e-6.
 4. Survivors are checked on the full sets. Linked pairs give components by large-star / small-star rounds.
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     reps = stored(reps, "representatives")
 
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    hot = stored(keys.groupBy("band", "key").agg(F.ceil(F.count("*") / SLOT).alias("slots")).where("slots > 1"), "hot-buckets")
+    hot = stored(keys.groupBy("band", "key").agg(F.expr(f"cast(pow(2, ceil(log2(count(*) / {SLOT}))) as long)").alias("slots")).where("slots > 1"), "hot-buckets")
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS // 10 else hot
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     else:
         keys = keys.withColumn("slots", F.lit(1).cast("long"))
     keys = keys.withColumn("slot", F.expr("pmod(xxhash64(rep), slots)"))
-    w = "partition by band, key, slot order by xxhash64(rep, band), rep"
+    w = "partition by band, key, slot order by xxhash64(rep, 1), rep"
     buckets = keys.selectExpr("rep", "band", "key", "slots", f"first_value(rep) over ({w}) as hub", f"lag(rep) over ({w}) as beside", f"lead(rep) over ({w}) as next")
     buckets = stored(buckets.where("slots > 1 or beside is not null or next is not null").drop("next"), "shared-buckets")
     tried = buckets.select("rep", F.explode(F.array("hub", "beside")).alias("other")).where("other is not null and other <> rep")
