@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, flac, html_text, licenses, mixing, neardup, pii, repeats, token_files, toxicity
+from docloom.llm import alignment, decontam, flac, html_text, licenses, manifest, mixing, neardup, packing, pii, repeats, token_files, toxicity
 from docloom.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placements(packing.sequences(table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats, op11_packing, op12_alignment, op13_manifest)}
+ORACLE_SQL: dict[str, str] = {"op13_manifest": manifest.ORACLE_SQL}
