@@ -17,8 +17,9 @@ sequence once). Two documents are linked when 100 * |A & B| >= percent * |A | B|
 5. In buckets that still hold several components, every pair between different components is compared by the
    same sequential test, so a link that step 2 did not try is not lost. That happens inside the tasks, in blocks of
    two slots of some 512 members: slots of the bucket's largest component against slots of the rest, and the rest
-   among themselves, so the members of one large class are not copied against each other. Only pairs that pass become
-   rows, and are verified as in 4. Then the components are made again.
+   among themselves, so the members of one large class are not copied against each other. Members of a pair that passes
+   stay, at most one row each; their sets are sent to the block once, the pairs are verified there, and only links that
+   join two components of the block become rows. Then the components are made again.
 
 A pair at the limit shares no bucket with a chance of 1e-6 (see ``Limits.miss_chance``). Sets are compared by 64-bit shingle hashes.
 
@@ -155,19 +156,22 @@ def _plausible(limits: Limits):
     return run
 
 
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have percent or more in common."""
+    both = len(x) + len(y)
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or len(small) * 100 < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    met = int((large[at] == small).sum())
+    return 100 * met >= percent * (both - met)
+
+
 def _linked(limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(view(batch.column(2), "u8"), view(batch.column(3), "u8"), strict=True):
-                both = len(x) + len(y)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                met = 0
-                if len(small) * 100 >= limits.percent * len(large) and len(small):
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    met = int((large[at] == small).sum())
-                ok.append(100 * met >= limits.percent * (both - met) and met > 0)
+            ok = [_is_link(x, y, limits.percent) for x, y in zip(view(batch.column(2), "u8"), view(batch.column(3), "u8"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -196,56 +200,100 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _cross_pairs(limits: Limits):
-    """Plausible pairs of different components within blocks, from rows (block, rep, c, slot, marks, band, bands) in order of block.
+_MEMBER = ["block", "rep", "c", "slot", "marks", "band", "bands"]
+
 
-    Marks are compared here, so no pair that fails becomes a row; and a pair is only looked at in the first band that it shares.
+def _open_pairs(t: pa.Table, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of plausible pairs of different components within each block of rows (``_MEMBER``) in order of block.
+
+    A pair is only looked at in the first band that it shares, and where two slots meet only across them: pairs within
+    one slot are met in that slot's own block.
     """
+    block, c, slot = (t.column(k).to_numpy() for k in ("block", "c", "slot"))
+    marks = np.stack(list(view(t.column("marks").combine_chunks(), "u1")))
+    band = t.column("band").to_numpy()
+    keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, limits.bands)
+    several = t.column("two").to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
+        x, y = np.triu_indices(b - a, 1) if b - a <= 64 else (None, None)
+        for i in [None] if x is not None else range(a, b - 1):
+            p, q = (x + a, y + a) if i is None else (np.full(b - i - 1, i), np.arange(i + 1, b))
+            apart = c[p] != c[q]
+            if several[a]:
+                apart &= slot[p] != slot[q]
+            p, q = p[apart], q[apart]
+            earlier = (keys[p, : band[a]] == keys[q, : band[a]]).any(axis=1)
+            p, q = p[~earlier], q[~earlier]
+            met, before = np.zeros(len(p), np.int64), 0
+            for n, m in least_matches(limits.percent):
+                met += (marks[p, before:n] == marks[q, before:n]).sum(axis=1)
+                p, q, met, before = p[met >= m], q[met >= m], met[met >= m], n
+            if len(p):
+                yield p, q
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, rep, c, slot = (t.column(k).to_numpy() for k in range(4))
-            marks = np.stack(list(view(t.column(4).combine_chunks(), "u1")))
-            band = t.column(5).to_numpy()
-            keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, limits.bands)
-            edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            found = []
-            for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
-                x, y = np.triu_indices(b - a, 1) if b - a <= 64 else (None, None)
-                for i in [None] if x is not None else range(a, b - 1):
-                    p, q = (x + a, y + a) if i is None else (np.full(b - i - 1, i), np.arange(i + 1, b))
-                    apart = c[p] != c[q]
-                    if slot[a:b].min() != slot[a:b].max():  # pairs within one slot are met in that slot's own block
-                        apart &= slot[p] != slot[q]
-                    p, q = p[apart], q[apart]
-                    earlier = (keys[p, : band[a]] == keys[q, : band[a]]).any(axis=1)
-                    p, q = p[~earlier], q[~earlier]
-                    met, before = np.zeros(len(p), np.int64), 0
-                    for n, m in least_matches(limits.percent):
-                        met += (marks[p, before:n] == marks[q, before:n]).sum(axis=1)
-                        p, q, met, before = p[met >= m], q[met >= m], met[met >= m], n
-                    if len(p):
-                        found.append(np.stack([np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])]))
-            if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _by_block(work):
+    """``work`` over tables of whole blocks, from rows in order of block; a block is some two slots of members."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held)
-            block = t.column(0).to_numpy()
+            block = t.column("block").to_numpy()
             cut = int(np.searchsorted(block, block[-1])) if len(block) else 0
             if cut:
-                yield from some(t.slice(0, cut))
+                yield from work(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
         if held and (t := pa.Table.from_batches(held)).num_rows:
-            yield from some(t)
+            yield from work(t)
 
     return run
 
 
+def _suspects(limits: Limits):
+    """The rows that are in a plausible pair."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(t.num_rows, bool)
+        for p, q in _open_pairs(t, limits):
+            hit[p] = hit[q] = True
+        yield from t.filter(pa.array(hit)).to_batches()
+
+    return _by_block(work)
+
+
+def _joining(limits: Limits):
+    """Links (a, b) between components, at most one fewer than a block has components, from rows (``_MEMBER``, two, items) in order of block."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, c = t.column("rep").to_numpy(), t.column("c").to_numpy()
+        block, items = t.column("block").to_numpy(), list(view(t.column("items").combine_chunks(), "u8"))
+        root: dict[tuple[int, int], int] = {}
+
+        def top(where: int, x: int) -> int:
+            path = []
+            while (up := root.get((where, x), x)) != x:
+                path.append(x)
+                x = up
+            for y in path:
+                root[where, y] = x
+            return x
+
+        found = []
+        for ps, qs in _open_pairs(t, limits):
+            for p, q in zip(ps.tolist(), qs.tolist(), strict=True):
+                x, y = top(block[p], c[p]), top(block[p], c[q])
+                if x != y and _is_link(items[p], items[q], limits.percent):
+                    root[block[p], max(x, y)] = min(x, y)
+                    found.append((rep[p], rep[q]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)) if len(pairs) else pa.array([], pa.int64()), pa.array(pairs.max(axis=1)) if len(pairs) else pa.array([], pa.int64())], ["a", "b"])
+
+    return _by_block(work)
+
+
 def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` with one of ``ids``: by broadcast while the ids are few, by shuffle beyond."""
     ids = ids.distinct()
@@ -284,29 +332,30 @@ def near_duplicates(docs: DataFrame, limits: Limits = CONTRACT) -> DataFrame:
     left, right = m.select(F.col("rep").alias("a"), F.col("marks").alias("ma")), m.select(F.col("rep").alias("b"), F.col("marks").alias("mb"))
     likely = tried.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_plausible(limits), "a long, b long")
 
-    def verified(likely: DataFrame, name: str) -> DataFrame:
-        likely = stored(likely, f"{name}-likely")
-        named = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
-        sets = _chosen(texts, named).mapInArrow(_sets, "doc_id long, n long, digest string, items binary").groupBy("doc_id").agg(F.max_by("items", F.struct("n", "digest")).alias("items"))
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
-        return stored(likely.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_linked(limits), "a long, b long"), f"{name}-links")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, items) of the given documents."""
+        return _chosen(texts, ids).mapInArrow(_sets, "doc_id long, n long, digest string, items binary").groupBy("doc_id").agg(F.max_by("items", F.struct("n", "digest")).alias("items"))
 
-    links = verified(likely, "first")
+    likely = stored(likely, "likely")
+    sets = sets_of(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
+    links = stored(likely.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(_linked(limits), "a long, b long"), "links")
     found = components(links)
     placed = buckets.select("rep", "band", "key").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("c"))
     # of each bucket with several components: its largest, and how many slots that and the others fill
     parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
     parts = parts.selectExpr("band", "key", "most.c as big", f"ceil(most.n / {SLOT}) as of_big", f"ceil((n - most.n) / {SLOT}) as of_rest")
     open_ = placed.join(parts, ["band", "key"]).join(reps.select("rep", "marks", "bands"), "rep").selectExpr("*", "c = big as is_big", "pmod(xxhash64(rep), if(c = big, of_big, of_rest)) as own")
-    names = ["rep", "c", "slot", "marks", "band", "bands"]
     # the largest against the rest: every slot of one meets every slot of the other
-    across = open_.withColumn("there", F.explode(F.expr("sequence(0L, if(is_big, of_rest, of_big) - 1)"))).selectExpr("xxhash64(band, key, 'a', if(is_big, own, there), if(is_big, there, own)) as block", "rep", "c", "if(is_big, 1L, 0L) as slot", "marks", "band", "bands")
+    across = open_.withColumn("there", F.explode(F.expr("sequence(0L, if(is_big, of_rest, of_big) - 1)"))).selectExpr("xxhash64(band, key, 'a', if(is_big, own, there), if(is_big, there, own)) as block", "rep", "c", "if(is_big, 1L, 0L) as slot", "marks", "band", "bands", "true as two")
     # the rest among themselves: blocks of two slots
-    rest = open_.where("not is_big").withColumn("there", F.explode(F.expr("sequence(0L, of_rest - 1)"))).selectExpr("xxhash64(band, key, 'b', least(own, there), greatest(own, there)) as block", "rep", "c", "own as slot", "marks", "band", "bands")
-    open_ = across.select("block", *names).unionByName(rest.select("block", *names))
-    more = open_.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_cross_pairs(limits), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(more, "second"))
-    found = components(links).withColumnRenamed("id", "rep")
+    rest = open_.where("not is_big").withColumn("there", F.explode(F.expr("sequence(0L, of_rest - 1)"))).selectExpr("xxhash64(band, key, 'b', least(own, there), greatest(own, there)) as block", "rep", "c", "own as slot", "marks", "band", "bands", "own <> there as two")
+    blocks = across.unionByName(rest)
+    schema = "block long, rep long, c long, slot long, marks binary, band int, bands array<long>, two boolean"
+    suspects = stored(blocks.repartition("block").sortWithinPartitions("block", "rep").select(*_MEMBER, "two").mapInArrow(_suspects(limits), schema), "suspects")
+    met = suspects.join(sets_of(suspects.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep").select(*_MEMBER, "two", "items")
+    more = met.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(_joining(limits), "a long, b long")
+    found = components(links.unionByName(stored(more, "more-links"))).withColumnRenamed("id", "rep")
 
     member = reps.select("digest", "n_shingles", "rep").join(found, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = one.select("doc_id", "n_shingles", "digest").join(member, ["digest", "n_shingles"], "left")
