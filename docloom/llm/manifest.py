@@ -127,7 +127,7 @@ def manifest(rows: DataFrame, by: Column, order: Column, hashed: Iterable[Column
     """(id, leaf, steps, subroot, root, and the columns of ``also``) of each row: a tree for each value of ``by``, leaves ascending by ``order``."""
     also = also or {}
     leaves = rows.select(by.alias("grp"), order.alias("id"), leaf(hashed).alias("node"), *[c.alias(f"also_{k}") for k, c in also.items()])
-    leaves = numbered(leaves, ["grp", "id", "node"], "leaves")
+    leaves = numbered(stored(leaves, "hashed"), ["grp", "id", "node"], "leaves")  # finding the ranges reads its input once more
     groups = stored(leaves.groupBy("grp").agg(F.min("at").alias("first"), F.count("*").alias("n")), "groups")
     n_groups, longest, n_leaves = groups.agg(F.count("*"), F.max("n"), F.sum("n")).first()
     if not n_groups:
