@@ -13,7 +13,7 @@ UNDERSPECIFIED = ["điều kiện là gì", "hồ sơ gồm gì", "nộp ở đ
 CONTINUATIONS = ["tiếp", "tiếp đi", "nói tiếp", "trả lời tiếp", "còn gì", "còn gì không", "còn nữa không", "còn không", "có gì thêm không"]
 LIST_CUES = ["gồm gì", "bao gồm", "các trường hợp nào", "cần giấy tờ gì", "có những loại nào", "hồ sơ gồm gì"]
 ASK_QUESTION = "Vui lòng nhập câu hỏi."
-GREETING_REPLY = "Chào bạn, mình là trợ lý hỗ trợ tra cứu thông tin sinh viên CTU. Bạn muốn hỏi về nội dung nào?"
+GREETING_REPLY = "Chào bạn, mình là trợ lý hỗ trợ tra cứu thông tin sinh viên. Bạn muốn hỏi về nội dung nào?"
 CLARIFY_FOLLOW_UP = "Bạn muốn hỏi tiếp về nội dung nào? Vui lòng nêu lại chủ đề hoặc câu hỏi trước đó."
 CLARIFY_AMBIGUOUS = "Bạn muốn hỏi điều kiện hoặc hồ sơ của thủ tục nào?"
 # Names by which departments, document types and domains are recognised.

@@ -1,9 +1,10 @@
-"""Text, key and path functions as Column expressions: no Python runs per row."""
+"""Text, key and path functions as Column expressions; Python runs only in ``comparison_text``, by Arrow batch."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 ABBREVIATIONS = {
     "bhyt": "bảo hiểm y tế",
     "ctsv": "công tác sinh viên",
-    "ctu": "đại học cần thơ",
     "ktx": "ký túc xá",
     "pctsv": "phòng công tác sinh viên",
     "pdt": "phòng đào tạo",
@@ -75,6 +75,19 @@ def search_terms(c: Column | str) -> Column:
     return F.array_distinct(F.filter(words(c), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS)))
 
 
+def comparison_text(c: Column | str) -> Column:
+    """Text for comparisons: compatibility forms as plain ones (NFKC), case folded, white space as single spaces. Null stays null.
+
+    Compatibility forms and full case folding are no SQL functions, so this is one Arrow batch of Python at a time.
+    """
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold() if t.isascii() else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+    return folded(col(c))
+
+
 def token_count(c: Column | str) -> Column:
     return F.size(F.filter(F.split(col(c), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
 

@@ -30,14 +30,14 @@ def transition_table(spark: SparkSession) -> DataFrame:
 
 
 #: What a guard reads where a frame of versions has no such column.
-GUARDED = {"active_job": "false", "title": "'-'", "n_chars": "1", "n_chunk_errors": "0", "snapshot_changed": "false", "signature_equal": "true", "job_processing": "true", "minutes_since_update": "0"}
-RETRY_MINUTES, MOST_CHARS = 5, 10_000_000
+GUARDED = {"active_job": "false", "title": "'-'", "n_bytes": "1", "n_chunk_errors": "0", "snapshot_changed": "false", "signature_equal": "true", "job_processing": "true", "minutes_since_update": "0"}
+RETRY_MINUTES, MOST_BYTES = 5, 20 * 1024 * 1024
 
 
-def apply_events(versions: DataFrame, events: DataFrame, retry_minutes: int = RETRY_MINUTES, most_chars: int = MOST_CHARS) -> DataFrame:
+def apply_events(versions: DataFrame, events: DataFrame, retry_minutes: int = RETRY_MINUTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(version_id, event, rag_status, next_status, error): each event against its version's state; a guard that fails leaves the state.
 
-    Guards: reviews ask for a title and a text of at most ``most_chars``; approving chunks for no chunk errors and a
+    Guards: reviews ask for a title and a text of at most ``most_bytes`` (20 MB of UTF-8); approving chunks for no chunk errors and a
     snapshot that has not changed since; indexing for chunks equal to the approved ones; a job's end for a job that is
     still processing; taking off the index for no running job, or one untouched for ``retry_minutes``.
     """
@@ -50,7 +50,7 @@ def apply_events(versions: DataFrame, events: DataFrame, retry_minutes: int = RE
         F.when(F.col("rag_status").isNull(), "unknown_version")
         .when(F.col("next_status").isNull(), "wrong_status")
         .when((event == "review") & (F.coalesce(F.trim("title"), F.lit("")) == ""), "no_title")
-        .when((event == "review") & ~F.coalesce(F.col("n_chars").between(1, most_chars), F.lit(False)), "wrong_size")
+        .when((event == "review") & ~F.coalesce(F.col("n_bytes").between(1, most_bytes), F.lit(False)), "wrong_size")
         .when(event.isin("approve_chunks", "start_index", "publish") & ~approved, "not_approved")
         .when((event == "approve_chunks") & (F.col("n_chunk_errors") > 0), "chunk_errors")
         .when((event == "approve_chunks") & F.col("snapshot_changed"), "snapshot_changed")
@@ -138,3 +138,49 @@ def last_n(c: Column, n: int) -> Column:
 def rule_errors(rules: dict[str, Column]) -> Column:
     """The names of the rules that a row breaks; a rule that is null counts as broken."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
+
+
+# ---- updates of one version's metadata
+
+#: Fields that what was embedded depends on, and those that may change at any time.
+EMBEDDED_FIELDS = ["title", "type_id", "departments", "body", "is_latest"]
+FREE_FIELDS = ["domain", "audience", "code", "issued_date", "effective_date", "expiry_date", "validity_status"]
+INDEXED_STATES = ["chunked", "embedded", "indexed", "published"]
+
+
+def update_plan(current: DataFrame, requested: DataFrame, on: str = "version_id") -> DataFrame:
+    """(on, error, restricted, changed, whole, sync_payload, recipients_date) of each request.
+
+    Both frames have ``EMBEDDED_FIELDS`` and ``FREE_FIELDS`` (departments and audience arrays); ``current`` also rag_status. An indexed
+    version may change its free fields alone: others stand in ``restricted`` and the error is ``needs_deindex``. Otherwise the
+    request is a whole edit (``whole``), to be reviewed. Departments ask for an effective or an issue date. ``sync_payload``
+    says that the vectors' payload has to follow; a version without changes is left alone. Departments compare as sets, bodies trimmed.
+    """
+    pair = requested.alias("n").join(current.alias("o"), on, "left")
+    old, new = (lambda f: F.col(f"o.{f}")), (lambda f: F.col(f"n.{f}"))
+    shaped = {"departments": lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))), "body": lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")}
+    same = lambda f: shaped.get(f, lambda c: c)(old(f)).eqNullSafe(shaped.get(f, lambda c: c)(new(f)))
+    names = lambda fields: F.array_compact(F.array(*[F.when(~same(f), f) for f in fields]))
+    indexed = old("rag_status").isin(INDEXED_STATES)
+    date = F.coalesce(new("effective_date"), new("issued_date"))
+    restricted = F.when(indexed, names(EMBEDDED_FIELDS)).otherwise(F.array().cast("array<string>"))
+    owners = F.when(indexed, old("departments")).otherwise(new("departments"))
+    error = F.when(old("rag_status").isNull(), "unknown_version").when(F.size(restricted) > 0, "needs_deindex").when((F.size(F.coalesce(owners, F.array().cast("array<string>"))) > 0) & date.isNull(), "no_date")
+    changed = F.when(error.isNull(), F.concat(F.when(indexed, F.array().cast("array<string>")).otherwise(names(EMBEDDED_FIELDS)), names(FREE_FIELDS))).otherwise(F.array().cast("array<string>"))
+    payload = error.isNull() & ~(same("domain") & same("audience"))
+    return pair.select(on, error.alias("error"), F.when(error == "needs_deindex", restricted).otherwise(F.array().cast("array<string>")).alias("restricted"), changed.alias("changed"), (error.isNull() & ~indexed).alias("whole"), payload.alias("sync_payload"), F.when(error.isNull(), date).alias("recipients_date"))
+
+
+def updated(current: DataFrame, requested: DataFrame, plan: DataFrame, on: str = "version_id") -> DataFrame:
+    """``current`` with the changed fields of the requests that ``plan`` accepts."""
+    fields = [f for f in EMBEDDED_FIELDS + FREE_FIELDS if f in current.columns]
+    r = requested.select(on, *[F.col(f).alias(f"_new_{f}") for f in fields]).join(plan.where("error is null").select(on, "changed"), on)
+    out = current.join(r, on, "left")
+    return out.select(*[F.when(F.array_contains(F.coalesce("changed", F.array().cast("array<string>")), c), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in current.columns])
+
+
+def error_code(kind: Column, phase: Column) -> Column:
+    """struct(code, status, retry) of a failed request: what kind of failure, its number for callers, and whether the same request may be sent again (only work outside may)."""
+    code = F.when(kind.isin("not_found", "lookup"), "not_found").when(kind.isin("value", "invalid"), "invalid").when(kind.isin("conflict", "exists"), "conflict").otherwise("unavailable")
+    status = F.when(code == "not_found", 404).when(code == "invalid", 422).when(code == "conflict", 409).otherwise(503)
+    return F.struct(code.alias("code"), status.alias("status"), ((code == "unavailable") & phase.isin("store", "vectors", "model")).alias("retry"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip_accents
+from docloom.operators import forms, tables
 
 HEADING, NUMBERED = r"^(#{1,6})\s+(.+)$", r"^(\d+(?:\.\d+)*)\.\s+.+$"
 # What opens an article, the caption of a seal, and the phrases of section rows inside tables.
@@ -40,6 +41,15 @@ def _most(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.max_by("level", F.struct("n", -F.col("first"))).alias(name), F.sum("n").alias("n"))
 
 
+def _most_over(r: DataFrame, head: Column, by: list[str], name: str) -> DataFrame:
+    """``r`` with the most frequent level of each row's group, the one met first in ties, and ``n_``: its headings; by windows."""
+    alike = Window.partitionBy(*by, "level")
+    r = r.withColumn("_head", head).withColumns({"_n": F.sum(F.col("_head").cast("int")).over(alike), "_first": F.min(F.when(F.col("_head"), F.col("pos"))).over(alike)})
+    order = F.when(F.col("_head"), F.struct("_n", -F.col("_first")))
+    whole = Window.partitionBy(*by)
+    return r.withColumns({name: F.max_by("level", order).over(whole), f"n_{name}": F.sum(F.col("_head").cast("int")).over(whole)}).drop("_head", "_n", "_first")
+
+
 def repaired_headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Headings of one family get its most frequent level, and unmarked siblings become headings.
 
@@ -60,21 +70,22 @@ def repaired_headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     r = r.withColumn("parent", F.when(F.col("number").isNotNull(), F.regexp_replace("number", r"\.?\d+$", ""))).withColumn("depth", F.when(F.col("number").isNotNull(), depth))
     family = F.when(~F.col("again"), F.when(F.col("number").isNotNull(), F.concat(F.lit("n"), "parent")).when(F.col("article"), F.lit("a")))
     r = r.withColumn("family", family)
-    heads = r.where("family is not null and level is not null")
     missing = F.col("family").isNotNull() & F.col("level").isNull() & (F.col("article") | (F.col("depth") > 1))
     r = r.withColumn("missing", F.coalesce(missing, F.lit(False)))
-    by = [key, "part", "family"]
-    canon = _most(heads, by, "canon")
-    lost = r.where("missing").groupBy(*by).agg(F.count("*").alias("n_lost"))
-    nodes = heads.where("number is not null").select(key, "part", F.col("number").alias("parent")).distinct().withColumn("node", F.lit(True))
-    deep = _most(heads.where("number is not null"), [key, "part", "depth"], "deep").drop("n")
-    r = r.join(canon, by, "left").join(lost, by, "left").join(nodes, [key, "part", "parent"], "left").join(deep, [key, "part", "depth"], "left")
+    head = F.col("family").isNotNull() & F.col("level").isNotNull()
+    r = _most_over(r, head, [key, "part", "family"], "canon")
+    r = r.withColumn("n_lost", F.sum(F.col("missing").cast("int")).over(Window.partitionBy(key, "part", "family")))
+    r = _most_over(r, head & F.col("number").isNotNull(), [key, "part", "depth"], "deep")
+    # a numbered heading stands once more under its own number, so that its children see it as their parent
+    r = r.withColumn("_mark", F.explode(F.when(head & F.col("number").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    r = r.withColumn("_under", F.when(F.col("_mark"), F.col("number")).otherwise(F.col("parent"))).withColumn("node", F.max("_mark").over(Window.partitionBy(key, "part", "_under")))
+    r = r.where(~F.col("_mark"))
     marks = lambda n: F.repeat(F.lit("#"), n)
     line = F.col("line")
     out = (
         F.when(F.col("again"), F.concat(F.lit("**"), F.regexp_replace("body", r"^[*_ ]+|[*_ ]+$", ""), F.lit("**")))
         .when(F.col("family").isNotNull() & F.col("level").isNotNull(), F.concat(marks(F.col("canon")), F.expr("substring(line, level + 1)")))
-        .when(F.col("missing") & (F.col("n") >= 2), F.concat(marks(F.col("canon")), F.lit(" "), line))
+        .when(F.col("missing") & (F.col("n_canon") >= 2), F.concat(marks(F.col("canon")), F.lit(" "), line))
         .when(F.col("missing") & ~F.col("article") & (F.col("n_lost") >= 2) & F.col("node") & F.col("deep").isNotNull(), F.concat(marks(F.col("deep")), F.lit(" "), line))
         .otherwise(line)
     )
@@ -133,7 +144,7 @@ def _without_prefix(cells: Column) -> Column:
 
 
 def repaired_tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, line): pipe tables with equal widths, outer pipes and one separator; other lines as they are.
+    """(key, pos, line, ...): pipe tables with equal widths, outer pipes and one separator; other lines as they are.
 
     A table starts at a row with both outer pipes, or at a loose row above a separator, and reaches as far as rows have
     pipes. Spread titles are compacted, empty columns at the end go (numbered stand-in headers count as empty), separators
@@ -166,17 +177,36 @@ def repaired_tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     own = F.array(shown(F.col("cells")))
     empty = F.forall("cells", lambda x: x == "")
     lines = F.when(~F.col("inside"), F.array("line")).when((F.col("n") == 1) & F.col("ruled"), F.array(rule)).when((F.col("n") == 1) & empty, F.concat(F.array(rule), own)).otherwise(own)
-    return r.select(key, "pos", F.posexplode(lines).alias("sub", "line")).select(key, (F.col("pos") * 2 + F.col("sub")).alias("pos"), "line")
+    more = [c for c in rows.columns if c not in (key, "pos", "line")]
+    return r.select(key, "pos", *more, F.posexplode(lines).alias("sub", "line")).select(key, (F.col("pos") * 2 + F.col("sub")).alias("pos"), "line", *more)
 
 
 def postprocessed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text): escapes, then headings, then tables, then at most two blank lines in a row and one final line end."""
-    rows = docs.select(key, F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("pos", "line"))
-    rows = repaired_tables(repaired_headings(unescaped(rows, key), key), key)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    out = rows.groupBy(key).agg(F.array_join(lines, "\n").alias("t"))
-    tidy = F.regexp_replace(F.regexp_replace("t", r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
-    return out.select(key, F.concat(tidy, F.lit("\n")).alias(text))
+    """(key, text) of every document after seven steps: escapes, lines of forms, headings, tables cut by pages, HTML tables as pipe
+    tables, pipe tables, blank lines. Front matter stays as it is before them; a null text is empty, and an emptied one a line end.
+
+    One shuffle by document; every step after it is windows and groups whose keys begin with the document's. Rows that
+    repeat a key are one document, so keys must tell documents apart.
+    """
+    # the gate of forms is taken from the text with escapes off, before it is parted into lines
+    tidy = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
+    front = F.regexp_extract(tidy, r"\A(\s*---[ \t]*\n(?s:.*?\n)??[ \t]*---[ \t]*(?:\n|\z))", 1)
+    front = F.when(tidy.rlike(r"\A[ \t]*---[ \t]*\n"), front).otherwise("")
+    d = docs.select(key, front.alias("front"), tidy.alias("t")).withColumn("t", F.expr("substring(t, length(front) + 1)"))
+    loose = F.regexp_replace(F.regexp_replace("t", r"(?m)^\*\*(#{1,6}\s+.+?)\*\*$", "$1"), r"(?m)^(\s*\d*)\\+([-+*.])(?=\s)", "$1$2")
+    # an empty last line keeps a document whose other lines all go
+    d = d.select(key, "front", forms.is_form(loose).alias("is_form"), F.array_append(F.split("t", "\n"), F.lit("")).alias("lines")).repartition(key)
+    rows = d.select(key, "front", "is_form", F.posexplode("lines").alias("pos", "line"))
+    rows = repaired_headings(forms.form_lines(unescaped(rows, key), key), key)
+
+    def whole(r: DataFrame) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+        return r.groupBy(key).agg(F.first("front").alias("front"), F.array_join(lines, "\n").alias("t"))
+
+    body = tables.with_pipe_tables(whole(rows).withColumn("t", tables.continued(F.col("t"))), "t")
+    out = whole(repaired_tables(body.select(key, "front", F.posexplode(F.split("t", "\n")).alias("pos", "line")), key))
+    end = F.concat(F.regexp_replace(F.regexp_replace("t", r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", ""), F.lit("\n"))
+    return out.select(key, F.when(F.col("front") != "", F.concat(F.regexp_replace("front", r"\s+$", ""), F.lit("\n\n"), end)).otherwise(end).alias(text))
 
 
 def heading_modes(rows: DataFrame, key: str = "doc_id", family: str = "family") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import words
+from docloom.sources.shared import numbered
 
 RANK_CONSTANT = 60
 #: Rows of a query side up to which it is broadcast; the check is a count.
@@ -279,8 +282,20 @@ def citation_scores(cases: DataFrame, cited: DataFrame, expected: DataFrame, key
 
 
 def latency(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Mean and 95th percentile (linear between neighbours) of each group."""
-    return df.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"), F.round(F.percentile(column, F.lit(0.95)), 6).alias("p95"))
+    """Mean and 95th percentile (linear between neighbours) of each group; null values do not count.
+
+    Values are numbered in ranges of (group, value) and two of each group are picked, so no task holds a group.
+    """
+    v = numbered(df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v")), [*by, "_v"], "sorted-values")
+    groups = v.groupBy(*by).agg(F.min("at").alias("_first"), F.count("*").alias("_n")).withColumn("_p", (F.col("_n") - 1) * 0.95)
+    g = small(groups.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], "_first", "_p"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    picked = v.join(g, same & (F.col("at") - F.col("_first")).isin(F.floor("_p"), F.ceil("_p"))).groupBy(*by, "_p").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    p95 = picked.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_p") - F.floor("_p")), 6).alias("p95"))
+    mean = df.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"))
+    return mean.join(p95, same, "left").select(*by, "mean", "p95")
 
 
 # ---- pages
@@ -314,3 +329,51 @@ def joined_pages(pages: DataFrame, mode: str = "blank", by: str = "doc_id", page
 def numbered_pages(rows: DataFrame, by: str, order: str, page: str) -> DataFrame:
     """``page`` where it is given, else the row's place."""
     return rows.withColumn(page, F.coalesce(F.col(page), F.row_number().over(Window.partitionBy(by).orderBy(order))))
+
+
+# ---- a whole retrieval in one plan
+
+
+def branch_lists(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, terms: Column, k: int) -> DataFrame:
+    """(query_id, variant, branch, chunk_id, rank): the dense (0) and sparse (1) hits of every variant (query_id, variant, query) among chunks (chunk_id, content)."""
+    one = F.struct("query_id", "variant").alias("query_id")
+    wanted = queries.select(one, F.explode(terms).alias("term"))
+    sparse = sparse_topk(postings(chunks, terms=wanted), wanted, k).withColumn("branch", F.lit(1))
+    dense = dense_topk(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), query_vectors.select(one, F.col("vector").alias("query")), k, "chunk_id").withColumn("branch", F.lit(0))
+    return dense.unionByName(sparse).select("query_id.query_id", "query_id.variant", "branch", "chunk_id", "rank")
+
+
+def retrieve(
+    questions: DataFrame, variants: DataFrame, chunks: DataFrame, versions: DataFrame, documents: DataFrame, types: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], terms: Column,
+    scores: Callable[[DataFrame], DataFrame], used: DataFrame, top_k: int = 5, configured: int = 30, written: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> DataFrame:
+    """The rows of an answer, from questions (query_id, query, wants_list) to hits with their neighbours, in rank order.
+
+    Variants (query_id, position, query) join each question; ``embed`` gives their vectors (query_id, variant, vector), ``terms`` is
+    the search terms of the column ``query``. Dense and sparse hits among indexed children of eligible versions are fused by
+    variant, then over the variants; ``scores`` reranks them (see ``search``); what an answer before used (query_id, chunk_id) goes
+    before the first ``top_k`` are taken, and from their neighbours too. Chunks have chunk_id, chunk_type, index_status,
+    version_id, version_key, chunk_key, chunk_index, content, page_start, page_end, heading_path, parent_chunk_id and the
+    structure that ``expand`` reads. ``written`` may store the fused lists, which two later steps read.
+    """
+    k = candidate_k(top_k, configured)
+    good = versions.where("review_status = 'approved' and rag_status = 'published' and is_latest").select("version_id")
+    live = chunks.where("chunk_type = 'child' and index_status = 'indexed'").join(good, "version_id", "left_semi")
+    queries = search_queries(questions, variants)
+    lists = written(branch_lists(queries, live.select("chunk_id", "content"), vectors, embed(queries), terms, k), "branches")
+    direct = written(search(lists, scores, used, top_k, configured), "direct-hits")
+    structure = ["version_key", "chunk_key", "chunk_index", "item", "parent_item", "parent_chunk", "split_index", "split_count"]
+    hits = direct.join(live.select("chunk_id", *structure), "chunk_id").join(questions.select("query_id", "wants_list"), "query_id")
+    every = expand(hits, live.select(*structure))
+    out = every.join(live.select("version_key", "chunk_key", "chunk_id"), ["version_key", "chunk_key"])
+    out = without_used(out, used).select("query_id", "rank", "chunk_id", "reason")
+    none = F.lit(None).cast("struct<source_file:string,page_start:int,page_end:int,heading_path:array<string>,chunk_key:string,parent_chunk_key:string,source_url:string,legal_unit_type:string,split_index:int,split_count:int>")
+    full = hydrate_fields(out.select("query_id", "rank", "chunk_id", F.lit(0.0).alias("score"), none.alias("payload")), chunks, versions, documents, types)
+    return full.join(out.select("query_id", "chunk_id", "reason"), ["query_id", "chunk_id"])
+
+
+def answer_contexts(rows: DataFrame, budget: int = 12_000) -> DataFrame:
+    """(query_id, context) of ``retrieve``'s rows, each parent before its first child, within ``budget`` characters."""
+    from docloom.operators.structure import contexts
+
+    return contexts(rows.withColumnRenamed("parent_chunk_key", "parent_key"), budget)

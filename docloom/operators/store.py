@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import written
+
 #: The audience that has a flag of its own in the payload.
 STUDENT = "sinh_vien"
 
@@ -91,8 +93,21 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame, model: str, dim: int,
 # ---- chunks
 
 
-def replace_chunks(old: DataFrame, new: DataFrame, first_id: int, on: str = "version_key") -> tuple[DataFrame, DataFrame]:
-    """(chunks, errors): the versions of ``new`` lose their old chunks and get the new ones, parents first.
+def _starts(sizes: DataFrame, on: str) -> DataFrame:
+    """(on, _start): how many rows of (on, _n) stand before each in order of ``on``. Ranges of the order are numbered apart; one task sees one row for each of them."""
+    ranged = written(sizes.repartitionByRange(on).sortWithinPartitions(on).withColumn("_part", F.spark_partition_id()), "sizes")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_n")).withColumn("_base", before(Window.orderBy("_part"))).select("_part", "_base")
+    return ranged.withColumn("_own", before(Window.partitionBy("_part").orderBy(on))).join(F.broadcast(parts), "_part").select(on, (F.col("_base") + F.col("_own")).alias("_start"))
+
+
+def _named(versions: DataFrame | None, wanted: DataFrame, on: str) -> DataFrame:
+    """The versions that a request is about: those given, else those of its rows (which an empty list does not have)."""
+    return _keys(wanted if versions is None else versions, on)
+
+
+def replace_chunks(old: DataFrame, new: DataFrame, first_id: int, on: str = "version_key", versions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, errors): the ``versions`` (those of ``new``, if not given) lose their old chunks and get the new ones, parents first.
 
     Ids go on from ``first_id`` by version, parents before children, then chunk_index. A child's parent_id is its parent's
     by key; a child without such a parent is an error, and its version keeps its old chunks.
@@ -103,13 +118,13 @@ def replace_chunks(old: DataFrame, new: DataFrame, first_id: int, on: str = "ver
     errors = named.where("_child and _met is null").select(on, "chunk_key", "parent_chunk_key")
     named = named.join(_keys(errors, on), on, "left_anti")
     # ids in two steps, so that no task numbers all rows: a version's first id, then its rows
-    sizes = named.groupBy(on).agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy(on).rowsBetween(Window.unboundedPreceding, -1)))
+    starts = _starts(named.groupBy(on).agg(F.count("*").alias("_n")), on)
     place = F.row_number().over(Window.partitionBy(on).orderBy("_child", "chunk_index", "chunk_key"))
-    named = named.join(starts.drop("_n"), on).withColumn("id", (F.coalesce("_start", F.lit(0)) + place + first_id - 1).cast("long"))
+    named = named.join(starts, on).withColumn("id", (F.col("_start") + place + first_id - 1).cast("long"))
     ids = named.where("not _child").groupBy(on, F.col("chunk_key").alias("parent_chunk_key")).agg(F.min("id").alias("parent_id"))
     named = named.drop("_met").join(ids, [on, "parent_chunk_key"], "left")
-    return old.join(_keys(named, on), on, "left_anti").unionByName(named.select(*old.columns)), errors
+    gone = _named(versions, named, on).join(_keys(errors, on), on, "left_anti")
+    return old.join(gone, on, "left_anti").unionByName(named.select(*old.columns)), errors
 
 
 def snapshot_diff(approved: DataFrame, generated: DataFrame, fields: list[str]) -> DataFrame:
@@ -138,8 +153,8 @@ def contract_errors(df: DataFrame) -> Column:
 # ---- links
 
 
-def replace_assets(assets: DataFrame, links: DataFrame, wanted: DataFrame, on: str = "version_key") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assets, links, duplicates) after the versions of ``wanted`` (on, position, url) get their links.
+def replace_assets(assets: DataFrame, links: DataFrame, wanted: DataFrame, on: str = "version_key", versions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assets, links, duplicates) after the ``versions`` (those of ``wanted``, if not given) get their links (on, position, url); one without any is emptied.
 
     An asset's key is the hash of its url, so a known url is updated and not added again. A version that names a url twice
     is refused whole and stands in the duplicates.
@@ -148,17 +163,22 @@ def replace_assets(assets: DataFrame, links: DataFrame, wanted: DataFrame, on: s
     twice = wanted.groupBy(on, "url").agg(F.count("*").alias("n")).where("n > 1")
     wanted = wanted.join(_keys(twice, on), on, "left_anti")
     fresh = wanted.groupBy("asset_key").agg(F.first("url").alias("url"))
-    kept = links.join(_keys(wanted, on), on, "left_anti")
+    kept = links.join(_named(versions, wanted, on).join(_keys(twice, on), on, "left_anti"), on, "left_anti")
     return assets.join(fresh.select("asset_key"), "asset_key", "left_anti").unionByName(fresh.select(*assets.columns)), kept.unionByName(wanted.select(on, "asset_key", F.col("position").alias("display_order")).select(*links.columns)), twice.select(on, "url", "n")
 
 
-def replace_recipients(requested: DataFrame, versions: DataFrame, departments: DataFrame, on: str = "version_key") -> tuple[DataFrame, DataFrame]:
-    """(recipients, refused): each code once in order of its first place; the effective date falls back to the version's issue date; codes that are not active are refused."""
+def replace_recipients(old: DataFrame, requested: DataFrame, versions: DataFrame, departments: DataFrame, on: str = "version_key") -> tuple[DataFrame, DataFrame]:
+    """(recipients, refused): the ``versions`` (on, issued_date) get the codes asked for in place of those they had; one without any is emptied.
+
+    Each code counts once, in order of its first place; the effective date falls back to the version's issue date. A version
+    that asks for a code that is not active is refused whole, keeps what it had, and its bad codes stand in ``refused``.
+    """
     once = requested.groupBy(on, "code").agg(F.min("position").alias("position"), F.min_by("effective_date", "position").alias("effective_date"))
-    active = departments.where("is_active").select("code").distinct()
-    out = once.join(active, "code", "left_semi").join(versions.select(on, "issued_date"), on, "left")
+    refused = once.join(departments.where("is_active").select("code").distinct(), "code", "left_anti").select(on, "code")
+    good = versions.join(_keys(refused, on), on, "left_anti")
+    out = once.join(good.select(on, "issued_date"), on)
     out = out.select(on, "code", F.row_number().over(Window.partitionBy(on).orderBy("position", "code")).alias("position"), F.coalesce("effective_date", "issued_date").alias("effective_date"))
-    return out, once.join(active, "code", "left_anti").select(on, "code")
+    return old.join(_keys(good, on), on, "left_anti").select(on, "code", "position", "effective_date").unionByName(out), refused
 
 
 def active_codes(reference: DataFrame, flag: str = "is_active") -> DataFrame:

@@ -7,6 +7,7 @@ short fold over one document's or one query's rows, run by Spark over all groups
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,6 +77,16 @@ def chunk_keys(rows: DataFrame, key: str = "version_key") -> DataFrame:
     return rows.withColumn("chunk_key", name).withColumn("chunk_index", F.row_number().over(order) - 1)
 
 
+def legal_unit(kind: Column, title: Column, heading_path: Column) -> Column:
+    """What a block is in a law: an article is a heading that says so; below one, items are clauses, points and bullets by their marks; all else is none.
+
+    Headings end all items, so an item stands in a law exactly if a heading above it is an article.
+    """
+    is_article = lambda t: F.lower(t).startswith("điều ")
+    item = F.when(kind == "numbered_item", "clause").when(kind == "lettered_item", "point").when(kind == "bullet_item", "bullet").otherwise("none")
+    return F.when(kind == "heading", F.when(is_article(title), "article").otherwise("none")).when(F.exists(heading_path, is_article), item).otherwise("none")
+
+
 # ---- folds
 
 
@@ -130,7 +141,7 @@ def _reach(rows: list[str], i: int, kind: str) -> tuple[int, bool]:
     return j, True
 
 
-BLOCK_SCHEMA = "source_order int, block_type string, page_start int, page_end int, heading_path array<string>, item_level int, item_marker string, item_key string, parent_item_key string, legal_unit string, content string, problem string"
+BLOCK_SCHEMA = "source_order int, block_type string, page_start int, page_end int, heading_path array<string>, item_level int, item_marker string, item_path array<string>, item_key string, parent_item_key string, legal_unit string, content string, problem string"
 
 
 def fold_blocks(rows: list[str], page_of: list[int]) -> Iterator[tuple]:
@@ -143,10 +154,11 @@ def fold_blocks(rows: list[str], page_of: list[int]) -> Iterator[tuple]:
         j, whole = _reach(rows, i, kind)
         if kind not in ("blank", "comment"):
             path, level, parent, legal, problem = [t for _, t in heads], None, items[-1] if items else None, "none", None
+            trail = parent["path"] if parent else []
             if kind == "heading":
                 depth, title = len(m[1]), m[2].strip()
                 heads = [h for h in heads if h[0] < depth] + [(depth, title)]
-                path, items, parent = [t for _, t in heads], [], None
+                path, items, parent, trail = [t for _, t in heads], [], None, []
                 legal = "article" if title.casefold().startswith("điều ") else "none"
             elif m:
                 level = _level(kind, m[1], items)
@@ -156,12 +168,13 @@ def fold_blocks(rows: list[str], page_of: list[int]) -> Iterator[tuple]:
                 problem = "item_level_jump" if level > 1 and parent is None else None
                 while items and items[-1]["level"] >= level:
                     items.pop()
-                items.append({"key": f"item:{order:06d}", "level": level, "kind": kind, "legal": legal})
+                trail = [*(parent["path"] if parent else []), rows[i].strip()]
+                items.append({"key": f"item:{order:06d}", "level": level, "kind": kind, "legal": legal, "path": trail})
             else:
                 parent = None
                 problem = None if whole else "unclosed_code_fence"
             own = f"item:{order:06d}" if level else f"{kind}:{order:06d}" if kind in ("code", "table") else None
-            yield order, kind, min(page_of[i:j]), max(page_of[i:j]), path, level, m[1] if level else None, own, parent["key"] if level and parent else None, legal, "\n".join(rows[i:j]), problem
+            yield order, kind, min(page_of[i:j]), max(page_of[i:j]), path, level, m[1] if level else None, trail, own, parent["key"] if level and parent else None, legal, "\n".join(rows[i:j]), problem
             order += 1
         i = j
 
@@ -199,7 +212,7 @@ def recursive_split(text: str, size: int = 1200, overlap: int = 100, separators:
     mark = next(s for s in separators if s == "" or s in text)
     rest = separators[separators.index(mark) + 1 :]
     parts = list(text) if mark == "" else [p if n == 0 else mark + p for n, p in enumerate(text.split(mark))]
-    out, now = [], []
+    out, now, used = [], deque(), 0
 
     def close() -> None:
         if piece := "".join(now).strip():
@@ -209,45 +222,53 @@ def recursive_split(text: str, size: int = 1200, overlap: int = 100, separators:
         if len(p) > size and rest:
             close()
             now.clear()
+            used = 0
             out += recursive_split(p, size, overlap, rest)
             continue
-        if now and sum(map(len, now)) + len(p) > size:
+        if now and used + len(p) > size:
             close()
-            while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(p) > size):
-                now.pop(0)
+            while now and (used > overlap or used + len(p) > size):
+                used -= len(now.popleft())
         now.append(p)
+        used += len(p)
     close()
     return out
 
 
+def grouped_lines(rows: list[str], room: int) -> list[list[str]]:
+    """Neighbouring lines together while they and the line ends between them are within ``room``; a longer line stands alone."""
+    out: list[list[str]] = []
+    used = 0
+    for row in rows:
+        if out and used + 1 + len(row) <= room:
+            out[-1].append(row)
+            used += 1 + len(row)
+        else:
+            out.append([row])
+            used = len(row)
+    return out
+
+
 def split_table(text: str, size: int) -> list[str]:
     """Parts of a table within ``size`` characters, each with header and rule; a longer row stays whole."""
     rows = [r.strip() for r in text.strip().splitlines() if r.strip()]
     if len(text.strip()) <= size or len(rows) <= 2:
         return [text.strip()]
-    out, now = [], []
-    for row in rows[2:]:
-        if now and len("\n".join([*rows[:2], *now, row])) > size:
-            out.append("\n".join([*rows[:2], *now]))
-            now = []
-        now.append(row)
-    return [*out, "\n".join([*rows[:2], *now])]
+    head = "\n".join(rows[:2])
+    return ["\n".join([head, *some]) for some in grouped_lines(rows[2:], size - len(head) - 1)]
 
 
 def split_code(text: str, size: int) -> list[str]:
-    """Parts of a fenced block at whole lines, fenced again."""
+    """Parts of a fenced block at whole lines, fenced again; whole if the fences alone fill ``size``."""
     rows = text.strip("\n").split("\n")
     if len(text) <= size or len(rows) < 3:
         return [text]
-    closed = set(rows[-1].strip()) == {rows[0].strip()[0]}
-    tail = rows[-1] if closed else re.match(FENCE, rows[0].strip())[1]
-    room, out, now = size - len(rows[0]) - len(tail) - 2, [], []
-    for row in rows[1:-1] if closed else rows[1:]:
-        if now and sum(len(x) + 1 for x in now) + len(row) > room:
-            out.append("\n".join([rows[0], *now, tail]))
-            now = []
-        now.append(row)
-    return [*out, "\n".join([rows[0], *now, tail])]
+    fence = re.match(FENCE, rows[0].strip())[1]
+    closed = len(rows[-1].strip()) >= len(fence) and set(rows[-1].strip()) == {fence[0]}
+    head, tail = fence + rows[0].strip()[len(fence) :].strip(), rows[-1].strip() if closed else fence
+    room = size - len(head) - len(tail) - 2
+    parts = grouped_lines(rows[1:-1] if closed else rows[1:], room) if room > 0 else []
+    return ["\n".join([head, *some, tail]) for some in parts] if len(parts) > 1 else [text]
 
 
 def pieces(units: DataFrame, size: int = 1200, overlap: int = 100, key: str = "doc_id") -> DataFrame:

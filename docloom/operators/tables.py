@@ -7,7 +7,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions.text import normalize_key, strip_tags
 
 #: Marks around inline runs, and the widest span that a cell may ask for (as in the HTML standard).
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
@@ -143,3 +146,68 @@ def html_tables(docs: DataFrame, key: str = "page_id", text: str = "html") -> Da
             yield pd.DataFrame(rows, columns=[key, "place", "table", "inherited"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, place int, table string, inherited boolean")
+
+
+# ---- tables cut by a page end
+
+TABLE, HEAD, GAP_LINE = r"(?is)<table\b.*?</table>", r"(?is)<thead\b.*?</thead>", r"^(?:|---|<!--.*-->|\d+)$"
+# Words (without accents) of a true header, and what a cell cut by a page ends with and the rest of it begins with.
+HEADER_WORDS = ["tt", "noi dung", "lan", "ghi chu", "buoc", "luu do", "nguoi thuc hien", "thoi gian", "hinh thuc xu ly"]
+CUT_CELLS = [("cảnh", "cao ")]
+
+
+def page_gap(gap: Column) -> Column:
+    """Whether only blank lines, rules, comments and page numbers stand between two tables."""
+    return F.forall(F.split(gap, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).rlike(GAP_LINE))
+
+
+def false_head(table: Column) -> Column:
+    """The text of a head that has none of a header's words: the rest of a cell that the page end cut. Null without one."""
+    head = F.regexp_extract(table, HEAD, 0)
+    key = normalize_key(head)
+    true_head = F.lit(False)
+    for word in HEADER_WORDS:
+        true_head = true_head | key.contains(word)
+    return F.when((head != "") & ~((key != "") & true_head), F.nullif(strip_tags(head), F.lit("")))
+
+
+def _joined_on(table: Column, rest: Column, cut_cells: list[tuple[str, str]]) -> Column:
+    """The table with ``rest`` at the end of its last cell that was cut before it."""
+    out = table
+    for ending, beginning in cut_cells:
+        last = rf"(?isu)^(.*<td\b[^>]*>.*{ending})(\s*</td>)"
+        fits = F.concat(normalize_key(rest), F.lit(" ")).startswith(beginning) & table.rlike(last)
+        whole = F.concat(F.regexp_extract(table, last, 1), F.lit(" "), rest, F.regexp_replace(F.regexp_extract(table, last, 2), r"^\s+", ""))
+        out = F.when(fits, F.concat(whole, F.substring(table, F.length(F.regexp_extract(table, last, 0)) + 1, F.length(table)))).otherwise(out)
+    return out
+
+
+def continued(text: Column, cut_cells: list[tuple[str, str]] = CUT_CELLS) -> Column:
+    """A text whose tables, parted by page ends alone, lose the false head that holds the rest of the cell before.
+
+    Each pair of neighbours is tested by itself: a table's own false head goes if the gap before it is a page end, and the
+    next one's rest is joined on if the gap after it is. So chains over any number of pages are one transformation.
+    """
+    tables, gaps = F.regexp_extract_all(text, F.lit(TABLE), F.lit(0)), F.split(text, TABLE, -1)
+    rest = F.transform(tables, lambda t, i: F.when((i > 0) & page_gap(F.get(gaps, i)), false_head(t)))
+
+    def one(t: Column, i: Column) -> Column:
+        own = F.when(F.get(rest, i).isNotNull(), F.regexp_replace(t, HEAD.replace("(?is)", r"(?is)^(.*?)"), "$1")).otherwise(t)
+        after = F.get(rest, i + 1)
+        return F.when(after.isNotNull(), _joined_on(own, after, cut_cells)).otherwise(own)
+
+    whole = F.zip_with(gaps, F.concat(F.transform(tables, one), F.array(F.lit(""))), lambda g, t: F.concat(g, t))
+    return F.when(F.size(tables) > 1, F.array_join(whole, "")).otherwise(text)
+
+
+def with_pipe_tables(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every HTML table of ``text`` as a pipe table in its place; only texts that have one go through Python."""
+
+    @F.pandas_udf("array<string>")
+    def pipes(found: pd.Series) -> pd.Series:
+        return found.map(lambda tables: [t for t, _ in page_tables("".join(tables))] if tables is not None and len(tables) else [])
+
+    tables, gaps = F.regexp_extract_all(F.col(text), F.lit(TABLE), F.lit(0)), F.split(F.col(text), TABLE, -1)
+    made = docs.withColumn("_pipes", pipes(F.coalesce(tables, F.array().cast("array<string>"))))
+    whole = F.zip_with(gaps, F.concat("_pipes", F.array(F.lit(""))), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
+    return made.withColumn(text, F.when(F.size("_pipes") > 0, F.array_join(whole, "")).otherwise(F.col(text))).drop("_pipes")

@@ -80,10 +80,38 @@ def meta_diff(spark, read):
     return C.changed(old, new, "o_orderkey", ["status", "priority"]).select("o_orderkey", F.array_join("changed", ",").alias("changed"))
 
 
-@query("select event_id, case when contains(props, '1') then 'conflict' when contains(props, '2') then 'invalid' else 'unavailable' end as code from events")
+@query("""select event_id, case event_id % 7 when 0 then 'not_found' when 1 then 'not_found' when 2 then 'invalid' when 3 then 'invalid' when 4 then 'conflict' when 5 then 'conflict' else 'unavailable' end as code,
+  case when event_id % 7 < 2 then 404 when event_id % 7 < 4 then 422 when event_id % 7 < 6 then 409 else 503 end as status, event_id % 7 = 6 and event_type in ('click', 'view') as retry from events""")
 def err_class(spark, read):
-    p = F.col("props")
-    return read("events").select("event_id", F.when(p.contains("1"), "conflict").when(p.contains("2"), "invalid").otherwise("unavailable").alias("code"))
+    kind = F.element_at(F.array(*map(F.lit, ("not_found", "lookup", "value", "invalid", "conflict", "exists", "timeout"))), (F.col("event_id") % 7 + 1).cast("int"))
+    phase = F.when(F.col("event_type") == "click", "store").when(F.col("event_type") == "view", "vectors").otherwise("review")
+    return read("events").select("event_id", C.error_code(kind, phase).alias("e")).select("event_id", "e.*")
+
+
+_STATE = "case o_orderkey % 3 when 0 then 'not_indexed' when 1 then 'published' else 'failed' end"
+
+
+@query(f"""with v as (select o_orderkey as version_id, {_STATE} as rag, o_orderkey % 6 as k, o_orderkey % 11 = 0 as dateless, o_orderkey % 2 = 0 as owned, strftime(o_orderdate, '%Y-%m-%d') as issued from orders),
+  r as (select *, k in (1, 4) and rag = 'published' as refused, not dateless or not owned as dated from v)
+  select version_id, case when version_id % 97 = 0 then 'unknown_version' when refused then 'needs_deindex' when not dated then 'no_date' end as error, case when version_id % 97 <> 0 and refused then case k when 1 then 'title' else 'body' end else '' end as restricted,
+  case when version_id % 97 = 0 or refused or not dated then '' else concat_ws(',', case when k = 1 then 'title' when k = 4 then 'body' when k = 2 then 'code' when k = 3 then 'domain' when k = 5 then 'audience' end, case when dateless then 'issued_date' end) end as changed,
+  version_id % 97 <> 0 and not refused and dated and rag <> 'published' as whole, version_id % 97 <> 0 and not refused and dated and k in (3, 5) as sync_payload, case when version_id % 97 <> 0 and not refused and not dateless then issued end as recipients_date from r""")
+def update_plan(spark, read):
+    """Each order's version asks for one change by its number; some have no date left, some are unknown."""
+    k, none = F.col("o_orderkey") % 6, F.lit(None).cast("string")
+    issued = F.date_format("o_orderdate", "yyyy-MM-dd")
+    base = {
+        "title": F.col("o_orderpriority"), "type_id": F.lit(1), "departments": F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("B"), F.lit("A"))).otherwise(F.array().cast("array<string>")), "body": F.concat(F.lit("b"), "o_custkey"), "is_latest": F.lit(True),
+        "domain": F.lit("d"), "audience": F.array(F.lit("x")), "code": F.col("o_orderstatus"), "issued_date": issued, "effective_date": none, "expiry_date": none, "validity_status": F.lit("unknown"),
+    }
+    asked = base | {
+        "title": F.when(k == 1, "new").otherwise(base["title"]), "body": F.when(k == 4, "new").otherwise(F.concat(F.lit(" "), base["body"], F.lit(" "))), "departments": F.reverse(base["departments"]), "code": F.when(k == 2, "new").otherwise(base["code"]),
+        "domain": F.when(k == 3, "new").otherwise("d"), "audience": F.when(k == 5, F.array(F.lit("y"))).otherwise(F.array(F.lit("x"))), "issued_date": F.when(F.col("o_orderkey") % 11 != 0, issued),
+    }
+    o = read("orders")
+    current = o.where("o_orderkey % 97 <> 0").select(F.col("o_orderkey").alias("version_id"), F.expr(_STATE).alias("rag_status"), *[c.alias(n) for n, c in base.items()])
+    p = C.update_plan(current, o.select(F.col("o_orderkey").alias("version_id"), *[c.alias(n) for n, c in asked.items()]))
+    return p.withColumns({n: F.array_join(n, ",") for n in ("restricted", "changed")})
 
 
 @query("select vec_id, case when vec_id % 10 = 0 then -1 else label end as label from embeddings union all select vec_id + 1000000, 7 from embeddings where vec_id % 100 = 0")

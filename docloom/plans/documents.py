@@ -45,105 +45,76 @@ def chunk_keys(spark, read):
     return S.chunk_keys(units).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_key")
 
 
-MD = """intro is dropped
-<!-- page: 1 -->
-# Title
-Some text
-more text
-
-1. First
-   a. not an item
-a) Sub letter
-- bullet one
-- bullet two
-<!-- a comment
-over lines -->
-| a | b |
-|---|:-:|
-| 1 | 2 |
-| 3 | 4 |
-<!-- PAGE: 2 -->
-## Điều 5
-1.2.3. Deep
-```python
-# not a heading
-```
-~~~
-open fence
-<!-- page: 3 -->
-
-"""
-MD_DOCS = values([(1, MD), (2, "<!-- page: 7 -->\nonly a paragraph\nof two lines"), (3, "no page mark")], "doc_id, text")
-PAGES = values([(1, 1, "p11"), (1, 2, "p12"), (2, 7, "p27")], "doc_id, page_number, content")
-
-
-@query("select * from (values (1, '<!-- page: 1 -->' || chr(10) || chr(10) || 'p11' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '<!-- page: 2 -->' || chr(10) || chr(10) || 'p12'), (2, '<!-- page: 7 -->' || chr(10) || chr(10) || 'p27')) as t(doc_id, text)")
+@query("select page_id // 3 as doc_id, string_agg('<!-- page: ' || (page_id % 3 + 1) || ' -->' || chr(10) || chr(10) || md5(html), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_id) as text from pages group by page_id // 3")
 def pages_render(spark, read):
-    return S.rendered(spark.sql(f"select * from {PAGES}"))
+    """Three pages each as one document."""
+    return S.rendered(read("pages").select(F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3 + 1).alias("page_number"), F.concat(F.lit(" "), F.md5("html"), F.lit(" ")).alias("content")))
 
 
-MARKED = "case pos % 7 when 0 then '# ' || line when 1 then '1.2) ' || line when 2 then 'b. ' || line when 3 then '- ' || line when 4 then '~~~' else line end"
+MARKED = "case pos % 7 when 0 then '# ' || line when 1 then '1.2) ' || line when 2 then 'b. ' || line when 3 then '- ' || line when 4 then '~~~' when 5 then 'x ' || line else ' ' end"
 
 
-@query(f"with {LINES_SQL} select doc_id, pos, case when trim(line) = '' and pos % 7 > 4 then 'blank' else case pos % 7 when 0 then case when line = '' then 'text' else 'heading' end when 1 then 'numbered_item' when 2 then 'lettered_item' when 3 then 'bullet_item' when 4 then 'fence' else 'text' end end as kind from l where trim(line) <> '' and regexp_matches(line, '^\\p{{Lu}}[\\p{{L}}]')")
+@query(f"with {LINES_SQL} select doc_id, pos, case when pos % 7 = 4 then 'fence' when pos % 7 = 6 then 'blank' when pos % 7 = 5 or trim(line) = '' then 'text' else ['heading', 'numbered_item', 'lettered_item', 'bullet_item'][1 + pos % 7] end as kind from l")
 def line_class(spark, read):
-    rows = levelled(read).where((F.trim("line") != "") & F.col("line").rlike(r"^\p{Lu}[\p{L}]"))
-    return rows.withColumn("m", F.expr(MARKED)).select("doc_id", F.col("pos").cast("long").alias("pos"), S.line_class("m").alias("kind"))
+    """Every line behind a mark by its number; a mark with nothing behind it is text."""
+    return levelled(read).withColumn("m", F.expr(MARKED)).select("doc_id", F.col("pos").cast("long").alias("pos"), S.line_class("m").alias("kind"))
 
 
-@query(f"with {LINES_SQL}, {PATH_SQL} select doc_id, pos, case when level is not null then case when pos % 10 = 0 then 'article' else 'none' end when len(list_filter(path, lambda x: x like '%0')) > 0 then 'clause' else 'none' end as unit from h")
+@query(f"with {LINES_SQL}, {PATH_SQL} select doc_id, pos, case when level is not null then case when pos % 10 = 0 then 'article' else 'none' end when len(list_filter(path, lambda x: x like '%0')) > 0 then ['none', 'clause', 'point', 'bullet', 'none'][1 + pos % 5] else 'none' end as unit from h")
 def legal_unit(spark, read):
-    rows = S.heading_paths(levelled(read), deepest=3)
-    article = F.exists("heading_path", lambda x: x.endswith("0"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("level").isNotNull(), F.when(F.col("title").endswith("0"), "article").otherwise("none")).when(article, "clause").otherwise("none").alias("unit"))
+    """Every tenth line an article, every fifth another heading, the lines below items by their number."""
+    rows = levelled(read).withColumn("title", F.when(F.col("title").endswith("0"), F.concat(F.lit("ĐIỀU "), "title")).otherwise(F.col("title")))
+    kind = F.element_at(F.array(*map(F.lit, ("heading", "numbered_item", "lettered_item", "bullet_item", "paragraph"))), (F.col("pos") % 5 + 1).cast("int"))
+    return S.heading_paths(rows, deepest=3).select("doc_id", F.col("pos").cast("long").alias("pos"), S.legal_unit(kind, F.col("title"), F.col("heading_path")).alias("unit"))
 
 
-# ---- folds over fixtures
+# ---- folds
 
 
 @query()
-def blocks(spark, read):
-    return S.blocks(S.pages(spark.sql(f"select * from {MD_DOCS}")))
-
-
-@query()
-def item_tree(spark, read):
-    return blocks(spark, read).where("item_level is not null").select("doc_id", "source_order", "item_key", "parent_item_key", "item_level", "legal_unit")
+def split_long(spark, read):
+    units = read("documents").select("doc_id", F.lit(0).alias("source_order"), F.lit("paragraph").alias("block_type"), F.col("text").alias("content"))
+    return S.pieces(units)
 
 
-@query()
-def parse_reports(spark, read):
-    return blocks(spark, read).where("problem is not null").select("doc_id", "source_order", "block_type", "problem", "page_start")
+_ROWS = "len(string_split(text, chr(10)))"
+_PARTS = "p as (select doc_id, n, cast(ceil(n / 10.0) as bigint) as parts from (select doc_id, {rows} as n from documents)), r as (select doc_id, n, parts, i, unnest(range(10 * i + 1, least(10 * i + 10, n) + 1)) as row from p, unnest(range(parts)) as t(i))"
 
 
-@query()
-def split_long(spark, read):
-    units = read("documents").select("doc_id", F.lit(0).alias("source_order"), F.lit("paragraph").alias("block_type"), F.col("text").alias("content"))
-    return S.pieces(units)
+def _unit(read, kind: str, head: str, row, tail: str):
+    """A block for each document, of as many rows as its text has lines."""
+    rows = F.transform(F.sequence(F.lit(1), F.size(F.split("text", "\n"))), row)
+    return read("documents").select("doc_id", F.lit(0).alias("source_order"), F.lit(kind).alias("block_type"), F.concat(F.lit(head), F.array_join(rows, "\n"), F.lit(tail)).alias("content"))
 
 
-@query()
+@query(f"with {_PARTS.format(rows=_ROWS)} select doc_id, i as split_index, parts as split_count, '| n | v |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || lpad(row::varchar, 6, '0') || ' | row |', chr(10) order by row) as content from r group by doc_id, i, parts")
 def split_table(spark, read):
-    rows = F.concat(F.lit("| n | v |\n|---|---|\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("| "), i, F.lit(" | row |"))), "\n"))
-    return S.pieces(spark.range(2).select(F.col("id").alias("doc_id"), F.lit(0).alias("source_order"), F.lit("table").alias("block_type"), rows.alias("content")), 200)
+    """Ten rows of 16 characters fit beside the head."""
+    units = _unit(read, "table", "| n | v |\n|---|---|\n", lambda i: F.concat(F.lit("| "), F.lpad(i.cast("string"), 6, "0"), F.lit(" | row |")), "")
+    return S.pieces(units, 200).select("doc_id", *[F.col(n).cast("long").alias(n) for n in ("split_index", "split_count")], "content")
 
 
-@query()
+@query(f"with {_PARTS.format(rows=_ROWS)} select doc_id, i as split_index, parts as split_count, '```py' || chr(10) || string_agg('x = ' || lpad(row::varchar, 6, '0'), chr(10) order by row) || chr(10) || '```' as content from r group by doc_id, i, parts")
 def split_code(spark, read):
-    rows = F.concat(F.lit("```py\n"), F.array_join(F.array_repeat(F.lit("x = 1"), 80), "\n"), F.lit("\n```"))
-    return S.pieces(spark.range(2).select(F.col("id").alias("doc_id"), F.lit(0).alias("source_order"), F.lit("code").alias("block_type"), rows.alias("content")), 120)
+    """Ten lines of 10 characters fit between the fences."""
+    units = _unit(read, "code", "```py\n", lambda i: F.concat(F.lit("x = "), F.lpad(i.cast("string"), 6, "0")), "\n```")
+    return S.pieces(units, 120).select("doc_id", *[F.col(n).cast("long").alias(n) for n in ("split_index", "split_count")], "content")
 
 
-@query()
+@query(f"""with recursive {LINES_SQL}, b as (select doc_id, pos, length(line) as n, row_number() over (partition by doc_id order by pos) as i from l where level is null),
+  k(doc_id, i, pos, pack, used, count) as (select doc_id, i, pos, 1, n, 1 from b where i = 1
+    union all select b.doc_id, b.i, b.pos, case when fits then pack else pack + 1 end, case when fits then used + n else n end, case when fits then count + 1 else 1 end from (select b.*, k.pack, k.used, k.count, b.pos = k.pos + 1 and k.used + k.count + b.n <= 1200 as fits from k join b on b.doc_id = k.doc_id and b.i = k.i + 1) b)
+  select doc_id, pos, pack::bigint as pack from k""")
 def bullet_pack(spark, read):
     rows = levelled(read).where("level is null").select("doc_id", "pos", F.lit("p").alias("parent"), "line")
-    return S.bullet_groups(rows, 1200)
+    return S.bullet_groups(rows, 1200).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("pack").cast("long").alias("pack"))
 
 
 @query()
 def context(spark, read):
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    hits = read("documents").select(F.col("lang").alias("query_id"), rank.alias("rank"), F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_key"), F.col("source").alias("title"), F.lit("x, trang 1").alias("citation"), F.col("text").alias("content"), F.col("source").alias("parent_key"), F.repeat(F.col("source"), 60).alias("parent_content"))
+    """Ten documents each as the hits of a question."""
+    group = F.floor(F.col("doc_id") / 10)
+    hits = read("documents").select(group.alias("query_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("rank"), F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_key"), F.col("source").alias("title"), F.lit("x, trang 1").alias("citation"), F.col("text").alias("content"), F.col("source").alias("parent_key"), F.repeat(F.col("source"), 60).alias("parent_content"))
     return S.contexts(hits)
 
 

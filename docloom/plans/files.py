@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from docloom.functions import questions as Q
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
-from docloom.operators import structure as S
 from docloom.operators import tables as B
-from docloom.plans.documents import MD_DOCS
 from docloom.plans.queries import QUERIES, QUESTIONS, TREE_SQL, collapse_sql, query, tree, values
 from docloom.sources import files as X
+from docloom.sources import objects
+from docloom.sources.shared import shared_folder
 
 
 def _binary_files(spark, sf_dir):
@@ -35,7 +35,7 @@ def sniff_type(spark, read):
     return read("documents").select("doc_id", X.source_type(name, F.encode(F.concat(head, "text"), "UTF-8")).alias("kind"))
 
 
-FRONT = "concat('---', chr(10), 'title: \"T ', doc_id, '\"', chr(10), 'is_latest: True', chr(10), 'notes:', chr(10), 'audience:', chr(10), '  - student', chr(10), '  - ', lang, chr(10), 'title_vi: x', chr(10), case when doc_id % 7 = 0 then '' else concat('---', chr(10)) end, case when doc_id % 5 = 0 then '' else text end)"
+FRONT = "concat('---', chr(10), 'title: \"T ', doc_id, '\"', chr(10), 'is_latest: True', chr(10), 'notes:', chr(10), 'audience:', chr(10), '  - student', chr(10), '  - ', lang, chr(10), 'title_vi: x', chr(10), case when doc_id % 7 = 0 then '' else concat('---', chr(10)) end, case when doc_id % 5 = 0 then '' else replace(text, '---', '***') end)"
 FRONT_SQL = """select doc_id, case when doc_id % 7 = 0 then null else 'T ' || doc_id end as title, case when doc_id % 7 = 0 then null else 'true' end as is_latest,
   case when doc_id % 7 = 0 then null else 'student,' || lang end as audience, case when doc_id % 7 = 0 then null else 0::bigint end as n_notes"""
 
@@ -46,28 +46,33 @@ def _front(read, strict):
     return d, d.select("doc_id", get("title")[0].alias("title"), get("is_latest")[0].alias("is_latest"), F.array_join(get("audience"), ",").alias("audience"), F.size(get("notes")).cast("long").alias("n_notes"), *(["error"] if strict else []))
 
 
-@query(f"{FRONT_SQL}, case when doc_id % 7 = 0 then 'front_matter_not_closed' when doc_id % 5 = 0 or trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then 'empty_body' end as error from documents where not contains(text, '---')")
+@query(f"{FRONT_SQL}, case when doc_id % 7 = 0 then 'front_matter_not_closed' when doc_id % 5 = 0 or trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then 'empty_body' end as error from documents")
 def fm_split(spark, read):
-    return _front(lambda t: read(t).where("not contains(text, '---')"), True)[1]
+    return _front(read, True)[1]
 
 
-@query(f"{FRONT_SQL} from documents where not contains(text, '---')")
+@query(f"{FRONT_SQL} from documents")
 def fm_lenient(spark, read):
-    return _front(lambda t: read(t).where("not contains(text, '---')"), False)[1]
+    return _front(read, False)[1]
 
 
-@query("select doc_id, '---' || chr(10) || 'title: T ' || doc_id || chr(10) || 'audience:' || chr(10) || '  - student' || chr(10) || '  - ' || lang || chr(10) || 'notes: []' || chr(10) || '---' || chr(10) || chr(10) || 'b' || doc_id || chr(10) as t from documents where doc_id % 7 <> 0 and not contains(text, '---')")
+@query("select doc_id, '---' || chr(10) || 'title: T ' || doc_id || chr(10) || 'audience:' || chr(10) || '  - student' || chr(10) || '  - ' || lang || chr(10) || 'notes: []' || chr(10) || '---' || chr(10) || chr(10) || 'b' || doc_id || chr(10) as t from documents")
 def fm_render(spark, read):
-    d, _ = _front(lambda t: read(t).where("doc_id % 7 <> 0 and not contains(text, '---')"), False)
+    d = X.split_front_matter(read("documents").select("doc_id", F.expr(FRONT.replace("doc_id % 7 = 0", "false")).alias("text")), strict=False)
     return d.select("doc_id", X.render_front_matter(F.col("fields"), F.concat(F.lit("\n b"), F.col("doc_id"), F.lit(" ")), ["title", "audience", "missing", "notes"]).alias("t"))
 
 
-CASES = values([("R1", "12", "14", '["a b", "c"]', "True", '["k1"]'), ("R2", "", "3", "one || two ||", "no", "[]"), ("R3", "5", "5", "", "1", None)], "id, page_hint_start, page_hint_end, gold_answer_spans, answerable, expected_document_keys")
-
-
-@query(f"select * from {values([('R1', '12-14', 'a b|c', True, 'k1'), ('R2', None, 'one|two', False, ''), ('R3', '5-5', '', True, None)], 'id, pages, spans, answerable, keys')}")
+@query("""select 'R' || item_id as id, case item_id % 3 when 0 then item_id || '-' || (item_id + 2) when 2 then item_id || '-' || item_id end as pages, case item_id % 3 when 0 then 'a b|' || md5(text) when 1 then 'one ' || md5(text) || '|two' else '' end as spans,
+  item_id % 2 = 0 as answerable, case item_id % 3 when 0 then 'k' || item_id when 1 then '' end as keys from benchmark""")
 def bench_read(spark, read):
-    c = X.cases(spark.sql(f"select * from {CASES}"))
+    """Cells as an evaluation file has them: JSON lists, spans parted by bars, truth values as words, page bounds that may be blank."""
+    i, k, h = F.col("item_id").cast("string"), F.col("item_id") % 3, F.md5("text")
+    cells = read("benchmark").select(
+        F.concat(F.lit("R"), i).alias("id"), F.when(k == 1, "").otherwise(i).alias("page_hint_start"), F.when(k == 0, (F.col("item_id") + 2).cast("string")).otherwise(i).alias("page_hint_end"),
+        F.when(k == 0, F.to_json(F.array(F.lit("a b"), h))).when(k == 1, F.concat(F.lit("one "), h, F.lit(" || two ||"))).otherwise("").alias("gold_answer_spans"),
+        F.element_at(F.array(*map(F.lit, ("True", "no", "1", "false", "yes", ""))), (F.col("item_id") % 6 + 1).cast("int")).alias("answerable"), F.when(k == 0, F.to_json(F.array(F.concat(F.lit("k"), i)))).when(k == 1, "[]").alias("expected_document_keys"),
+    )
+    c = X.cases(cells)
     return c.select("id", F.when(F.col("page_hint").isNotNull(), F.array_join("page_hint", "-")).alias("pages"), F.array_join("gold_answer_spans", "|").alias("spans"), "answerable", F.array_join("expected_document_keys", "|").alias("keys"))
 
 
@@ -82,11 +87,6 @@ def html_tables(spark, read):
     return B.html_tables(read("pages").select("page_id", F.expr(_PAGE).alias("html")))
 
 
-@query()
-def child_units(spark, read):
-    return S.child_units(S.blocks(S.pages(spark.sql(f"select * from {MD_DOCS}"))))
-
-
 # ---- metadata and small pieces
 
 
@@ -107,3 +107,17 @@ def norm_md(spark, read):
     return read("benchmark").select("item_id", F.lower(T.inline_markdown("text")).alias("t"))
 
 
+
+
+@query(f"select doc_id, {collapse_sql("replace(lower(text), 'ß', 'ss')")} as t from documents")
+def norm_text(spark, read):
+    return read("documents").select("doc_id", T.comparison_text("text").alias("t"))
+
+
+@query("select lang || '/' || doc_id || '.md' as path, strlen(text) as length, sha256(text) as digest from documents")
+def objects_store(spark, read):
+    """Every document written as an object of a new store, if absent, and read back from it."""
+    objects.register(spark)
+    root = shared_folder(spark, "objects")
+    read("documents").select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content")).write.format("objects").option("root", root).option("existing", "fail").mode("append").save()
+    return spark.read.format("objects").option("root", root).option("suffixes", ".md").load().select("path", "length", F.sha2("content", 256).alias("digest"))

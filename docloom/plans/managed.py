@@ -128,14 +128,18 @@ def asset_upsert(spark, read):
     return row(links, "link", F.col("version_key"), "asset_key", F.col("display_order")).unionByName(row(assets, "asset", F.lit(""), "asset_key", F.lit(1))).unionByName(row(twice, "duplicate", F.col("version_key"), "url", F.col("n")))
 
 
-@query("""with r as (select l_orderkey, l_suppkey, min(l_linenumber) as p from lineitem where l_suppkey % 5 <> 0 group by all) select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by p, l_suppkey) as position,
-  case when p % 2 = 0 then '2000-01-0' || p else strftime(o_orderdate, '%Y-%m-%d') end as effective from r left join orders on o_orderkey = l_orderkey""")
+@query("""with bad as (select distinct l_orderkey from lineitem where l_suppkey % 5 = 0), r as (select l_orderkey, l_suppkey, min(l_linenumber) as p from lineitem where l_orderkey not in (select l_orderkey from bad) group by all)
+  select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by p, l_suppkey) as position, case when p % 2 = 0 then '2000-01-0' || p else strftime(o_orderdate, '%Y-%m-%d') end as effective from r join orders on o_orderkey = l_orderkey
+  union all select o_orderkey, 7, 1, 'old' from orders where o_orderkey in (select l_orderkey from bad) union all select distinct -1 - l_orderkey, 7, 1, 'old' from lineitem""")
 def recipients(spark, read):
+    """Orders replace their recipients; one that names an inactive code keeps what it had, as do those not asked about."""
     n = F.col("l_linenumber")
     wanted = read("lineitem").select(F.col("l_orderkey").alias("version_key"), F.col("l_suppkey").alias("code"), n.alias("position"), F.when(n % 2 == 0, F.concat(F.lit("2000-01-0"), n)).alias("effective_date"))
     versions = read("orders").select(F.col("o_orderkey").alias("version_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_date"))
     departments = read("lineitem").select(F.col("l_suppkey").alias("code")).distinct().withColumn("is_active", F.col("code") % 5 != 0)
-    out = K.replace_recipients(wanted, versions, departments)[0]
+    had = versions.select("version_key").unionByName(read("lineitem").select((-1 - F.col("l_orderkey")).alias("version_key")).distinct())
+    old = had.select("version_key", F.lit(7).cast("long").alias("code"), F.lit(1).alias("position"), F.lit("old").alias("effective_date"))
+    out = K.replace_recipients(old, wanted, versions, departments)[0]
     return out.select(F.col("version_key").alias("l_orderkey"), F.col("code").alias("l_suppkey"), F.col("position").cast("long").alias("position"), F.col("effective_date").alias("effective"))
 
 

@@ -12,6 +12,7 @@ from docloom.functions import text as T
 from docloom.operators import catalog as C
 from docloom.operators import retrieval as R
 from docloom.operators import structure as S
+from docloom.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,9 +95,20 @@ def _abbrev_sql(e: str) -> str:
     return e
 
 
-@query(f"select query_id, {_abbrev_sql('question')} as expanded from {QUESTIONS}")
+#: The questions of whole conversations: two of three turns ask one of the fixed questions, the others their own text.
+ASKED_SQL = f"asked as (select conv_id, turn, case when turn % 3 = 0 then text else question end as question, substring(text, 1, 60) || ' ' || question as longer, topic, document_key from conversations join {QUESTIONS} on query_id = 1 + (conv_id + turn) % 13)"
+
+
+def asked(read) -> DataFrame:
+    c = read("conversations")
+    fixed = c.sparkSession.sql(f"select * from {QUESTIONS}")
+    out = c.join(F.broadcast(fixed), F.col("query_id") == 1 + (F.col("conv_id") + F.col("turn")) % 13)
+    return out.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.col("question")).alias("question"), F.concat(F.substring("text", 1, 60), F.lit(" "), "question").alias("longer"), "topic", "document_key")
+
+
+@query(f"with {ASKED_SQL} select conv_id, turn, {_abbrev_sql('longer')} as expanded from asked")
 def q_abbrev(spark, read):
-    return spark.sql(f"select * from {QUESTIONS}").select("query_id", T.expand_abbreviations("question").alias("expanded"))
+    return asked(read).select("conv_id", "turn", T.expand_abbreviations("longer").alias("expanded"))
 
 
 def _in(xs) -> str:
@@ -104,40 +116,41 @@ def _in(xs) -> str:
 
 
 @query(
-    f"""with a as (select *, {NORMAL_SQL.format('question')} as n from {QUESTIONS}), b as (select *, {_abbrev_sql('n')} as f, coalesce(topic, '') <> '' or coalesce(document_key, '') <> '' as known from a)
-    select query_id, not (n = '' or n in ({_in(Q.GREETINGS)}) or (not known and f in ({_in(Q.CONTINUATIONS + Q.UNDERSPECIFIED)}))) as should_search,
+    f"""with {ASKED_SQL}, a as (select *, {NORMAL_SQL.format('question')} as n from asked), b as (select *, {_abbrev_sql('n')} as f, coalesce(topic, '') <> '' or coalesce(document_key, '') <> '' as known from a)
+    select conv_id, turn, not (n = '' or n in ({_in(Q.GREETINGS)}) or (not known and f in ({_in(Q.CONTINUATIONS + Q.UNDERSPECIFIED)}))) as should_search,
       case when n = '' then '' when n in ({_in(Q.GREETINGS)}) or not known then f when f in ({_in(Q.CONTINUATIONS)}) then coalesce(topic, f) when f in ({_in(Q.UNDERSPECIFIED)}) and topic is not null then f || ' cho ' || topic else f end as query,
       case when n = '' then '{Q.ASK_QUESTION}' when n in ({_in(Q.GREETINGS)}) then '{Q.GREETING_REPLY}' end as message,
       case when n = '' or n in ({_in(Q.GREETINGS)}) or known then null when f in ({_in(Q.CONTINUATIONS)}) then '{Q.CLARIFY_FOLLOW_UP}' when f in ({_in(Q.UNDERSPECIFIED)}) then '{Q.CLARIFY_AMBIGUOUS}' end as clarification,
       n <> '' and known and f in ({_in(Q.CONTINUATIONS)}) as is_follow_up from b"""
 )
 def q_decide(spark, read):
-    return spark.sql(f"select * from {QUESTIONS}").select("query_id", Q.decision("question", "topic", "document_key", F.lit(None).cast("string")).alias("d")).select("query_id", "d.*")
+    return asked(read).select("conv_id", "turn", Q.decision("question", "topic", "document_key", F.lit(None).cast("string")).alias("d")).select("conv_id", "turn", "d.*")
 
 
 def _meta_sql(kind: str) -> str:
     alts = [(len(a), v, a) for v, xs in Q.ALIASES[kind].items() for a in xs]
     union = " union all ".join(f"select {n} as n, '{v}' as v, '{a}' as a" for n, v, a in alts)
-    return f"(select v from ({union}) where regexp_matches(lower(question), '(^|[^\\p{{L}}\\p{{N}}_])' || a || '($|[^\\p{{L}}\\p{{N}}_])') order by n desc, v desc limit 1)"
+    return f"(select v from ({union}) where regexp_matches(lower(longer), '(^|[^\\p{{L}}\\p{{N}}_])' || a || '($|[^\\p{{L}}\\p{{N}}_])') order by n desc, v desc limit 1)"
 
 
-@query(f"select query_id, {', '.join(f'{_meta_sql(k)} as {k}' for k in Q.ALIASES)} from {QUESTIONS}")
+@query(f"with {ASKED_SQL} select conv_id, turn, {', '.join(f'{_meta_sql(k)} as {k}' for k in Q.ALIASES)} from asked")
 def q_meta(spark, read):
-    return spark.sql(f"select * from {QUESTIONS}").select("query_id", *[Q.metadata_hint("question", k).alias(k) for k in Q.ALIASES])
+    return asked(read).select("conv_id", "turn", *[Q.metadata_hint("longer", k).alias(k) for k in Q.ALIASES])
 
 
-@query(f"select query_id, {' or '.join(f'contains(lower(trim(question)), {chr(39)}{c}{chr(39)})' for c in Q.LIST_CUES)} as wants_list from {QUESTIONS}")
+@query(f"with {ASKED_SQL} select conv_id, turn, {' or '.join(f'contains(lower(trim(longer)), {chr(39)}{c}{chr(39)})' for c in Q.LIST_CUES)} as wants_list from asked")
 def q_list_intent(spark, read):
-    return spark.sql(f"select * from {QUESTIONS}").select("query_id", Q.wants_list("question").alias("wants_list"))
+    return asked(read).select("conv_id", "turn", Q.wants_list("longer").alias("wants_list"))
 
 
-ANSWERS = values([(1, "First question", '{"queries": ["first QUESTION", "Other one", "", "Other one", "third", "fourth"]}'), (2, "Two", 'Sure: {"queries": ["zwei"]} done'), (3, "Three", "no json"), (4, "Four", '{"queries": []}')], "query_id, question, answer")
-WANTED = values([(1, 1, "First question"), (1, 2, "Other one"), (1, 3, "third"), (2, 1, "Two"), (2, 2, "zwei"), (3, 1, "Three"), (4, 1, "Four")], "query_id, position, query")
+_ANSWER = """case item_id % 4 when 0 then '{"queries": ["q ' || h || '", "Other ' || h || '", "", "Other ' || h || '", "third", "fourth"]}' when 1 then 'Sure: {"queries": ["zwei ' || h || '"]} done' when 2 then 'no json' else '{"queries": []}' end"""
 
 
-@query(f"select * from {WANTED}")
+@query("""with b as (select item_id, md5(text) as h from benchmark) select item_id as query_id, 1 as position, 'Q ' || h as query from b union all select item_id, 2, case item_id % 4 when 0 then 'Other ' else 'zwei ' end || h from b where item_id % 4 < 2
+  union all select item_id, 3, 'third' from b where item_id % 4 = 0""")
 def q_variants_parse(spark, read):
-    return Q.variants(spark.sql(f"select * from {ANSWERS}"))
+    b = read("benchmark").select("item_id", F.md5("text").alias("h"))
+    return Q.variants(b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("Q "), "h").alias("question"), F.expr(_ANSWER).alias("answer")))
 
 
 @query(f"select doc_id, array_to_string(list_sort(list_distinct(list_filter({WORDS.format('text')}, lambda x: length(x) >= 2 and x not in ({STOP})))), ' ') as terms from documents")
@@ -170,12 +183,15 @@ def html_strip(spark, read):
     return read("pages").select("page_id", T.strip_tags("html").alias("plain"))
 
 
-CELLS = values([(1, '<td colspan="3">'), (2, "<td rowspan=2 COLSPAN='4'>"), (3, "<td>"), (4, "<td colspan=0>"), (5, "<td colspan=x>")], "id, tag")
+_TAG = """case page_id % 5 when 0 then '<td colspan="' || page_id || '">' when 1 then '<td rowspan=2 COLSPAN=' || chr(39) || page_id || chr(39) || '>' when 2 then '<td>' when 3 then '<td colspan=0 id=' || page_id || '>' else '<td colspan=x' || page_id || '>' end"""
 
 
-@query(f"select id, greatest(coalesce(try_cast(regexp_extract(tag, 'colspan\\s*=\\s*[\"'']?([0-9]+)', 1, 'i') as int), 1), 1) as n from {CELLS}")
+@query(f"select page_id, greatest(coalesce(try_cast(regexp_extract(tag, 'colspan\\s*=\\s*[\"'']?([0-9]+)', 1, 'i') as int), 1), 1) as n from (select page_id, {_TAG} as tag from pages)")
 def html_attr(spark, read):
-    return spark.sql(f"select * from {CELLS}").select("id", T.attribute_int("tag", "colspan").alias("n"))
+    i = F.col("page_id").cast("string")
+    tag = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('<td colspan="'), i, F.lit('">'))).when(F.col("page_id") % 5 == 1, F.concat(F.lit("<td rowspan=2 COLSPAN='"), i, F.lit("'>")))
+    tag = tag.when(F.col("page_id") % 5 == 2, F.lit("<td>")).when(F.col("page_id") % 5 == 3, F.concat(F.lit("<td colspan=0 id="), i, F.lit(">"))).otherwise(F.concat(F.lit("<td colspan=x"), i, F.lit(">")))
+    return read("pages").select("page_id", T.attribute_int(tag, "colspan").alias("n"))
 
 
 @query(r"select doc_id, regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10) || chr(10)), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') || chr(10) as tidy from documents")
@@ -227,12 +243,13 @@ def file_name(spark, read):
     return read("pages").select("page_id", T.file_name("url").alias("name"))
 
 
-FILES = values([(1, "a/b/Report.PDF"), (2, "https://x.example/q/z.docx?y=1"), (3, "noext"), (4, "x.tiff"), (5, "a.b.md"), (6, "data.parquet")], "id, path")
+_EXTENSIONS = {".PDF": "pdf", ".docx": "docx", "": "", ".tiff": "image", ".a.md": "md", ".parquet": "parquet"}
 
 
-@query(f"select * from {values([(1, 'pdf'), (2, 'docx'), (3, ''), (4, 'image'), (5, 'md'), (6, 'parquet')], 'id, kind')}")
+@query("select page_id, case page_id % 6 " + " ".join(f"when {k} then '{kind}'" for k, kind in enumerate(_EXTENSIONS.values())) + " end as kind from pages")
 def file_type(spark, read):
-    return spark.sql(f"select * from {FILES}").select("id", T.file_type("path").alias("kind"))
+    ending = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("page_id") % 6 + 1).cast("int"))
+    return read("pages").select("page_id", T.file_type(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/Report"), "page_id", ending, F.lit("?y=1"))).alias("kind"))
 
 
 @query("select doc_id, 'canonical/md/' || lower(upper(lang)) || '/v' || doc_id || '.md' as canonical, 'sources/md/' || lang || '/v' || doc_id || '.md' as source, 'a/v' || doc_id || '.' || md5(text) || '.md' as revision from documents")
@@ -242,20 +259,16 @@ def path_builder(spark, read):
     return d.select("doc_id", T.canonical_path(F.upper("lang"), "v").alias("canonical"), T.source_path("v", "lang", F.lit(".markdown")).alias("source"), T.revision_path(old, F.md5("text")).alias("revision"))
 
 
-REPORTS = values([(1, "PyMuPDF text only, LlamaParse API"), (2, "LLAMA cloud"), (3, "pymupdf"), (4, "other")], "id, report")
-
-
-@query("select * from (values (1, 'pymupdf_text_only+llamaparse'), (2, 'llamaparse'), (3, 'pymupdf_text_only'), (4, null)) as t(id, parser)")
+@query("select doc_id, case doc_id % 4 when 0 then 'pymupdf_text_only+llamaparse' when 1 then 'llamaparse' when 2 then 'pymupdf_text_only' end as parser from documents")
 def infer_parser(spark, read):
-    return spark.sql(f"select * from {REPORTS}").select("id", T.infer_parser("report").alias("parser"))
-
-
-MARKDOWN = values([(1, "**bold** and *it* `code`"), (2, "[text](http://x) ![alt](img.png)"), (3, "plain  __x__")], "id, md")
+    named = F.element_at(F.array(F.lit("PyMuPDF text only, LlamaParse API"), F.lit("LLAMA cloud"), F.lit("pymupdf"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read("documents").select("doc_id", T.infer_parser(F.concat("source", F.lit(" "), named, F.lit(" "), "lang")).alias("parser"))
 
 
-@query(f"select * from {values([(1, 'bold and it code'), (2, 'text alt'), (3, 'plain x')], 'id, plain')}")
+@query("select doc_id, 'b' || doc_id || ' and ' || source || ' ' || lang || ' text alt ' || md5(text) as plain from documents")
 def inline_md(spark, read):
-    return spark.sql(f"select * from {MARKDOWN}").select("id", T.inline_markdown("md").alias("plain"))
+    md = F.concat(F.lit("**b"), "doc_id", F.lit("** and *"), "source", F.lit("* `"), "lang", F.lit("` [text](http://x) ![alt](img.png)  __"), F.md5("text"), F.lit("__"))
+    return read("documents").select("doc_id", T.inline_markdown(md).alias("plain"))
 
 
 @query("select doc_id, source || ', ' || case when doc_id % 3 = 0 then 'mục ' || lang when doc_id % 3 = 1 then 'trang ' || n_chars else 'trang ' || n_chars || '-' || (n_chars + 1) end as citation from documents")
@@ -272,7 +285,8 @@ def embed_text(spark, read):
     return read("documents").select("doc_id", T.embedding_text(F.col("source"), both("a", "b"), F.col("lang"), both("x", "y"), page(1), page(2), F.col("text")).alias("t"))
 
 
-@query()
+@query("""with n as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk/v' || doc_id || '/' || source)) as h from documents)
+  select doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][1 + (instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4] || substring(h, 18, 3) || '-' || substring(h, 21, 12) as point_id from n""")
 def point_id(spark, read):
     return read("documents").select("doc_id", T.point_id(F.concat(F.lit("v"), F.col("doc_id")), F.col("source")).alias("point_id"))
 
@@ -388,10 +402,11 @@ def rerank(spark, read):
 @query(f"""with {SPARSE_SQL}, {DENSE_SQL}, {FUSE_SQL} select 'dense_only' as config, query_id, doc_id, rank from dense where rank <= 5 union all select 'sparse_only', query_id, doc_id, rank from sparse where rank <= 5 union all select 'hybrid_rrf', query_id, doc_id, rank from fused where rank <= 5
   union all select 'hybrid_rrf_rerank', query_id, doc_id, row_number() over (partition by query_id order by -n_chars desc, f.rank) as r from fused f join documents d using (doc_id) qualify r <= 5""")
 def ablation(spark, read):
-    fused = fused_hits(read)
+    lists = written(branches(read), "branches")  # built once for all four
+    fused = R.fuse(lists, 20, "doc_id")
     again = R.rerank(fused.join(read("documents").select("doc_id", "n_chars"), "doc_id"), -F.col("n_chars"), 5)
     out = None
-    for name, hits in (("dense_only", dense_hits(read)), ("sparse_only", sparse_hits(read)), ("hybrid_rrf", fused), ("hybrid_rrf_rerank", again)):
+    for name, hits in (("dense_only", lists.where("branch = 0")), ("sparse_only", lists.where("branch = 1")), ("hybrid_rrf", fused), ("hybrid_rrf_rerank", again)):
         part = hits.where("rank <= 5").select(F.lit(name).alias("config"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -401,17 +416,21 @@ GOLD_SQL = f"select b.item_id as query_id, d.doc_id, length(d.text) as n from be
 
 
 def gold(read) -> DataFrame:
-    """(query_id, doc_id, n): documents that contain an item's text. Candidates share the item's rarest word, so only few texts are searched."""
+    """(query_id, doc_id, n): documents that contain an item's text. Candidates share the item's rarest inner word; items of one or two words, which have none, are a query set against all texts."""
     docs = read("documents").select("doc_id", T.collapse(F.lower("text")).alias("t"), F.length("text").alias("n"))
     items = read("benchmark").select(F.col("item_id").alias("query_id"), T.collapse(F.lower("text")).alias("q"))
-    post = docs.select("doc_id", F.explode(F.array_distinct(T.words("t"))).alias("term"))
     # a word at an end of the item could be part of a longer word of the document, so inner words are used where there are any
-    inner = items.select("query_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(q, '(?<=[^\\p{L}\\p{N}])([\\p{L}\\p{N}]+)(?=[^\\p{L}\\p{N}])', 1)"))).alias("term"))
-    terms = inner.select("term").distinct()
-    rare = post.join(R.small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    best = inner.join(rare, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    items = items.withColumn("inner", F.array_distinct(F.expr(r"regexp_extract_all(q, '(?<=[^\\p{L}\\p{N}])([\\p{L}\\p{N}]+)(?=[^\\p{L}\\p{N}])', 1)"))).where("q <> ''")
+    inner = items.select("query_id", F.explode("inner").alias("term"))
+    # of the needed words alone, each text's: read once for the counts and once for the candidates
+    post = docs.select("doc_id", F.explode(F.array_distinct(T.words("t"))).alias("term")).join(R.small(inner.select("term").distinct()), "term", "left_semi")
+    post = written(post, "needed-words")
+    best = inner.join(post.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     pairs = post.join(R.small(best), "term").select("query_id", "doc_id").distinct()
-    return pairs.join(items, "query_id").join(docs, "doc_id").where("contains(t, q)").select("query_id", "doc_id", F.col("n").cast("long").alias("n"))
+    found = pairs.join(items.select("query_id", "q"), "query_id").join(docs, "doc_id").where("contains(t, q)").select("query_id", "doc_id", "n")
+    short = items.where("size(inner) = 0").select("query_id", "q")
+    found = found.unionByName(docs.join(R.small(short), F.col("t").contains(F.col("q"))).select("query_id", "doc_id", "n"))
+    return found.select("query_id", "doc_id", F.col("n").cast("long").alias("n"))
 
 
 @query(f"select query_id, min_by(doc_id, n * 1000000000 + doc_id) as doc_id, count(*) as n_found from ({GOLD_SQL}) group by query_id")

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as Q
+from docloom.operators import forms
 from docloom.operators import repair as M
 from docloom.operators import retrieval as R
 from docloom.operators import structure as S
-from docloom.plans.documents import LINES_SQL, MD_DOCS, PATH_SQL, levelled
-from docloom.plans.queries import QUESTIONS, TREE_SQL, query, tree, values
-
-
-def _lines(spark, text: str):
-    return spark.createDataFrame([(1, k, x) for k, x in enumerate(text.split("\n"))], "doc_id int, pos int, line string")
-
-
-def _expected(text: str) -> str:
-    return f"select 1 as doc_id, n as pos, line from {values([(k, x) for k, x in enumerate(text.split(chr(10)))], 'n, line')}"
+from docloom.operators import tables as B
+from docloom.plans.chunking import CHUNKS_SQL, marked_documents
+from docloom.plans.documents import LINES_SQL, PATH_SQL, levelled
+from docloom.plans.queries import ASKED_SQL, TREE_SQL, _abbrev_sql, asked, query, tree, values
 
 
 def _numbered(df):
@@ -65,9 +60,21 @@ REPAIRED = """# **Rules**
 ## Điều 4. D"""
 
 
-@query(_expected(REPAIRED))
+def _over_documents(read, text: str, mark: str = ". "):
+    """The lines of a text for every document, its number after the ones that have the mark."""
+    rows = F.transform(F.split(F.lit(text), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    out = read("documents").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.pos", "r.line")
+    return out.withColumn("line", F.when(F.col("line").contains(mark), F.concat("line", F.lit(" "), "doc_id")).otherwise(F.col("line")))
+
+
+def _over_documents_sql(text: str, mark: str = ". ") -> str:
+    rows = values([(k, x) for k, x in enumerate(text.split(chr(10)))], "n, line")
+    return f"select doc_id, n as pos, line || case when contains(line, '{mark}') then ' ' || doc_id else '' end as line from documents, {rows}"
+
+
+@query(_over_documents_sql(REPAIRED))
 def heading_repair(spark, read):
-    return _numbered(M.repaired_headings(_lines(spark, RAW)))
+    return _numbered(M.repaired_headings(_over_documents(read, RAW)))
 
 
 TABLES = """before
@@ -104,9 +111,9 @@ after
 <!-- page: 1 | 2 -->"""
 
 
-@query(_expected(TIDY))
+@query(_over_documents_sql(TIDY, "before"))
 def md_table(spark, read):
-    return _numbered(M.repaired_tables(_lines(spark, TABLES)))
+    return _numbered(M.repaired_tables(_over_documents(read, TABLES, "before")))
 
 
 @query("select page_id, '| p' || page_id || ' | ' || case when page_id % 2 = 0 then 'b. x | 7' else 'same | same' end || ' |' as line from pages")
@@ -156,9 +163,10 @@ def postprocess(spark, read):
     return M.postprocessed(read("documents").select("doc_id", raw.alias("text")))
 
 
-@query("select * from (values (1, 1, 15), (1, 2, 7), (2, 7, 2)) as t(doc_id, page_number, n_lines)")
+@query(f"with {CHUNKS_SQL} select doc_id, page as page_number, count(*) + 2 * count(case when k = 6 then 1 end) as n_lines from m group by doc_id, page")
 def page_split(spark, read):
-    return S.pages(spark.sql(f"select * from {MD_DOCS}")).select("doc_id", "page_number", F.size(F.split("content", "\n")).alias("n_lines"))
+    p = S.pages(marked_documents(read))
+    return p.select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
 
 
 @query("select doc_id, k as page_number, 'body ' || doc_id || ' of ' || k as content from documents, (values (1), (2), (3)) as p(k) where k <= 1 + doc_id % 3")
@@ -176,10 +184,37 @@ def expand_dedupe(spark, read):
     return R.expand(h, c).join(direct, ["query_id", "chunk_key"]).groupBy("query_id", "chunk_key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"with {ASKED_SQL}, a as (select conv_id * 1000 + turn as query_id, longer as q, {_abbrev_sql('longer')} as e from asked) select query_id, 1 as position, q as query from a where trim(q) <> '' union all select query_id, 2, e from a where trim(q) <> '' and e <> q")
 def q_variants(spark, read):
     """Every variant of every question, as the stand-in rewriter gives them."""
-    return Q.offline_variants(spark.sql(f"select query_id, question from {QUESTIONS}"))
+    return Q.offline_variants(asked(read).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("longer").alias("question")))
+
+
+_FORM = {0: ("'**Họ và tên**: ' || h", "'Họ và tên: ' || h"), 1: ("'**Ngày sinh:** ' || h", "'Ngày sinh: ' || h"), 2: ("'- **Địa chỉ**: ' || h", "'Địa chỉ: ' || h"), 3: ("'*Mã số**: ' || h", "'Mã số: ' || h"), 4: ("'**' || h || '**: x'", None), 5: ("'- ' || h", None), 6: ("'- **Lớp**: ' || h", "'- Lớp: ' || h"), 7: ("'Kính gửi: ' || h", "'**Kính gửi : ' || h || '**'"), 8: ("'| **Lớp**: ' || h || ' |'", None), 9: ("'<u>Đơn xin ' || h || '</u>'", "'# Đơn xin ' || h")}
+_RAW = "case " + " ".join(f"when pos % 10 = {k} then {'case when doc_id % 3 = 0 then ' + raw + ' else h end' if k in (7, 9) else raw}" for k, (raw, _) in _FORM.items()) + " end"
+_DONE = "case when doc_id % 3 <> 0 then raw " + " ".join(f"when pos % 10 = {k} then {done}" for k, (_, done) in _FORM.items() if done) + " else raw end"
+
+
+@query(f"with {LINES_SQL}, m as (select doc_id, pos, md5(line) as h from l), r as (select *, {_RAW} as raw from m) select doc_id, pos, {_DONE} as line from r union all select doc_id, -1, 'Biểu mẫu ' || doc_id from documents where doc_id % 3 = 0")
+def form_norm(spark, read):
+    """Every third document a form: its labels, bullets, salutations and titles are repaired, all other texts stay."""
+    title = F.when(F.col("doc_id") % 3 == 0, F.array(F.struct(F.lit(-1).alias("pos"), F.concat(F.lit("Biểu mẫu "), F.col("doc_id")).alias("line")))).otherwise(F.array().cast("array<struct<pos:int,line:string>>"))
+    rows = read("documents").select("doc_id", title.alias("title"), F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.md5(x).alias("h"))).alias("rows"))
+    made = rows.select("doc_id", "title", F.explode("rows").alias("r")).select("doc_id", "title", "r.pos", "r.h").select("doc_id", "title", "pos", F.expr(_RAW).alias("line"))
+    whole = made.groupBy("doc_id").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows")).select("doc_id", F.concat("title", "rows").alias("rows"))
+    gated = whole.withColumn("is_form", forms.is_form(F.array_join(F.transform("rows", lambda r: r["line"]), "\n")))
+    out = forms.form_lines(gated.select("doc_id", "is_form", F.explode("rows").alias("r")).select("doc_id", "is_form", "r.pos", "r.line"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query("""with p as (select page_id // 3 as doc_id, page_id % 3 + 1 as n, page_id, 'cáo ' || md5(url) as rest from pages), t as (select *, lag(n) over w is null as first, lead(rest) over w as after from p window w as (partition by doc_id order by n))
+  select doc_id, string_agg('<!-- page: ' || n || ' -->' || chr(10) || chr(10) || '<table>' || case when n = 1 then '<thead><tr><th>Nội dung</th></tr></thead>' when first then '<thead><tr><th>' || rest || '</th></tr></thead>' else '' end || '<tr><td>' || page_id || '</td><td>thu, cảnh' || case when after is not null then ' ' || after else '' end || '</td></tr></table>', chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n) as text from t group by doc_id""")
+def table_continue(spark, read):
+    """Three pages each as one document: a table on every page, whose false head is the rest of the cell that the page before cut."""
+    head = F.when(F.col("page_id") % 3 == 0, "Nội dung").otherwise(F.concat(F.lit("cáo "), F.md5("url")))
+    table = F.concat(F.lit("<table><thead><tr><th>"), head, F.lit("</th></tr></thead><tr><td>"), F.col("page_id"), F.lit("</td><td>thu, cảnh</td></tr></table>"))
+    docs = S.rendered(read("pages").select(F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3 + 1).alias("page_number"), table.alias("content")))
+    return docs.select("doc_id", B.continued(F.col("text")).alias("text"))
 
 
 _ = PATH_SQL

@@ -37,8 +37,8 @@ def test_queries_of_a_search(spark):
 
 
 def test_guards_of_the_lifecycle(spark):
-    base = dict(ocr_status="done", review_status="approved", title="t", n_chars=5, n_chunk_errors=0, snapshot_changed=False, signature_equal=True, job_processing=True, active_job=False, minutes_since_update=0)
-    cases = [("not_indexed", "review", {"title": " "}, "no_title"), ("not_indexed", "review", {"n_chars": 0}, "wrong_size"), ("failed", "approve_chunks", {"n_chunk_errors": 1}, "chunk_errors"), ("not_indexed", "approve_chunks", {"snapshot_changed": True}, "snapshot_changed"), ("failed", "start_index", {"signature_equal": False}, "chunks_differ"), ("chunked", "job_success", {"job_processing": False}, "job_not_processing"), ("indexed", "deindex", {"active_job": True}, "job_running"), ("indexed", "deindex", {"active_job": True, "minutes_since_update": 9}, None), ("not_indexed", "start_index", {}, None), ("not_indexed", "publish", {}, "wrong_status")]
+    base = dict(ocr_status="done", review_status="approved", title="t", n_bytes=5, n_chunk_errors=0, snapshot_changed=False, signature_equal=True, job_processing=True, active_job=False, minutes_since_update=0)
+    cases = [("not_indexed", "review", {"title": " "}, "no_title"), ("not_indexed", "review", {"n_bytes": 0}, "wrong_size"), ("failed", "approve_chunks", {"n_chunk_errors": 1}, "chunk_errors"), ("not_indexed", "approve_chunks", {"snapshot_changed": True}, "snapshot_changed"), ("failed", "start_index", {"signature_equal": False}, "chunks_differ"), ("chunked", "job_success", {"job_processing": False}, "job_not_processing"), ("indexed", "deindex", {"active_job": True}, "job_running"), ("indexed", "deindex", {"active_job": True, "minutes_since_update": 9}, None), ("not_indexed", "start_index", {}, None), ("not_indexed", "publish", {}, "wrong_status")]
     rows = [dict(base, version_id=k, rag_status=s, **change) if not change else {**base, **change, "version_id": k, "rag_status": s} for k, (s, _, change, _) in enumerate(cases)]
     out = C.apply_events(spark.createDataFrame(rows), spark.createDataFrame([(k, c[1]) for k, c in enumerate(cases)], "version_id long, event string"))
     assert {r.version_id: r.error for r in out.collect()} == {k: c[3] for k, c in enumerate(cases)}
