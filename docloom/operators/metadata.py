@@ -43,9 +43,12 @@ def stem(path: Column) -> Column:
 
 
 def report_part(body: Column) -> Column:
-    """map<string, string> of the report's metadata list; empty without one."""
+    """map<string, string> of the ``- key: value`` lines of a report's metadata section, keys in lower case, the last of a key; empty without one."""
     part = F.regexp_extract(F.coalesce(body, F.lit("")), r"(?ms)^[ \t]*## Metadata[ \t]*$(.*?)(?=^[ \t]*## |\z)", 1)
-    return F.transform_values(T.report_fields(part), lambda k, v: F.regexp_replace(F.trim(v), "^`+|`+$", ""))
+    keys, values = (F.regexp_extract_all(part, F.lit(r"(?m)^[ \t]*-[ \t]*([^:\n]+):[ \t]*([^\n]*)$"), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(F.lower(F.trim(k)).alias("k"), F.regexp_replace(F.trim(v), "^`+|`+$", "").alias("v")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
 
 
 def match_sources(texts: DataFrame, files: DataFrame, named: list[str] | None = None) -> DataFrame:

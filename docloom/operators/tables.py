@@ -165,9 +165,7 @@ def false_head(table: Column) -> Column:
     """The text of a head that has none of a header's words: the rest of a cell that the page end cut. Null without one."""
     head = F.regexp_extract(table, HEAD, 0)
     key = normalize_key(head)
-    true_head = F.lit(False)
-    for word in HEADER_WORDS:
-        true_head = true_head | key.contains(word)
+    true_head = key.rlike("|".join(HEADER_WORDS))
     return F.when((head != "") & ~((key != "") & true_head), F.nullif(strip_tags(head), F.lit("")))
 
 

@@ -7,7 +7,8 @@
   are not objects. Files are dealt to tasks by size.
 * Writing: ``df.write.format("objects").option("root", uri).option("existing", "fail").mode("append").save()`` puts each row's
   content (text or binary) at its path below ``root``. Tasks write to a staging folder beside it; the driver moves the files when
-  all tasks are done, and drops the folder if one fails for good. ``existing``: ``fail`` refuses the whole write if any path is
+  all tasks are done, and drops the folder if one fails for good (a task still running then may leave part of it, which no reader takes
+  for objects). ``existing``: ``fail`` refuses the whole write if any path is
   there already (create if absent), ``replace`` overwrites (the default with mode overwrite, which removes nothing else).
 
 A path that is null, empty, absolute or leads out of the root, and a path that comes twice in one write, are errors; null
@@ -17,6 +18,7 @@ content is an empty object. A task that runs again stages its rows again under a
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ PART_BYTES = 64 << 20
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + posixpath.abspath(uri))
+    fs, path = pafs.FileSystem.from_uri(uri if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", uri) else "file://" + posixpath.abspath(uri))
     return fs, path.rstrip("/")
 
 

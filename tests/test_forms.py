@@ -80,7 +80,7 @@ CHAIN = """a
 2
 <table><thead><tr><th>cáo toàn khu</th></tr></thead><tr><td>2</td><td>lần ba, cảnh</td></tr></table>
 <!-- page: 3 -->
-<table><thead><tr><th>cáo lần hai</th></tr></thead><tr><td>3</td><td>c</td></tr></table>
+<table><thead><tr><th>cáo thứ hai</th></tr></thead><tr><td>3</td><td>c</td></tr></table>
 real text
 <table><thead><tr><th>cáo khác</th></tr></thead><tr><td>4</td></tr></table>"""
 JOINED = """a
@@ -89,7 +89,7 @@ JOINED = """a
 ---
 <!-- page: 2 -->
 2
-<table><tr><td>2</td><td>lần ba, cảnh cáo lần hai</td></tr></table>
+<table><tr><td>2</td><td>lần ba, cảnh cáo thứ hai</td></tr></table>
 <!-- page: 3 -->
 <table><tr><td>3</td><td>c</td></tr></table>
 real text

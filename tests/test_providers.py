@@ -12,7 +12,7 @@ FAST = {"tries": 1, "wait": 0.0, "timeout": None}
 
 
 def texts(spark, n=200):
-    return spark.createDataFrame([(k, None if k == 7 else f"w{k} w{k % 5}") for k in range(n)], "chunk_key long, text string").repartition(3)
+    return spark.createDataFrame([(k, None if k == 7 else f"w{k} x{k % 5}") for k in range(n)], "chunk_key long, text string").repartition(3)
 
 
 def failing(where):
