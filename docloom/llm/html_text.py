@@ -2,15 +2,19 @@
 
 A page is cut into blocks (block-level tags end a block; white space inside is one space). Each block is
 
-* chrome: in nav, footer, aside, script, style and the like, in a page header, or hidden;
+* chrome: in nav, footer, aside, script, style and the like, in a header outside article and main, or hidden;
 * soft: in a form, or in an element whose class, id or role says advert, menu, sidebar, notice, comments and so on
   (``CHROME``; camel case and hyphens are split; html and body are never judged by their words). An article or main
-  element inside is no longer soft, unless the element around it holds comments, related pages or promotion;
-* main: in an article, else in main or role=main, else in an element whose class or id says content (``CONTENT``);
+  element inside is no longer soft, unless the element around it holds comments, related pages or promotion
+  (``OTHERS``, alone or with words of mere structure: comment-list, but not comment-policy);
+* main: in an article, else in main or role=main, else in an element whose class or id says content (``CONTENT``), which
+  is inner where it stands inside something soft;
 * open: none of these.
 
 A page proposes its article blocks (with all of main, where main has more text outside its articles than in them), else
-its main blocks, else those of content elements, else its open blocks, and where all of these are empty the soft ones.
+its main blocks. Without either, the words are a prior and the amount of text decides: content counts ``PRIOR`` times
+its characters, inner and open text count as they are, and the largest is proposed; open text that wins takes the content
+elements' with it. Soft blocks are proposed where there is nothing else.
 
 Structure only proposes. The token streams of all pages of a host are taken together, and strings of 50 bytes or more
 that occur on several distinct pages are found with the suffix arrays of ``repeats``, in pieces by host and anchor:
@@ -21,7 +25,8 @@ that occur on several distinct pages are found with the suffix arrays of ``repea
    (pages that hold one gram in several segments keep their id, so that a page counts once); then the suffixes are
    sorted and the stack scan gives the common-prefix intervals, each a string with its pages.
 3. A string is boilerplate if it stands on ``least_pages`` of the host's pages (a fifth, at least 3, at most 30 are
-   asked), or on two open pages. Blocks that boilerplate covers by half or more are removed; the unique runs stay. A
+   asked), or on two open pages. Words that boilerplate covers, by 50 bytes of their block or by all of it, are removed;
+   the unique runs stay. A
    string of the first sort also has to stand on more pages than the page's own text does, which is what a quarter of
    the page's bytes do not exceed: a whole copy of an article stands on as many pages as there are copies.
 
@@ -50,9 +55,9 @@ from pyspark.sql import functions as F
 from docloom.llm import repeats
 from docloom.llm.common import mix, stored
 
-COVERED = 0.5
+PRIOR = 3
 FEWEST, ENOUGH, SHARE, OPEN = 3, 30, 5, 2
-BROADCAST_BYTES, REPEATED = 64 << 20, 1_000_000
+BROADCAST_BYTES, REPEATED, BUCKET_BYTES = 64 << 20, 1_000_000, 8 << 20
 _GRAM_BITS = (1 << 40) - 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|noscript|template|iframe|svg|title|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
@@ -68,12 +73,14 @@ CHROME = frozenset(
 CONTENT = frozenset("article articlebody content entry maincontent post story text".split())
 #: Chrome that holds whole articles of its own.
 OTHERS = frozenset("ad ads advert advertisement comment comments commentlist disqus promo promos promoted recommended related replies reply respond sponsor sponsored sponsors".split())
+#: Words that say nothing about what an element holds.
+STRUCTURE = frozenset("area article articles author block body box container content count date entry footer form header inner item items like link links list meta news nav post posts section stories story text thread title video videos widget wrap wrapper".split())
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _CONTAINERS = frozenset("article main div section td body html table".split())
 
 
-def _marks(attributes: str) -> tuple[set[str], set[str], bool]:
-    """(names in class, id and role; the words they are made of; whether the element is hidden)."""
+def _marks(attributes: str) -> tuple[set[str], set[str], bool, bool]:
+    """(names in class, id and role; the words they are made of; whether the element is hidden; whether a name says that it holds others' texts)."""
     names, hidden = set(), False
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -85,13 +92,14 @@ def _marks(attributes: str) -> tuple[set[str], set[str], bool]:
             hidden |= "display:none" in value.lower().replace(" ", "")
         else:
             names.update(value.split())
-    parts = {w.lower() for n in names for w in re.split(r"[_-]+", _HUMP.sub("-", n))}
+    split = [{w.lower() for w in re.split(r"[_-]+", _HUMP.sub("-", n)) if w} for n in names]
+    others = any(w & OTHERS and w <= OTHERS | STRUCTURE for w in split)
     names = {n.lower() for n in names}
-    return names, parts | names, hidden
+    return names, set().union(*split) | names, hidden, others
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of the page's blocks, kinds chrome, soft, others (soft, and no article inside counts), article, main, content and open."""
+    """(kind, text) of the page's blocks, kinds chrome, soft, others (soft, and no article inside counts), article, main, content, inner and open."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, kind of what is inside)
     kind, parts = "open", []
@@ -146,13 +154,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         inside = kind
         if kind != "chrome":
-            names, words, hidden = _marks(attributes) if attributes else (set(), set(), False)
+            names, words, hidden, others = _marks(attributes) if attributes else (set(), set(), False, False)
             if tag in ("html", "body"):
-                names, words = set(), set()
+                names, words, others = set(), set(), False
             is_main = tag in ("article", "main") or "main" in names
-            if hidden or tag in CHROME_TAGS or (tag == "header" and kind != "article"):
+            if hidden or tag in CHROME_TAGS or (tag == "header" and kind not in ("article", "main")):
                 inside = "chrome"
-            elif kind == "others" or (names if is_main else words) & OTHERS:
+            elif kind == "others" or (names & OTHERS if is_main else others):
                 inside = "others"
             elif tag == "article":
                 inside = "article"
@@ -160,8 +168,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 inside = "main"
             elif kind != "soft" and (tag == "form" or words & CHROME or (kind != "article" and "header" in words)):
                 inside = "soft"
-            elif kind == "open" and words & CONTENT:
-                inside = "content"
+            elif kind in ("open", "soft") and words & CONTENT:
+                inside = "content" if kind == "open" else "inner"
         if inside != kind:
             close()
         stack.append((tag, inside))
@@ -181,9 +189,13 @@ def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[str]]:
         return False, of("article", "main") if inside > sum(map(len, article)) else article
     if of("main"):
         return False, main
-    if main:
+    size = lambda *kinds: sum(map(len, of(*kinds)))
+    content, inner, loose = PRIOR * size("content"), size("inner"), size("open")
+    if content and content >= max(inner, loose):
         return False, main
-    return True, of("open") or of("soft") or of("others")
+    if inner and inner >= loose:
+        return True, of("inner")
+    return True, of("open", "content") or of("soft") or of("others")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +351,23 @@ def _page_ranges(strings: dict[int, list[tuple[bytes, int, int]]] | None):
     return run
 
 
+def _left(text: str, gone: np.ndarray) -> str:
+    """The words of a block of which a byte is not ``gone``. A run that covers neither the block nor the length of a string is the end of one in the next block, and stays."""
+    if gone.all():
+        return ""
+    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    gone = gone.copy()
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        gone[a:b] = b - a >= repeats.LENGTH
+    raw = np.frombuffer(text.encode(), np.uint8)
+    stays = np.append(~gone & (raw != 32), False)
+    begins = np.flatnonzero(np.append(True, raw[:-1] == 32))
+    kept = np.logical_or.reduceat(stays, begins)
+    return " ".join(w for w, k in zip(text.split(" "), kept.tolist(), strict=True) if k)
+
+
 def unique_runs(rest: list[str], ranges: list[tuple[int, int, int, int]], is_open: bool) -> list[str]:
-    """The blocks that boilerplate (start, end, open pages, pages) covers by less than half; all of them if none is left."""
+    """The blocks without the words that boilerplate (start, end, open pages, pages) covers; all as they are if none is left."""
     if not ranges:
         return rest
     quads = np.array(ranges, np.int64)
@@ -356,8 +383,8 @@ def unique_runs(rest: list[str], ranges: list[tuple[int, int, int, int]], is_ope
     kept, at = [], 0
     for t in rest:
         size = len(t.encode())
-        if gone[at : at + size].sum() < COVERED * size:
-            kept.append(t)
+        if here := _left(t, gone[at : at + size]) if gone[at : at + size].any() else t:
+            kept.append(here)
         at += size + 1
     return kept or rest
 
@@ -382,7 +409,8 @@ def _decide(strings: dict[int, list[tuple[bytes, int, int]]] | None):
 
 def boilerplate(parsed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(gram, bytes, open, pages): the repeated strings of every host, with the pages they stand on; pages is 1 where only open pages count."""
-    n = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = parsed.select(F.expr("aggregate(blocks, 0L, (s, t) -> s + octet_length(t))").alias("n")).agg(F.sum("n")).first()[0] or 0
+    n = max(int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     streams = parsed.select("row", "host", "blocks")
     shared = streams.mapInArrow(_gram_blocks(n), repeats._BLOCKS).repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "short long")
     shared = stored(shared, "shared-grams")

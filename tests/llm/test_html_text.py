@@ -1,4 +1,5 @@
 import random
+import re
 from html.parser import HTMLParser
 
 from docloom.llm import html_text as h
@@ -70,6 +71,30 @@ def test_articles_under_chrome_names():
     assert text("<main><p>Real main text that goes on for long</p><article>Teaser</article></main>") == ["Real main text that goes on for long", "Teaser"]
 
 
+def test_structure_loses_no_article():
+    text = lambda page: h.chosen(h.blocks(page))[1]
+    long = "Long article text that goes on and on for a while."
+    assert text(f'<body>Copyright 2020<form id="aspnetForm"><div id="content"><p>{long}</div></form></body>') == [long]
+    assert text('<p>Home</p><div class="layout-sidebar"><div class="content"><p>Real text.') == ["Real text."]
+    assert text('<div class="comment-policy"><article><p>Real</p></article></div><p>open</p>') == ["Real"]
+    assert text("<main><header><h1>Title</h1></header><p>Body</p></main>") == ["Title", "Body"]
+    assert text(f"<header><h1>Site</h1></header><main><p>{long}</p></main>") == [long]
+    assert text(f'<div class="text">Menu</div><p>{long}</p>') == ["Menu", long]  # the words are a prior, the text decides
+    assert text(f'<div class="content">{long}</div><p>Home</p>') == [long]
+    assert text(f'<p>{long}</p><div class="comment-list"><article>Nice post! {long}</article></div>') == [long]
+
+
+def test_partial_blocks_keep_their_unique_words():
+    common = "these are fifty bytes or more of words that are common"
+    t = [f"One {common} three", "four five", f"Größe {common}"]
+    raw = "\n".join(t).encode()
+    span = lambda w, n=5: (raw.find(w.encode()), raw.find(w.encode()) + len(w.encode()), n, 1)
+    assert h.unique_runs(t, [span(common + " thr")], True) == ["One three", *t[1:]]  # a word cut in two stays
+    assert h.unique_runs(t, [span(common + " three\nfour")], True) == ["One", "four five", t[2]]  # the end of a string in the next block stays
+    assert h.unique_runs(t, [span("four five\nGröße")], True) == [t[0], t[2]] and h.unique_runs(t, [span("three\nfour five\nGröße " + common)], True) == [t[0]]
+    assert h.unique_runs(t, [(0, len(raw), 5, 1)], True) == t
+
+
 def test_removal_against_brute_force(spark):
     rng = random.Random(3)
     line = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(n))
@@ -95,10 +120,17 @@ def test_removal_against_brute_force(spark):
         copies = sorted(every)[len(every) // 4]
         kept, at = [], 0
         for t in texts:
-            size = len(t.encode())
-            gone = sum(every[i] > copies or (page.startswith("<div") and opened[i] >= 2) for i in range(at, at + size))
-            kept += [t] if gone < size / 2 else []
-            at += size + 1
+            flags = [every[i] > copies or (page.startswith("<div") and opened[i] >= 2) for i in range(at, at + len(t))]
+            if not all(flags):
+                for run in re.finditer("1+", "".join(str(int(x)) for x in flags)):
+                    if run.end() - run.start() < 50:
+                        flags[run.start() : run.end()] = [False] * (run.end() - run.start())
+            left, place = [], 0
+            for w in t.split(" "):
+                left += [w] if not all(flags[place : place + len(w)]) else []
+                place += len(w) + 1
+            at += len(t) + 1
+            kept += [" ".join(left)] if left else []
         return "\n\n".join(kept or texts)
 
     want = {p[0]: plain(*p) for p in pages}
