@@ -61,4 +61,4 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_flac, op4_toxicity, op5_main_text, op6_mixing, op7_near_duplicates, op8_token_files, op9_licenses, op10_repeats, op11_packing, op12_alignment, op13_manifest)}
-ORACLE_SQL: dict[str, str] = {"op13_manifest": manifest.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_near_duplicates": neardup.ORACLE_SQL, "op10_repeats": repeats.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}

@@ -474,3 +474,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "base", "parts").mapInArrow(cut, "doc_id long, text string")
+
+
+#: DuckDB SQL for ``removed_repeats``: all windows of 50 bytes by hash, and runs of those that a smaller doc_id has.
+ORACLE_SQL = """
+with given as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (select doc_id, i, hash(substring(h, 2 * i + 1, 100)) as w from given, unnest(range(greatest(0, length(h) // 2 - 49))) as t(i)),
+least_doc as (select w, min(doc_id) as least from windows group by w),
+gone as (select doc_id, i from windows join least_doc using (w) where least < doc_id),
+marked as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from gone),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+edges as (select doc_id, b as a, coalesce(lead(a) over (partition by doc_id order by a), 1000000000) as b from (select * from runs union all select doc_id, -1, 0 from given))
+select g.doc_id, length(h) // 2 as n_bytes, coalesce(r.n_removed, 0)::bigint as n_removed, coalesce(r.n_spans, 0)::bigint as n_spans, sha256(unhex(k.kept)) as kept_sha256
+from given g left join (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id) r using (doc_id)
+join (select e.doc_id, string_agg(substring(h, 2 * e.a + 1, 2 * (e.b - e.a)), '' order by e.a) as kept from edges e join given using (doc_id) group by e.doc_id) k using (doc_id)
+"""

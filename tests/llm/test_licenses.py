@@ -1,3 +1,4 @@
+import random
 import re
 
 from docloom.llm import licenses as x
@@ -42,5 +43,63 @@ def test_notices_with_edits(spark):
     assert [(r.word, r.n_words) for r in found] == [(0, 20), (21, 20)]
 
 
+def plain_notices(text):
+    """(label, word, n_words, score) of the verified spans, by comparing every place with every template place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    spans = []
+    for label, notice in x.NOTICES:
+        t = notice.split()
+        n = len(t) - 2
+        by: dict = {}
+        for i in range(len(w) - 2):
+            for j in range(n):
+                if w[i : i + 3] == t[j : j + 3]:
+                    by.setdefault(i - j, set()).add(j)
+        runs = sorted((d + min(p), d, d + max(p) + 3, p) for d, p in by.items())
+        stretches, reach = [], None
+        for low, d, high, p in runs:
+            if reach is None or low > reach + n:
+                stretches.append([])
+            stretches[-1].append((d, low, high, p))
+            reach = high if reach is None else max(reach, high)
+        for s in stretches:
+            merged: list = []
+            before = None
+            for d, low, high, p in sorted(s, key=lambda r: r[0]):
+                if before is not None and d - before <= 3:
+                    merged[-1] = (min(merged[-1][0], low), max(merged[-1][1], high), merged[-1][2] | p)
+                else:
+                    merged.append((low, high, set(p)))
+                before = d
+            spans += [(-len(p) / n, -n, label, low, high) for low, high, p in merged if len(p) / n >= 0.6]
+    kept: list = []
+    for worse, _, label, low, high in sorted(spans):
+        if all(low >= b or high <= a for _, a, b, _ in kept):
+            kept.append((label, low, high, -worse))
+    return sorted((label, a, b - a, round(s, 9)) for label, a, b, s in kept)
+
+
+def test_notices_against_brute_force(spark):
+    rnd, notices = random.Random(8), [t.split() for _, t in x.NOTICES]
+    rows = []
+    for k in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            t = list(rnd.choice(notices))
+            for _ in range(rnd.randint(0, 6)):
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.randint(0, 2)] = rnd.choices(["really", "or", "license", "the"], k=rnd.randint(0, 2))
+            words += rnd.choices(["filler", "word", "the"], k=rnd.randint(0, 30)) + t[rnd.randint(0, 3) : rnd.choice([len(t), len(t), len(t) * 2 // 3])]
+        rows.append((k, " ".join(words)))
+    # two notices that share most of their words, at equal shares in one place
+    rows += [(900, "this work is licensed under a creative commons attribution 4 0 international license noncommercial 4 0 international license"), (901, (x.NOTICES[3][1] + " ") * 4), (902, "this work is licensed under a creative commons attribution")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got: dict = {k: [] for k, _ in rows}
+    for r in x.spans(df).where("not phrase").collect():
+        got[r.doc_id].append((r.label, r.word, r.n_words, round(r.score, 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_notices(t) for k, t in rows}
+    assert sum(map(len, got.values())) > 100
+
+
 def test_empty_table(spark):
     assert x.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from docloom.llm import toxicity as x
+from docloom.llm.common import prefix_hash, range_hash
 
 
 def test_gradients_by_differences():
@@ -39,6 +40,56 @@ def test_gradients_by_differences():
         assert abs((up - down) / 2e-3 - total[4, 5]) < 1e-4
 
 
+def plain_scores(net, text):
+    """The logit of each window of a text: word by word, unit by unit, from the definitions."""
+    raw = text.lower().encode()
+    words, now = [], b""
+    for c in [*raw, 32]:
+        if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128:
+            now += bytes([c])
+        elif now:
+            words.append(now)
+            now = b""
+    hashed = lambda b: int(range_hash(prefix_hash(np.frombuffer(b, np.uint8)), np.array([0]), np.array([len(b)]))[0])
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(w):
+        grams = [hashed(w)] + [hashed(w[:k]) ^ k for k in (3, 4, 5, 6)] + [hashed(w[-3:]) ^ 9]
+        return np.concatenate([net.word[hashed(w) % x.WORD_SLOTS], np.mean([net.gram[g % x.GRAM_SLOTS] for g in grams], axis=0)]).astype(float)
+
+    out = []
+    starts = [0] if len(words) <= x.WINDOW else [*range(0, len(words) - x.WINDOW, x.STRIDE), len(words) - x.WINDOW]
+    for a in starts if words else []:
+        some = [vector(w) for w in words[a : a + x.WINDOW]]
+        both = []
+        for d, order in (("f", some), ("b", some[::-1])):
+            h, states, n = np.zeros(x.HIDDEN), [], x.HIDDEN
+            for v in order:
+                i, r = v @ net.p["W" + d] + net.p["b" + d], h @ net.p["U" + d]
+                z, reset = sig(i[:n] + r[:n]), sig(i[n : 2 * n] + r[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(i[2 * n :] + reset * r[2 * n :])
+                states.append(h)
+            both.append(states if d == "f" else states[::-1])
+        states = [np.concatenate(p) for p in zip(*both, strict=True)]
+        weight = np.exp([np.tanh(s @ net.p["A"]) @ net.p["v"] for s in states])
+        out.append(sum(w * s for w, s in zip(weight / weight.sum(), states, strict=True)) @ net.p["o"] + net.p["c"][0])
+    return out
+
+
+def test_forward_pass_against_a_plain_one():
+    net, rnd = x.Network(11), np.random.default_rng(4)
+    for v in net.p.values():
+        v += rnd.normal(0, 0.3, v.shape).astype(np.float32)
+    vocabulary = ["a", "ab", "abc", "Word", "größe", "1234567", "x" * 40, "don", "日本語"]
+    texts = ["", "...", "one", " ".join(rnd.choice(vocabulary, 24)), ", ".join(rnd.choice(vocabulary, 25)), " ".join(rnd.choice(vocabulary, 80)), "a-b_c"]
+    raw = [t.encode() for t in texts]
+    number, first, slots = x.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    text, _, logit = x.window_logits(net, number, first, slots)
+    for k, t in enumerate(texts):
+        want = plain_scores(net, t)
+        assert len(want) == (text == k).sum() and np.allclose(logit[text == k], want, atol=1e-4)
+
+
 def test_windows_cover_and_overlap():
     sizes = [0, 1, 24, 25, 36, 37, 500]
     first = np.cumsum([0, *sizes])
