@@ -373,12 +373,13 @@ def keep_one_of_each(docs: DataFrame, limits: Limits = STAGE) -> DataFrame:
 ORACLE_SQL = r"""
 with recursive given as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') as w from documents),
-shingles as (
-  select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from given),
-each as (select doc_id, unnest(s) as x from shingles),
+words as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i, len(w) as n from given),
+runs as (select doc_id, n, w || ' ' || lead(w, 1) over (order by doc_id, i) || ' ' || lead(w, 2) over (order by doc_id, i) || ' ' || lead(w, 3) over (order by doc_id, i) || ' ' || lead(w, 4) over (order by doc_id, i) as s, i from words),
+each as (select distinct doc_id, hash(s) as x from runs where i <= n - 4 union select doc_id, hash(array_to_string(w, ' ')) from given where len(w) between 1 and 4),
+shingles as (select g.doc_id, count(x) as n from given g left join each using (doc_id) group by g.doc_id),
 pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n from each a join each b on a.x = b.x and a.doc_id <> b.doc_id group by all),
-links as (select a, b from pairs join shingles p on p.doc_id = a join shingles q on q.doc_id = b where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+links as (select a, b from pairs join shingles p on p.doc_id = a join shingles q on q.doc_id = b where 100 * pairs.n >= 85 * (p.n + q.n - pairs.n)),
 reach(doc_id, other) as (select doc_id, doc_id from shingles union select r.doc_id, l.b from reach r join links l on l.a = r.other)
-select s.doc_id, len(s.s)::bigint as n_shingles, m.component_id, m.component_id = s.doc_id as kept
+select s.doc_id, s.n as n_shingles, m.component_id, m.component_id = s.doc_id as kept
 from shingles s join (select doc_id, min(other) as component_id from reach group by doc_id) m using (doc_id)
 """

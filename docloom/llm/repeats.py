@@ -479,7 +479,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 #: DuckDB SQL for ``removed_repeats``: all windows of 50 bytes by hash, and runs of those that a smaller doc_id has.
 ORACLE_SQL = """
 with given as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-windows as (select doc_id, i, hash(substring(h, 2 * i + 1, 100)) as w from given, unnest(range(greatest(0, length(h) // 2 - 49))) as t(i)),
+blocks as (select doc_id, 512 * k as base, least(512, length(h) // 2 - 49 - 512 * k) as n, substring(h, 1024 * k + 1, 1122) as b from given, unnest(range(greatest(0, (length(h) // 2 - 49 + 511) // 512))) as t(k)),
+windows as (select doc_id, base + i as i, hash(substring(b, 2 * i + 1, 100)) as w from blocks, unnest(range(n)) as t(i)),
 least_doc as (select w, min(doc_id) as least from windows group by w),
 gone as (select doc_id, i from windows join least_doc using (w) where least < doc_id),
 marked as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from gone),
