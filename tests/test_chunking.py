@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from docloom.operators import chunking as K
+from docloom.operators import structure as S
 from docloom.operators.structure import recursive_split
 
 TEXT = """dropped
@@ -107,3 +109,15 @@ def test_splitter_keeps_every_word():
             assert shared
             out += p[shared[0] :]
         assert out == whole
+
+
+def test_blocks_are_handed_on_in_parts(spark, monkeypatch):
+    lines = "\n".join(f"# h{n}\n1. a{n}\n- b{n}\n\nc{n}" for n in range(200))
+    monkeypatch.setattr(S, "ROOM", 1 << 14)
+    batch = pa.RecordBatch.from_pylist([{"k": k, "pages": [{"page_number": 1, "content": lines}] if k < 5 else []} for k in range(6)])
+    parts = list(S.block_batches([batch], "k"))
+    assert len(parts) > 20 and max(p.num_rows for p in parts) < 100 and sum(p.num_rows for p in parts) == 5 * 800
+    docs = spark.createDataFrame([(k, f"<!-- page: 1 -->\n{lines}" if k < 5 else "") for k in range(6)], "k long, text string")
+    got = sorted(map(tuple, S.blocks(S.pages(docs, "k"), "k").select("k", "source_order", "block_type", "content", "item_key", "parent_item_key").collect()))
+    assert got == sorted((r["k"], r["source_order"], r["block_type"], r["content"], r["item_key"], r["parent_item_key"]) for p in parts for r in p.to_pylist())
+    assert got[1:4] == [(0, 1, "numbered_item", "1. a0", "item:000001", None), (0, 2, "bullet_item", "- b0", "item:000002", "item:000001"), (0, 3, "paragraph", "c0", None, None)]
