@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.sources.shared import written
+from docloom.operators.retrieval import small
+from docloom.sources.shared import dealt, written
 
 #: The audience that has a flag of its own in the payload.
 STUDENT = "sinh_vien"
@@ -172,9 +173,11 @@ def replace_recipients(old: DataFrame, requested: DataFrame, versions: DataFrame
 
     Each code counts once, in order of its first place; the effective date falls back to the version's issue date. A version
     that asks for a code that is not active is refused whole, keeps what it had, and its bad codes stand in ``refused``.
+
+    The requests are dealt by version into parts of bounded size; every step after it keeps these.
     """
-    once = requested.groupBy(on, "code").agg(F.min("position").alias("position"), F.min_by("effective_date", "position").alias("effective_date"))
-    refused = once.join(departments.where("is_active").select("code").distinct(), "code", "left_anti").select(on, "code")
+    once = dealt(requested.select(on, "code", "position", "effective_date"), on).groupBy(on, "code").agg(F.min("position").alias("position"), F.min_by("effective_date", "position").alias("effective_date"))
+    refused = once.join(small(departments.where("is_active").select("code").distinct()), "code", "left_anti").select(on, "code")
     good = versions.join(_keys(refused, on), on, "left_anti")
     out = once.join(good.select(on, "issued_date"), on)
     out = out.select(on, "code", F.row_number().over(Window.partitionBy(on).orderBy("position", "code")).alias("position"), F.coalesce("effective_date", "issued_date").alias("effective_date"))

@@ -37,3 +37,13 @@ def test_starts_over_many_ranges(spark):
         want[k] = at
         at += k % 4 + 1
     assert {r.version_key: r._start for r in K._starts(sizes, "version_key").collect()} == want
+
+
+def test_requests_are_dealt_into_bounded_parts(spark, monkeypatch):
+    from docloom.sources import shared
+
+    monkeypatch.setattr(shared, "PART_ROWS", 10)
+    asked = spark.range(1000).selectExpr("id as version_key", "1L as code", "1 as position", "'d' as effective_date")
+    versions, departments = asked.selectExpr("version_key", "'i' as issued_date"), spark.createDataFrame([(1, True)], "code long, is_active boolean")
+    out = K.replace_recipients(asked, asked, versions, departments)[0]
+    assert out.count() == 1000 and "hashpartitioning(version_key" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 100), REPARTITION_BY_NUM" in plan
