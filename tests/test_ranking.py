@@ -43,3 +43,15 @@ def test_nearest_rows_without_pairs(spark, monkeypatch):
     assert R.dense_topk(v, q.limit(0), 3).count() == 0 and R.dense_topk(v.limit(0), q, 3).count() == 0
     named = R.dense_topk(v.select(F.concat(F.lit("é"), "vec_id").alias("name"), "embedding"), q.select(F.struct("query_id").alias("query_id"), "query"), 2, "name", digits=3)
     assert [(r.query_id.query_id, r.name) for r in named.where("query_id.query_id = 1").orderBy("rank").collect()] == [(1, "é504"), (1, "é400")]
+
+
+def test_pairs_of_queries_and_chunks_are_summed_in_bounded_parts(spark, monkeypatch):
+    from docloom.sources import shared
+
+    monkeypatch.setattr(shared, "PART_ROWS", 10)
+    chunks = spark.createDataFrame([(k // 2, f"apple w{k % 3} w{k % 3}") for k in range(40)], "chunk_id long, content string")
+    terms = spark.createDataFrame([(q, t) for q in range(5) for t in ("apple", f"w{q}")], "query_id long, term string")
+    index = R.postings(chunks, terms=terms)
+    out = R.sparse_topk(index, terms, 3, chunks=chunks)
+    assert ", 20), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, R.sparse_topk(index, terms, 3).collect()))
