@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import questions as Q
 from docloom.operators import providers as P
 from docloom.plans.queries import DENSE_SQL, FUSE_SQL, SPARSE_SQL, corpus, fused_hits, query
+from docloom.sources.shared import written
 
 SIZE = 16
 _FAILS = "strlen(text) % 97 = 0"
@@ -51,7 +52,7 @@ def _scores(requests: list) -> list:
   select query_id, doc_id, row_number() over (partition by query_id order by case when q % 2 = 0 and hits > 1 then n end desc nulls last, rank) as rank from t""")
 def rerank_provider(spark, read):
     """A model's order where its answer is whole, else the order before."""
-    hits = fused_hits(read).join(corpus(read).select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = written(fused_hits(read), "fused").join(corpus(read).select("doc_id", F.col("text").alias("content")), "doc_id")
     questions = read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return P.reranked(hits, questions, lambda: _scores, tries=1, timeout=None).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
