@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.operators import structure as S
@@ -28,6 +30,28 @@ def test_front_matter_round_trip(spark):
     assert again == "---\ntitle: a: b\nlist:\n  - x\n  - y\nempty: []\n---\n\nbody\n"
 
 
+def test_front_matter_is_read_once_and_as_its_pattern_says(spark):
+    texts = [a + b + c for a in ("", "---\n", "---\r\n", " ---\n") for b in ("", "a: 1\nb: [x]\na: é\n", "\n", "---", "a: 2\r\n- x\r") for c in ("", "---\n", "---\nbody\n---\nmore \n\n", "---  \n\n\nbody  \n", "---\n \t\n", "---")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for strict in (True, False):
+        d = X.split_front_matter(docs, strict=strict)
+        assert d.columns == ["id", "text", "fields", "body", "error"]
+        # a step that a lambda names is done again for every key
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+        for r in d.collect():
+            t = re.sub("\r\n?", "\n", r.text)
+            t = t if strict else re.sub(r"(?m)^---[ \t]+$", "---", t)
+            m = re.match(r"(?s)\A---\n(.*?)\n---\n(.*)\Z", t)
+            assert (r.fields != {}) == bool(m and ":" in m[1]), r
+            if m and "a: é" in m[1]:
+                assert r.fields == {"b": ["[x]"], "a": ["é"]}
+            if strict:
+                error = "no_front_matter" if not t.startswith("---\n") else "front_matter_not_closed" if not m else "empty_body" if not m[2].strip() else None
+                assert (r.error, r.body) == (error, None if error else m[2].strip()), r
+            else:
+                assert (r.error, r.body) == (None, m[2].lstrip("\n") if m else r.text), r
+
+
 def test_whole_files_and_types(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.md").write_text("one\ntwo")
