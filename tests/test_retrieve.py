@@ -25,3 +25,33 @@ def test_a_whole_retrieval(spark):
     assert len(context) == 1 and context[0].context.count("parent text") == 1 and "apple pie recipe" in context[0].context
     again = R.retrieve(questions, variants, chunks, versions, documents, types, vectors, embed, T.search_terms("query"), none, out.select("query_id", "chunk_id").where("rank = 1"), top_k=1)
     assert out.where("rank = 1").first().chunk_id not in {r.chunk_id for r in again.collect()}
+
+
+def test_expansion_is_one_join_and_keeps_the_first_find_of_each_chunk(spark, monkeypatch):
+    import random
+
+    from docloom.sources import shared
+
+    pick = random.Random(7).choice
+    items = [None, "a", "b", "c"]
+    chunks = [(f"v{v}", f"c{v}-{i}", i, pick(items), pick(items), pick([None, "p"]), pick([0, 1, 2]), pick([1, 2])) for v in range(4) for i in range(12)]
+    hits = [(q, n, *c, q % 2 == 0) for q in range(30) for n, c in enumerate(random.Random(q).sample(chunks, 3), 1)]
+    names = "version_key string, chunk_key string, chunk_index int, item string, parent_item string, parent_chunk string, split_index int, split_count int"
+    want = []
+    for q in range(30):
+        found = []
+        for _, rank, v, key, index, item, parent, chunk, at, count, lists in (h for h in hits if h[0] == q):
+            found.append((0, rank, 0, index, v, key, "direct"))
+            for w, k, i, it, pa, ch, a, _ in chunks:
+                if w == v and k != key:
+                    tests = (it == parent is not None, lists and pa == item is not None, lists and pa == parent is not None and chunk in (None, ch), count > 1 and it == item is not None and abs(a - at) <= 1)
+                    found += [(1, rank, n, i, w, k, reason) for n, (fine, reason) in enumerate(zip(tests, R.REASONS[1:], strict=True), 1) if fine]
+        seen = {}
+        for f in sorted(found):
+            seen.setdefault(f[4:6], f[6])
+        want += [(q, n, *key, reason) for n, (key, reason) in enumerate(list(seen.items())[:5], 1)]
+    monkeypatch.setattr(shared, "PART_ROWS", 10)
+    out = R.expand(spark.createDataFrame(hits, f"query_id int, rank int, {names}, wants_list boolean"), spark.createDataFrame(chunks, names), 5)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "RepartitionByExpression [version_key" in plan and "RepartitionByExpression [query_id" in plan
