@@ -13,6 +13,7 @@ from docloom.operators import tables as B
 from docloom.plans.chunking import CHUNKS_SQL, marked_documents
 from docloom.plans.documents import LINES_SQL, PATH_SQL, levelled
 from docloom.plans.queries import ASKED_SQL, TREE_SQL, _abbrev_sql, asked, query, tree, values
+from docloom.sources.shared import dealt
 
 
 def _numbered(df):
@@ -180,8 +181,11 @@ def page_split_table(spark, read):
 def expand_dedupe(spark, read):
     """Every direct hit comes once, whatever else finds it again."""
     h, c = tree(read)
-    direct = h.select("query_id", "chunk_key").distinct()
-    return R.expand(h, c).join(direct, ["query_id", "chunk_key"]).groupBy("query_id", "chunk_key").agg(F.count("*").alias("n"))
+    n = read("lineitem").count()
+    found = R.expand(h, c, rows=n).select("query_id", "chunk_key", F.lit(1).alias("found"), F.lit(False).alias("direct"))
+    both = found.unionByName(h.select("query_id", "chunk_key", F.lit(0).alias("found"), F.lit(True).alias("direct")))
+    each = dealt(both, "query_id", "chunk_key", rows=2 * n).groupBy("query_id", "chunk_key").agg(F.sum("found").alias("n"), F.bool_or("direct").alias("direct"))
+    return each.where("direct and n > 0").select("query_id", "chunk_key", "n")
 
 
 @query(f"with {ASKED_SQL}, a as (select conv_id * 1000 + turn as query_id, longer as q, {_abbrev_sql('longer')} as e from asked) select query_id, 1 as position, q as query from a where trim(q) <> '' union all select query_id, 2, e from a where trim(q) <> '' and e <> q")
