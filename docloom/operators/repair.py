@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import strip_accents
 from docloom.operators import forms, tables
+from docloom.sources.shared import dealt
 
 HEADING, NUMBERED = r"^(#{1,6})\s+(.+)$", r"^(\d+(?:\.\d+)*)\.\s+.+$"
 # What opens an article, the caption of a seal, and the phrases of section rows inside tables.
@@ -50,13 +51,15 @@ def _most_over(r: DataFrame, head: Column, by: list[str], name: str) -> DataFram
     return r.withColumns({name: F.max_by("level", order).over(whole), f"n_{name}": F.sum(F.col("_head").cast("int")).over(whole)}).drop("_head", "_n", "_first")
 
 
-def repaired_headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def repaired_headings(rows: DataFrame, key: str = "doc_id", deal: bool = True) -> DataFrame:
     """Headings of one family get its most frequent level, and unmarked siblings become headings.
 
     A family holds the numbers under one parent number, or the articles, between two first-level titles. A title that
     repeats becomes bold text. Unmarked lines join a family of two headings or more; two or more of them under a marked
-    number take the most frequent level of that depth.
+    number take the most frequent level of that depth. Rows are dealt by document into parts of bounded size, unless they
+    come so (``deal``); all windows are of one document.
     """
+    rows = dealt(rows, key) if deal else rows
     level = F.length(F.regexp_extract("line", HEADING, 1))
     r = fenced(rows, key).withColumn("level", F.when(~F.col("in_fence") & (level > 0), level))
     r = r.withColumn("body", F.when(F.col("level").isNotNull(), F.regexp_extract("line", HEADING, 2)).otherwise(F.col("line")))
@@ -195,9 +198,10 @@ def postprocessed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     d = docs.select(key, front.alias("front"), tidy.alias("t")).withColumn("t", F.expr("substring(t, length(front) + 1)"))
     loose = F.regexp_replace(F.regexp_replace("t", r"(?m)^\*\*(#{1,6}\s+.+?)\*\*$", "$1"), r"(?m)^(\s*\d*)\\+([-+*.])(?=\s)", "$1$2")
     # an empty last line keeps a document whose other lines all go
-    d = d.select(key, "front", forms.is_form(loose).alias("is_form"), F.array_append(F.split("t", "\n"), F.lit("")).alias("lines")).repartition(key)
+    d = d.select(key, "front", forms.is_form(loose).alias("is_form"), F.array_append(F.split("t", "\n"), F.lit("")).alias("lines"))
+    d = dealt(d, key, rows=docs.agg(F.sum(F.size(F.split(text, "\n")) + 1)).first()[0] or 0)
     rows = d.select(key, "front", "is_form", F.posexplode("lines").alias("pos", "line"))
-    rows = repaired_headings(forms.form_lines(unescaped(rows, key), key), key)
+    rows = repaired_headings(forms.form_lines(unescaped(rows, key), key), key, deal=False)
 
     def whole(r: DataFrame) -> DataFrame:
         lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])

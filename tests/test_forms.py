@@ -113,3 +113,17 @@ def test_postprocess_keeps_front_matter_and_every_document(spark):
     got = {r.doc_id: r.text for r in repair.postprocessed(df).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6} and got[2] == got[3] == got[4] == "\n" and got[5] == "---\nnever closed\n" and got[6] == "plain\n"
     assert got[1].startswith("---\ntitle: x\n---\n\n**CỘNG HÒA") and "# ĐƠN XIN NGHỈ HỌC" in got[1] and "| 1 | Truy thu, cảnh cáo toàn khu |" in got[1] and "<!-- page: 2 -->" in got[1]
+
+
+def test_lines_are_dealt_by_document_into_bounded_parts(spark, monkeypatch):
+    from docloom.operators import repair as M
+    from docloom.sources import shared
+
+    rows = spark.createDataFrame([(k, n, line) for k in range(30) for n, line in enumerate(("# A", "### 1.1. b", "1.2. c", "### 1.3. d", "# A:"))], "doc_id long, pos int, line string")
+    monkeypatch.setattr(shared, "PART_ROWS", 10)
+    out = M.repaired_headings(rows)
+    got = {r.doc_id: r.lines for r in out.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines")).collect()}
+    assert got == dict.fromkeys(range(30), ["# A", "### 1.1. b", "### 1.2. c", "### 1.3. d", "**A:**"])
+    # one shuffle, by the number of rows, serves every window
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(doc_id") == plan.count(", 15), REPARTITION_BY_NUM") > 0
