@@ -55,3 +55,26 @@ def test_pairs_of_queries_and_chunks_are_summed_in_bounded_parts(spark, monkeypa
     out = R.sparse_topk(index, terms, 3, chunks=chunks)
     assert ", 20), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, R.sparse_topk(index, terms, 3).collect()))
+
+
+def test_words_are_matched_without_rows_for_pairs(spark, monkeypatch):
+    from docloom.sources import shared
+
+    index = [(f"w{t}", key, 1 + (t * key) % 3) for key in range(60) for t in range(9) if (t + key) % 4]
+    terms = [((q, q % 2), f"w{t}") for q in range(7) for t in range(12) if (q * t) % 3 != 1 and q < 6 or t > 10] + [((8, 0), None)]
+    want = set()
+    for q in {q for q, _ in terms}:
+        mine = {t for p, t in terms if p == q}
+        n = {}
+        for t, key, tf in index:
+            n[key] = n.get(key, 0) + tf * (t in mine)
+        want |= {(q, key, round(0.1 * s, 12), r) for r, (key, s) in enumerate(sorted(((k, s) for k, s in n.items() if s), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    monkeypatch.setattr(shared, "PART_ROWS", 50)
+    monkeypatch.setattr(ranking, "CELLS", 16)
+    i, t = spark.createDataFrame(index, "term string, chunk_id long, tf long"), spark.createDataFrame(terms, "query_id struct<q:long,v:long>, term string")
+    for size in (64 << 20, 40):
+        monkeypatch.setattr(ranking, "SLICE_BYTES", size)
+        out = R.sparse_topk(i, t.unionByName(t), 5, chunks=i.select("chunk_id").distinct())
+        assert {(tuple(r.query_id), r.chunk_id, r.score, r["rank"]) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
